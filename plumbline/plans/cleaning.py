@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import cleaning as fc
 from ..functions import derive as fd
 from ..operators import clean
+from ..session import shared_dir
 from ..sources import tables as src
 from .registry import load, query
 
@@ -77,10 +78,7 @@ SELECT 'price', count(*) FILTER (o_totalprice >= 200000), count(*),
        round(count(*) FILTER (o_totalprice >= 200000) * 100.0::DOUBLE / count(*), 6) FROM orders
 """)
 def _(spark, d):
-    from ..session import _checkpoint_dir
-
-    _checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/orders-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
     orders = load(spark, d, "orders").select(
         "o_orderkey", F.when(F.col("o_totalprice") < 200000, F.col("o_totalprice")).alias("price")
     )
@@ -426,8 +424,8 @@ SELECT 'l_quantity' AS "column", 'double' AS actual, 'int' AS expected,
 FROM lineitem
 UNION ALL SELECT 'l_returnflag', 'string', 'double', 'try_cast(l_returnflag as double)',
   count(*) FILTER (TRY_CAST(l_returnflag AS DOUBLE) IS NULL) FROM lineitem
-UNION ALL SELECT 'l_shipdate', 'timestamp_ntz', 'date', 'try_cast(l_shipdate as date)', 0 FROM lineitem
-GROUP BY ALL
+UNION ALL SELECT 'l_shipdate', 'timestamp_ntz', 'date', 'try_cast(l_shipdate as date)',
+  count(*) FILTER (CAST(l_shipdate AS DATE) IS NULL) FROM lineitem
 """)
 def _(spark, d):
     expected = {

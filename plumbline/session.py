@@ -22,6 +22,7 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
         .appName("plumbline")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SESSION_CONF.items():
@@ -31,21 +32,22 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may fall back to a temporary one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; only a local session may use a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
-        return
+        return sc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no replay
     of earlier iterations."""
-    _checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
