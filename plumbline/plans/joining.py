@@ -134,7 +134,7 @@ def _(spark, d):
 
 
 @query("group_stat_join", """
-SELECT l_orderkey, l_linenumber, l_partkey, n_lines, round(l_extendedprice - mean_price, 4) AS off_mean FROM lineitem
+SELECT l_orderkey, l_linenumber, l_partkey, n_lines, round(l_extendedprice - mean_price, 8) AS off_mean FROM lineitem
 JOIN (SELECT l_partkey, count(*) AS n_lines, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY 1) USING (l_partkey)
 """)
 def _(spark, d):
@@ -142,7 +142,7 @@ def _(spark, d):
     aggs = {"n_lines": F.count(F.lit(1)), "mean_price": F.avg("l_extendedprice")}
     return j.group_stat_join(t, ["l_partkey"], aggs).select(
         "l_orderkey", "l_linenumber", "l_partkey", "n_lines",
-        F.round(F.col("l_extendedprice") - F.col("mean_price"), 4).alias("off_mean"),
+        F.round(F.col("l_extendedprice") - F.col("mean_price"), 8).alias("off_mean"),
     )
 
 
