@@ -113,7 +113,7 @@ def in_session(ts: Column, open_minute: int = 570, close_minute: int = 960) -> C
 # --- bands and categories ---------------------------------------------------------------------
 
 
-def band(c: Column, edges: list[float], labels: list[str], right_closed: bool = False) -> Column:
+def band(c: Column, edges: list[float], labels: list, right_closed: bool = False) -> Column:
     """Labelled ranges: ``len(labels) == len(edges) + 1``; an edge belongs to the range above it,
     or to the one below with ``right_closed``."""
     chain = F.when(c.isNull(), F.lit(None))

@@ -143,7 +143,7 @@ def _(spark, d):
 
 
 @query("magnitude", f"""
-SELECT o_orderkey, round(avg(hit) OVER f, 4) AS avg_size, max(hit) OVER f AS max_size FROM (
+SELECT o_orderkey, round(avg(hit) OVER f, 7) AS avg_size, max(hit) OVER f AS max_size FROM (
  SELECT *, {DAYNO} AS day, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS hit FROM orders)
 WINDOW f AS (PARTITION BY o_orderpriority ORDER BY day RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING)
 """)
@@ -151,7 +151,7 @@ def _(spark, d):
     out = w.magnitude(
         load(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", F.col("o_orderstatus") == "F", "o_totalprice"
     )
-    return rounded(out.select("o_orderkey", "avg_size", "max_size"), "avg_size")
+    return rounded(out.select("o_orderkey", "avg_size", "max_size"), "avg_size", places=7)
 
 
 def _congestion_sql(hi):
@@ -252,7 +252,7 @@ def _(spark, d):
 
 BARS = """bars AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTES, ts) AS bar, arg_min(value, ts) AS open, max(value) AS high,
  min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
-PRICES = """px AS (SELECT o_orderpriority AS fund, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2)"""
+PRICES = """px AS (SELECT o_orderpriority AS fund, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 8) AS price FROM orders GROUP BY 1, 2)"""
 
 
 def _bars(spark, d):
@@ -264,7 +264,7 @@ def _prices(spark, d):
     return (
         load(spark, d, "orders")
         .groupBy(F.col("o_orderpriority").alias("fund"), F.col("o_orderdate").cast("date").alias("day"))
-        .agg(F.round(F.avg("o_totalprice"), 2).alias("price"))
+        .agg(F.round(F.avg("o_totalprice"), 8).alias("price"))
     )
 
 
@@ -378,11 +378,11 @@ def _(spark, d):
 @query("session_vwap", f"""
 WITH {BARS}, v AS (SELECT *, sum(close * volume) OVER f / nullif(sum(volume) OVER f, 0) AS vw FROM bars
  WINDOW f AS (PARTITION BY event_type, CAST(bar AS DATE) ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT event_type, bar, round(vw, 5) AS vwap, round((close - vw) / nullif(vw, 0), 5) AS vwap_distance FROM v
+SELECT event_type, bar, round(vw, 8) AS vwap, round((close - vw) / nullif(vw, 0), 6) AS vwap_distance FROM v
 """)
 def _(spark, d):
     out = b.session_vwap(_bars(spark, d), ["event_type"], "bar").select("event_type", "bar", "vwap", "vwap_distance")
-    return rounded(out, "vwap", "vwap_distance", places=5)
+    return rounded(rounded(out, "vwap", places=8), "vwap_distance", places=6)
 
 
 @query("cross_section_z", f"""
