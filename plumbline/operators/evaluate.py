@@ -166,14 +166,14 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q")
     )
     cum = running(per, [], value_bucket(F.col("s")), [F.col("s")], {"_p": ("sum", "p"), "_q": ("sum", "q")})
-    totals = per.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    totals = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     rows = rejoin(cum, totals, [])
     p, q = F.col("p"), F.col("q")
     p_under, q_under = F.col("_p") - p, F.col("_q") - q
-    tp, fp = F.col("P") - p_under, F.col("Q") - q_under
+    tp, fp = F.col("all_p") - p_under, F.col("all_q") - q_under
     return rows.agg(
-        (F.sum(p * (q_under + q / 2)) / F.nullif(F.max(F.col("P") * F.col("Q")), F.lit(0))).alias("auc_roc"),
-        (F.sum(p * tp / F.nullif(tp + fp, F.lit(0))) / F.nullif(F.max("P"), F.lit(0))).alias("auc_pr"),
+        (F.sum(p * (q_under + q / 2)) / F.nullif(F.max(F.col("all_p") * F.col("all_q")), F.lit(0))).alias("auc_roc"),
+        (F.sum(p * tp / F.nullif(tp + fp, F.lit(0))) / F.nullif(F.max("all_p"), F.lit(0))).alias("auc_pr"),
     )
 
 
@@ -344,7 +344,7 @@ def information_coefficient(
     df: DataFrame, ts: str, pred: str, target: str, min_n: int
 ) -> tuple[DataFrame, DataFrame]:
     """Spearman correlation per instant with at least ``min_n`` pairs, and its mean, std, ratio and
-    positive share."""
+    positive share (above rounding error)."""
     pairs = df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull())
     ranked = average_ranks(average_ranks(pairs, [ts], pred, "_a"), [ts], target, "_b")
     per = ranked.groupBy(ts).agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("ic"))
@@ -353,7 +353,7 @@ def information_coefficient(
         F.count("ic").alias("instants"),
         F.avg("ic").alias("mean_ic"),
         F.stddev_samp("ic").alias("std_ic"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"),
+        F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive_share"),
     ).withColumn("ir", F.col("mean_ic") / F.nullif(F.col("std_ic"), F.lit(0.0)))
     return per, summary
 

@@ -358,12 +358,12 @@ def _(spark, d):
 
 
 @query("moving_averages", f"""
-WITH {PRICES} SELECT fund, day, {', '.join(f"round(CASE WHEN count(*) OVER w{n} >= {n} THEN avg(price) OVER w{n} END, 5) AS ma_{n}" for n in (5, 10, 20))}
+WITH {PRICES} SELECT fund, day, {', '.join(f"round(CASE WHEN count(*) OVER w{n} >= {n} THEN avg(price) OVER w{n} END, 8) AS ma_{n}" for n in (5, 10, 20))}
 FROM px WINDOW {', '.join(f"w{n} AS (PARTITION BY fund ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 10, 20))}
 """)
 def _(spark, d):
     out = b.moving_averages(_prices(spark, d), ["fund"], "day", "price").drop("price")
-    return rounded(out, "ma_5", "ma_10", "ma_20", places=5)
+    return rounded(out, "ma_5", "ma_10", "ma_20", places=8)
 
 
 @query("gap_return", f"""
