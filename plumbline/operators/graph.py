@@ -188,7 +188,7 @@ def _modularity(both: DataFrame, labels: DataFrame) -> float:
 
 
 def communities(
-    edges: DataFrame, weight: str = "weight", sweeps: int = 12, levels: int = 3
+    edges: DataFrame, weight: str = "weight", sweeps: int = 8, levels: int = 3
 ) -> tuple[DataFrame, float]:
     """Modularity communities ``(id, community)`` and their modularity.
 
@@ -246,6 +246,6 @@ def _moves(both: DataFrame, sweeps: int) -> tuple[DataFrame, float]:
             best, best_q, idle = labels, q, 0
         else:
             idle += 1
-            if idle >= 3:
+            if idle >= 2:
                 break
     return best, best_q
