@@ -124,8 +124,8 @@ def tick_frame(
     return rejoin(base, framed, [*keys, "_tick"]).drop("_tick")
 
 
-def rejoin(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on null-safe keys, keeping the left key columns. The strategy is left to the
+def rejoin(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join (left by default) on null-safe keys, keeping the left key columns. The strategy is left to the
     optimizer, which broadcasts only below its size limit and splits skewed partitions. Without
     keys the single row of ``stats`` is attached through a constant key."""
     if not keys:
@@ -137,7 +137,7 @@ def rejoin(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
         right = right.withColumnRenamed(k, f"_r_{k}")
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = c if cond is None else cond & c
-    return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    return df.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running(

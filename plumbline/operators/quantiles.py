@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .frames import col, rejoin, running
 
@@ -51,39 +52,57 @@ def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, keys: list[str], cols: list[str], probs: list[float]
 ) -> DataFrame:
-    """Interpolated quantiles in long form: ``(*keys, metric, prob, quantile)``."""
+    """Interpolated quantiles in long form: ``(*keys, metric, prob, quantile)``.
+
+    Rows are counted per value bucket first, which shuffles only bucket counts. A second pass then
+    looks at the few buckets that hold a wanted rank and orders their distinct values."""
     ks = [*keys, "metric"]
-    counts = value_counts(unpivoted(df, keys, cols), ks)
+    long = unpivoted(df, keys, cols).withColumn("_b", value_bucket(F.col("value")))
+    group = W.partitionBy(*ks)
+    n = F.col("n")
+    heads = long.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("n")).select(
+        *ks, "_b", "n",
+        (F.sum(n).over(group.orderBy("_b")) - n).alias("before"),
+        F.sum(n).over(group).alias("total"),
+    )
     at = [
         F.struct(
             F.lit(float(p)).alias("prob"),
             F.floor(F.lit(float(p)) * (F.col("total") - 1)).cast("long").alias("lo"),
             F.ceil(F.lit(float(p)) * (F.col("total") - 1)).cast("long").alias("hi"),
+            (F.lit(float(p)) * (F.col("total") - 1)).alias("at"),
         )
         for p in probs
     ]
-    below, end = F.col("below"), F.col("below") + F.col("n")
 
-    def held(r: Column) -> Column:
-        return (r >= below) & (r < end)
+    def held(a: Column, below: Column, count: Column) -> Column:
+        def inside(r: Column) -> Column:
+            return (r >= below) & (r < below + count)
 
-    hits = counts.select(
-        *ks,
-        "value",
-        "below",
-        "n",
-        "total",
-        F.explode(F.filter(F.array(*at), lambda a: held(a["lo"]) | held(a["hi"]))).alias("a"),
+        return inside(a["lo"]) | inside(a["hi"])
+
+    asked = heads.select(
+        *ks, "_b", "before", F.filter(F.array(*at), lambda a: held(a, F.col("before"), n)).alias("asks")
+    ).filter(F.size("asks") > 0)
+    near = rejoin(long, asked, [*ks, "_b"], how="inner")
+    values = near.groupBy(*ks, "_b", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("asks").alias("asks")
     )
+    upto = F.sum(n).over(W.partitionBy(*ks, "_b").orderBy("value"))
+    ranked = values.select(*ks, "value", "n", "asks", (F.col("before") + upto - n).alias("below"))
+    hits = ranked.select(
+        *ks, "value", "n", "below", F.explode(F.filter("asks", lambda a: held(a, F.col("below"), n))).alias("a")
+    )
+
+    def value_at(r: str) -> Column:
+        mine = (F.col(r) >= F.col("below")) & (F.col(r) < F.col("below") + n)
+        return F.max(F.when(mine, F.col("value")))
+
     picked = hits.groupBy(*ks, F.col("a.prob").alias("prob")).agg(
-        F.max(F.when(held(F.col("a.lo")), F.col("value"))).alias("v_lo"),
-        F.max(F.when(held(F.col("a.hi")), F.col("value"))).alias("v_hi"),
-        F.max(F.col("a.prob") * (F.col("total") - 1) - F.col("a.lo")).alias("part"),
+        value_at("a.lo").alias("v_lo"), value_at("a.hi").alias("v_hi"), F.max(F.col("a.at") - F.col("a.lo")).alias("part")
     )
     return picked.select(
-        *ks,
-        "prob",
-        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("part")).alias("quantile"),
+        *ks, "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("part")).alias("quantile")
     )
 
 
