@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions.derive import haversine_km, unit_sphere
 from ..session import cut_lineage
 from .clean import dedupe
-from .frames import DAY, col, micros, rejoin, running, seconds, slice_of, tick_frame
+from .frames import DAY, micros, rejoin, running, seconds, slice_of, tick_frame
 
 # --- equi joins -------------------------------------------------------------------------------
 
@@ -192,8 +193,6 @@ def nearest_k(
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
     """First ``k`` rows per key with their rank; the rank limit also runs before the shuffle."""
-    from pyspark.sql.window import Window as W
-
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
@@ -386,12 +385,10 @@ def _holds(big: DataFrame, bi: str, bt: str, small: DataFrame, si: str, st: str)
     sizes = [r[0] for r in short.select(F.length(st)).distinct().collect()]  # at most 39 numbers
     if not sizes:
         return checked
-    at = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(bt) - n + 1, F.lit(1))),
-            lambda i, n=n: F.substring(F.col(bt), i, F.lit(n)),
-        )
-        for n in sorted(sizes)
-    ]
+    def substrings(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(bt) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col(bt), i, F.lit(n)))
+
+    at = [substrings(n) for n in sorted(sizes)]
     grams = big.select(bi, F.explode(F.array_distinct(F.concat(*at))).alias(st))
     return checked.unionByName(grams.join(short, st).select(bi, si)).distinct()

@@ -220,43 +220,52 @@ def _spans(texts: pd.Series) -> pd.Series:
     return texts.map(scan)
 
 
+def _merge_spans(spans: Column) -> Column:
+    """Overlapping or touching spans of one label as one span; sorted by label and start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = F.coalesce((last["label"] == s["label"]) & (s["start"] <= last["end"]), F.lit(False))
+        grown = F.struct(
+            last["label"].alias("label"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")
+        )
+        return F.when(joins, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
+
+    empty = F.array().cast("array<struct<label:string,start:int,end:int>>")
+    return F.aggregate(F.array_sort(spans), empty, step)
+
+
 def scan_pii(docs: DataFrame, ident: str, text: str, context: int = 40) -> dict[str, DataFrame]:
     """``spans`` with value and context, ``redacted`` texts, and a ``summary`` per label.
 
     Overlapping spans of one label are merged; where labels overlap, the earlier span is redacted
-    and the rest of the later one with it."""
-    raw = docs.select(ident, text, F.explode(_spans(text)).alias("s")).select(ident, text, "s.label", "s.start", "s.end")
-    by = W.partitionBy(ident, "label").orderBy("start", "end")
-    before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    islands = raw.withColumn("_new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn(
-        "_island", F.sum("_new").over(by)
+    and the rest of the later one with it. Everything but the summary stays inside the row, so no
+    text is shuffled."""
+    found = docs.select(ident, text, _merge_spans(_spans(text)).alias("_spans"))
+    lo = F.greatest(F.col("s.start") - context, F.lit(0))
+    spans = found.select(ident, text, F.explode("_spans").alias("s")).select(
+        ident, "s.label", "s.start", "s.end",
+        F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
+        F.substring(F.col(text), lo + 1, F.col("s.end") + context - lo).alias("context"),
     )
-    merged = islands.groupBy(ident, "label", "_island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first(text).alias("_t")
-    ).drop("_island")
-    lo = F.greatest(F.col("start") - context, F.lit(0))
-    spans = merged.select(
-        ident, "label", "start", "end",
-        F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"),
-        F.substring(F.col("_t"), lo + 1, F.col("end") + context - lo).alias("context"),
+    cuts = F.array_sort(
+        F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
     )
-    cuts = merged.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_cuts"))
     whole = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
         tag = F.concat(F.lit("[REDACTED_"), s["label"], F.lit("]"))
-        moved = F.struct(
+        return F.struct(
             F.greatest(s["end"], acc["at"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, tag)).otherwise(acc["out"]).alias("out"),
         )
-        return moved
 
-    folded = F.aggregate("_cuts", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    redacted = rejoin(docs.select(ident, text), cuts, [ident]).select(
-        ident, F.coalesce(folded, whole).alias("redacted")
+    folded = F.aggregate(
+        cuts, start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole)))
     )
+    redacted = found.select(ident, F.coalesce(folded, whole).alias("redacted"))
     summary = spans.groupBy("label").agg(
         F.count(F.lit(1)).alias("spans"), F.countDistinct(ident).alias("documents"), F.min("context").alias("example")
     )
