@@ -127,10 +127,10 @@ def tick_frame(
 def rejoin(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join (left by default) on null-safe keys, keeping the left key columns. The strategy is left to the
     optimizer, which broadcasts only below its size limit and splits skewed partitions. Without
-    keys the single row of ``stats`` is attached through a constant key."""
+    keys ``stats`` is a single row, read once as a scalar subquery."""
     if not keys:
-        one = rejoin(df.withColumn("_one", F.lit(1)), stats.withColumn("_one", F.lit(1)), ["_one"])
-        return one.drop("_one")
+        row = stats.select(F.struct("*").alias("_row")).scalar()
+        return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
     cond = None
     right = stats
     for k in keys:
