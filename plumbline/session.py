@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     sc.setCheckpointDir(named)
@@ -54,4 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     computed once, and neither plan constraints nor size estimates pile up from round to round."""
     path = f"{shared_dir(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``cut_lineage`` returned and nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_plumbline_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
