@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = simhash.near_duplicates(_load(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return named.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@_query("op9_superkmer_substrings")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document after repeated 13-word windows are cut."""
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
