@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash, substrings
+from plumbline.llm import decontam, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after repeated 13-word windows are cut."""
     docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@_query(
+    "op8_prefix_decontamination",
+    f"""
+    with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+    b as (select item_id, {_WORDS} as w from benchmark),
+    windows as (
+        select distinct item_id, least(len(w), 10) as size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as words
+        from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)
+    ),
+    spots as (
+        select r, i, size, array_to_string(w[i:i + size - 1], ' ') as words
+        from (select r, w, size, unnest(generate_series(1, len(w) - size + 1)) as i
+              from d, (select distinct size from windows) where len(w) >= size)
+    ),
+    found as (select r, i, spots.size, item_id from spots join windows using (words, size)),
+    hit as (select r, count(distinct p) as n_hit from
+            (select r, unnest(generate_series(i, i + size - 1)) as p from (select distinct r, i, size from found))
+            group by r),
+    named as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+              from found group by r)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join hit using (r) left join named using (r)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    hits = decontam.decontaminate(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
