@@ -21,7 +21,7 @@ from plumbline.session import cut_lineage
 CAPACITY = 4096
 END_ID = 1
 #: Fillings looked at for one sequence, kept for branching, and sequences (or runs of equal ones) placed in all.
-FILL_NODES, BRANCHES, SEARCH_NODES = 400, 4, 20_000
+FILL_NODES, BRANCHES, SEARCH_NODES = 400, 4, 12_000
 #: Words whose ids a worker remembers at most, and the longest such word.
 WORDS_HELD, WORD_CHARS = 300_000, 64
 #: Texts that must be encoded whole: white space on which Python and the tokenizer differ, special tokens.

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, packing, simhash, substrings
+import corpus_pipeline
+from plumbline.llm import decontam, packing, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,16 @@ def _tokenizer() -> str:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces in sequences of at most 4096."""
     return packing.pack_documents(_load(spark, sf_dir, "documents"), _tokenizer())
+
+
+@_query("op5_ordinal_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, toxicity.fit(docs, _load(spark, sf_dir, "labels")))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
