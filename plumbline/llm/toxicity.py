@@ -19,6 +19,8 @@ from plumbline.session import cut_lineage, release
 #: Labelled rows that a model is fitted on at most, features it keeps at most.
 SAMPLE_ROWS, FEATURES = 20_000, 4096
 GRADES = 3
+#: Probability from which a grade counts as reached.
+DECISION = 0.4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
 _WORDS_HELD = 500_000
@@ -73,7 +75,7 @@ class OrdinalModel:
 
 
 def fit_cumulative_link(
-    rows: list[dict[int, float]], grades: np.ndarray, size: int, levels: int, penalty: float = 1e-3, steps: int = 400
+    rows: list[dict[int, float]], grades: np.ndarray, size: int, levels: int, penalty: float = 1e-4, steps: int = 400
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by penalised maximum likelihood (full-batch Adam, so runs repeat)."""
     index = np.array([j for r in rows for j in r], dtype=np.int64)
@@ -201,7 +203,7 @@ def severity(
     """``(id, expected_severity, grade, toxic)`` per row of ``docs``, with ``text`` and all other columns too if
     ``keep_text``; columns of the added names are replaced.
 
-    Expected severity is the sum of P(grade >= k); the grade is the highest whose probability is at least a half; a
+    Expected severity is the sum of P(grade >= k); the grade is the highest whose probability is at least ``DECISION``; a
     document of grade 1 or more is toxic. Null, empty and wordless texts have no features and count as clean unless
     most training texts are toxic. Repeated rows and rows without an id are scored like all others."""
     added = ["expected_severity", "grade", "toxic"]
@@ -215,7 +217,7 @@ def severity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = [model.at_least(t) for t in b.column("_text").to_pylist()]
-            grade = [int((x >= 0.5).sum()) for x in p]
+            grade = [int((x >= DECISION).sum()) for x in p]
             new = [pa.array([float(x.sum()) for x in p], pa.float64()), pa.array(grade, pa.int32())]
             new.append(pa.array([g > 0 for g in grade], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], schema.names)
@@ -230,6 +232,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs.columns.index(text)
         for b in batches:
-            yield b.filter(pa.array([model.at_least(t)[0] < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.at_least(t)[0] < DECISION for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
