@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Spark deletes an execution's shuffle files when it ends.
+FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -54,7 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A lost executor then costs no replay of earlier iterations. Unlike ``checkpoint()`` the frame is
     computed once, and neither plan constraints nor size estimates pile up from round to round."""
     path = f"{shared_dir(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLE, "false")
+    conf.set(FREE_SHUFFLE, "true")  # the written rows replace the shuffle files behind them
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLE, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
