@@ -9,25 +9,28 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut_lineage
+
 #: Words of a minimiser: long enough that no common word or word pair draws a bucket to itself.
 MINIMISER = 3
 #: Text that a task turns into super-k-mers at once, and text per bucket.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
-_HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i4"), ("n", "<i4"), ("known", "u1")])
+_HEAD = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("start", "<i4"), ("n", "<i4"), ("known", "u1")])
 _SPANS = T.StructType(
     [
         T.StructField("_doc", T.LongType()),
-        T.StructField("_hash", T.LongType()),
+        T.StructField("_hash", T.IntegerType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("n", T.IntegerType()),
     ]
@@ -56,6 +59,23 @@ def _window_minima(order: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _frozen(head: np.ndarray, strings: list[bytes]) -> bytes:
+    """Heads by column, ids as steps (they rise within a chunk), then the strings."""
+    docs = np.diff(head["doc"], prepend=np.int64(0))
+    parts = [np.int64(len(head)).tobytes(), docs.tobytes()]
+    return b"".join([*parts, *(head[c].tobytes() for c in _HEAD.names[1:]), b"\n".join(strings)])
+
+
+def _thawed(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
+    head = np.zeros(n, dtype=_HEAD)
+    for c in _HEAD.names:
+        head[c] = np.frombuffer(raw, _HEAD[c], n, at)
+        at += n * _HEAD[c].itemsize
+    head["doc"] = np.cumsum(head["doc"])
+    return head, raw[at:].split(b"\n")
+
+
 def _packed(texts: list[str], docs: np.ndarray, hashes: np.ndarray, window: int, buckets: int):
     """Yield ``(bucket, blob)`` with the super-k-mers of these texts, which come in order of ``docs``.
 
@@ -106,9 +126,7 @@ def _packed(texts: list[str], docs: np.ndarray, hashes: np.ndarray, window: int,
     press = zstandard.ZstdCompressor(level=3)
     for part in np.split(by, cuts):
         if len(part):
-            body = b"\n".join([strings[i] for i in part])
-            blob = np.int64(len(part)).tobytes() + head[part].tobytes() + body
-            yield int(bucket[part[0]]), press.compress(blob)
+            yield int(bucket[part[0]]), press.compress(_frozen(head[part], [strings[i] for i in part]))
 
 
 def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
@@ -116,11 +134,9 @@ def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
     heads, strings = [], []
     open_ = zstandard.ZstdDecompressor()
     for blob in blobs:
-        raw = open_.decompress(blob)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        at = 8 + n * _HEAD.itemsize
-        heads.append(np.frombuffer(raw[8:at], _HEAD))
-        strings += raw[at:].split(b"\n")
+        more, texts = _thawed(open_.decompress(blob))
+        heads.append(more)
+        strings += texts
     head = np.concatenate(heads)
     fresh = head["known"] == 0
     done = head[~fresh]
@@ -171,7 +187,7 @@ def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(
-        "_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        "_hash", F.hash(F.coalesce(F.col(text), F.lit("")))
     )
 
 
@@ -196,20 +212,16 @@ def repeated_spans(
         for b in batches:
             doc = b.column(0).to_numpy(zero_copy_only=False)
             hashed = b.column(1).to_numpy(zero_copy_only=False)
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            size = pa.compute.fill_null(pa.compute.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
             by = np.argsort(doc, kind="stable")
-            held, size = [], 0
-            for place, i in enumerate(by):
-                held.append(i)
-                size += len(texts[i])
-                if size < BATCH_BYTES and place < len(by) - 1:
-                    continue
-                rows = list(_packed([texts[j] for j in held], doc[held], hashed[held], window, buckets))
+            group = (np.cumsum(size[by]) - size[by]) // BATCH_BYTES
+            for held in np.split(by, np.flatnonzero(np.diff(group)) + 1):
+                texts = [t or "" for t in b.column(2).take(pa.array(held)).to_pylist()]
+                rows = list(_packed(texts, doc[held], hashed[held], window, buckets))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                     ["bucket", "blob"],
                 )
-                held, size = [], 0
 
     def settle(group: pa.Table) -> pa.Table:
         got = _repeats(group.column("blob").to_pylist(), window)
@@ -259,7 +271,7 @@ def remove_repeats(
     shape = docs.schema[text]
     names = [f.name for f in rest]
     spans = (
-        repeated_spans(docs, id_col, text, window, bucket_bytes)
+        cut_lineage(repeated_spans(docs, id_col, text, window, bucket_bytes))  # frees the packed strings' files
         .groupBy("_doc", "_hash")
         .agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_spans"))
     )
