@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, packing, simhash, substrings, toxicity
+from plumbline.llm import decontam, packing, simhash, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query(
+    "op10_three_phase_topk",
+    """
+    with v as (
+        select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x
+        from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ),
+    s as (
+        select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+        from v q join v c on q.vec_id % 20 = 0 and q.r <> c.r
+    ),
+    ranked as (
+        select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from s
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 20
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth vector."""
+    return topk.top_k(_load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
