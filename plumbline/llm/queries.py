@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, packing, simhash, substrings, topk, toxicity
+from plumbline.llm import decontam, packing, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every twentieth vector."""
     return topk.top_k(_load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query(
+    "op2_warc_zstd",
+    """
+    with p as (
+        select page_id, encode(coalesce(html, '')) as b from pages
+    ),
+    d as (select page_id, octet_length(b) as n, sha256(b) as digest from p),
+    f as (select *, min(page_id) over (partition by digest) as first from d)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+           case when n >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+           case when n >= 100 and first <> page_id then first end as refers_to
+    from f
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from Zstandard archives."""
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return warc.round_trip(_load(spark, sf_dir, "pages")).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
