@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, kdtree, packing, simhash, substrings, topk, toxicity, warc
+from plumbline.llm import decontam, kdtree, licenses, packing, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,47 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _license_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    row = "seq"
+    for name, needed in licenses.RULES:
+        row = f"replace({row}, {text(''.join(f'<{i}>' for i in needed))}, {text('{' + name + '}')})"
+    known = ", ".join(f"({text(s)}, {text(i)})" for s, i in sorted(licenses.KNOWN.items()))
+    return f"""
+    with known(s, id) as (values {known}),
+    d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+    lines as (
+        select r, unnest(x) as s, generate_subscripts(x, 1) as pos from (
+            select r, string_split(regexp_replace(regexp_replace(t, '\\r?\\n[ \\t/*#;%-]*([a-z(])', ' \\1', 'g'),
+                                                  '[.!?]+(\\s|$)', '\n', 'g'), '\n') as x
+            from d where regexp_matches(lower(t), '{licenses.ANCHORS}'))
+    ),
+    plain as (select r, pos, trim(regexp_replace(lower(s), '[^a-z0-9+.]+', ' ', 'g')) as s from lines),
+    found as (
+        select r, pos, coalesce(known.id, case when regexp_matches(plain.s, 'licen[cs]e') then '?' end) as id
+        from plain left join known on plain.s = known.s
+        where regexp_matches(plain.s, '{licenses.ANCHORS}')
+    ),
+    seqs as (
+        select r, string_agg(id, ' ' order by pos) as ids, string_agg('<' || id || '>', '' order by pos) as seq
+        from found where id is not null group by r
+    ),
+    done as (select r, ids, {row} as claimed from seqs)
+    select doc_id, coalesce(ids, '') as sentence_ids,
+           coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(claimed, '\\{{([^}}]*)\\}}', 1))), ','), '') as licenses,
+           coalesce(len(regexp_extract_all(claimed, '<([^>]*)>', 1)), 0)::bigint as n_unclaimed
+    from d left join done using (r)
+    """
+
+
+@_query("op1_license_sentences", _license_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.scan(_load(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.array_join("sentence_ids", " ").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        "n_unclaimed",
+    )
