@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, kdtree, licenses, packing, simhash, substrings, topk, toxicity, warc
+from plumbline.llm import decontam, extraction, kdtree, licenses, packing, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("licenses", ",").alias("licenses"),
         "n_unclaimed",
     )
+
+
+@_query("op7_gbt_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = extraction.extract(pages, extraction.fit(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
