@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,61 @@ END_ID = 1
 #: Fillings looked at for one sequence, kept for branching, and sequences (or runs of equal ones) placed in all.
 FILL_NODES, BRANCHES, SEARCH_NODES = 400, 4, 12_000
 #: Words whose ids a worker remembers at most, and the longest such word.
-WORDS_HELD, WORD_CHARS = 300_000, 64
+WORDS_HELD, WORD_CHARS = 400_000, 64
 #: Texts that must be encoded whole: white space on which Python and the tokenizer differ, special tokens.
-_WHOLE = re.compile("[\x1c-\x1f᠎]|<\\|")
+_WHOLE = re.compile("[\x1c-\x1f\u180e]|<\\|")
+# Fixed values of the tokenizer: how it parts a word, and its names for bytes.
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASCII_PARTS = re.compile(_SUFFIXES + r"|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PARTS = regex.compile(_SUFFIXES + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters whose lower case is one letter whatever stands beside them.
+_LATIN = re.compile("[\x21-\u012f\u0131-\u024f]+")
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_NAMES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
+class _Words(dict):
+    """Token ids by word, as little-endian 32-bit bytes; unknown words are looked up part by part.
+
+    The tokenizer lower-cases, parts letters, digits and signs, and then merges inside each part alone. Words of the
+    Latin blocks are parted here and only new parts reach its merge model; other words go through it whole."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.whole, self.model = tokenizer, tokenizer.model
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        raw = self.parts.get(part)
+        if raw is None:
+            named = part if part.isascii() else "".join([_BYTE_NAMES[b] for b in part.encode()])
+            raw = np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
+            if len(part) <= WORD_CHARS:
+                if len(self.parts) >= WORDS_HELD:
+                    self.parts.clear()
+                self.parts[part] = raw
+        return raw
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii():
+            raw = b"".join([self._part(p) for p in _ASCII_PARTS.findall(word.lower())])
+        elif _LATIN.fullmatch(word):
+            raw = b"".join([self._part(p) for p in _PARTS.findall(unicodedata.normalize("NFC", word).lower())])
+        else:
+            raw = encoded(self.whole, word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = raw
+        return raw
+
+
+def encoded(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class _Encoder:
     """Token ids of texts. The tokenizer never joins what white space parts, so ids are kept by word."""
 
@@ -40,7 +90,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer)
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -48,28 +98,11 @@ class _Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if _WHOLE.search(text):
-            return self._encoded([text])[0]
-        words = text.split()
-        ids = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in ids]
-        if len(ids) + len(new) > WORDS_HELD:
-            ids.clear()
-            new = list(dict.fromkeys(words))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            ids.update(zip(part, self._encoded(part)))
-        out = b"".join([ids[w] for w in words])
-        for w in new:
-            if len(w) > WORD_CHARS:
-                del ids[w]
-        return out
+            return encoded(self.tokenizer, text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def token_pieces(

@@ -77,7 +77,9 @@ def test_words_give_the_ids_of_whole_texts(spark):
     whole = Tokenizer.from_file(PATH)
     encoder = packing._Encoder(PATH)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    texts += ["", " ", "it's we'll 'S", "a\x1cb\x1fc", "x<|endoftext|>y", "é ́a", "᠎a b", "İSTANBUL ΣΑΣ", "a\xa0b c\x85d", "z" * 5000, "½²x_1 ​"]
+    texts += ["", " ", "it's we'll 'S O'Re", "a\x1cb\x1fc", "x<|endoftext|>y", "\u00e9 \u0301a e\u0301x", "\u180ea b", "\u0130STANBUL \u03a3\u0391\u03a3"]
+    texts += ["a\xa0b\u2003c\x85d", "z" * 5000, "\xbd\xb2x_1 \u200b", "\x7f\x80\xad9a", "\u6f22\u5b57 \U0001f600x", "".join(map(chr, range(33, 0x250)))]
+    texts += ["".join(random.Random(i).choices("aB'stlL\xe9\xc9\xdf\u0149\u01c5 9\xb2\xaa\xba,.-", k=80)) for i in range(300)]
     for t in texts:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
