@@ -283,8 +283,10 @@ def severity_bins(df: DataFrame, scheme: str = "coarse") -> DataFrame:
     )
 
 
-def worst_segments(segments: DataFrame, min_count: int, metric: str = "mae", ties: list[str] = (), n: int = 20) -> DataFrame:
-    return segments.filter(F.col("n") >= min_count).orderBy(F.desc(metric), *ties).limit(n)
+def worst_segments(segments: DataFrame, min_count: int, metric: str = "mae", ties: list[str] = (), n: int | None = None) -> DataFrame:
+    """Segments of at least ``min_count`` rows, worst first; all of them unless ``n`` is given."""
+    ordered = segments.filter(F.col("n") >= min_count).orderBy(F.desc(metric), *ties)
+    return ordered if n is None else ordered.limit(n)
 
 
 def error_types(df: DataFrame, pred: str, label: str) -> DataFrame:

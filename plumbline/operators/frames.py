@@ -25,8 +25,13 @@ def col(c: str | Column) -> Column:
 
 
 def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch, for timestamps with and without zone."""
-    return F.unix_micros(col(ts).cast("timestamp"))
+    """Microseconds since the epoch; a timestamp without zone counts on its own clock, whatever the session's zone."""
+    c = col(ts)
+    plain = c.cast("timestamp_ntz")
+    clock = F.hour(plain) * 3600 + F.minute(plain) * 60
+    part = (F.date_part(F.lit("SECOND"), plain) * 1000000).cast("long")
+    own = (F.unix_date(plain.cast("date")).cast("long") * DAY + clock) * 1000000 + part
+    return F.when(F.typeof(c) == "timestamp_ntz", own).otherwise(F.unix_micros(c.cast("timestamp")))
 
 
 def seconds(ts: str | Column) -> Column:
@@ -46,7 +51,7 @@ _PARTS = {
     "count": ("n",),
     "sum": ("s",),
     "avg": ("n", "s"),
-    "std": ("n", "s", "q"),
+    "std": ("n", "s", "v"),
     "min": ("lo",),
     "max": ("hi",),
 }
@@ -56,14 +61,14 @@ def _part(kind: str, x: Column) -> Column:
     return {
         "n": F.count(x),
         "s": F.sum(x),
-        "q": F.sum(x * x),
+        "v": F.var_pop(x) * F.count(x),
         "lo": F.min(x),
         "hi": F.max(x),
     }[kind]
 
 
 def _over(kind: str, part: Column, w) -> Column:
-    fold = {"n": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}[kind]
+    fold = {"n": F.sum, "s": F.sum, "v": F.sum, "lo": F.min, "hi": F.max}[kind]
     return fold(part).over(w)
 
 
@@ -104,6 +109,13 @@ def tick_frame(
         W.partitionBy(*keys, F.col("_c.slice")).orderBy("_tick").rangeBetween(lo, hi)
     )
     outs = []
+    centred = {}
+    for name, (kind, _) in aggs.items():
+        if kind == "std":  # deviations from the slice's mean, so large values do not cancel
+            n, s = (F.col(parts[(name, p)]) for p in ("n", "s"))
+            whole = W.partitionBy(*keys, F.col("_c.slice"))
+            centred[f"_d_{name}"] = s / F.nullif(n, F.lit(0)) - F.sum(s).over(whole) / F.nullif(F.sum(n).over(whole), F.lit(0))
+    sliced = sliced.withColumns(centred) if centred else sliced
     for name, (kind, _) in aggs.items():
         v = {p: _over(p, F.col(parts[(name, p)]), w) for p in _PARTS[kind]}
         if kind == "count":
@@ -111,7 +123,9 @@ def tick_frame(
         elif kind == "avg":
             out = v["s"] / F.nullif(v["n"], F.lit(0))
         elif kind == "std":
-            spread = F.greatest(v["q"] - v["s"] * v["s"] / F.nullif(v["n"], F.lit(0)), F.lit(0.0))
+            n, d = F.col(parts[(name, "n")]), F.col(f"_d_{name}")
+            off, square = F.sum(n * d).over(w), F.sum(n * d * d).over(w)
+            spread = F.greatest(v["v"] + square - off * off / F.nullif(v["n"], F.lit(0)), F.lit(0.0))
             out = F.when(v["n"] > 1, F.sqrt(spread / F.nullif(v["n"] - 1, F.lit(0))))
         else:
             out = next(iter(v.values()))

@@ -220,12 +220,13 @@ def asof_join(
     neither dense right sides nor hot keys gather in one task. ``range`` cuts time into slices as
     wide as the tolerance and compares slice neighbours; it suits sparse right sides. Ties on the
     right are settled by the largest right row. ``allow_exact=False`` asks for strictly earlier.
+    A null key or time matches nothing on either side.
     """
     right_ts = right_ts or ts
     sign = 1 if direction == "backward" else -1
     payload = [c for c in right.columns if c not in by]
     row = F.struct(*[F.col(c) for c in sorted(payload, key=lambda c: c != right_ts)])
-    r = right.select(*by, (micros(right_ts) * sign).alias("_t"), row.alias("_row"))
+    r = right.select(*by, (micros(right_ts) * sign).alias("_t"), row.alias("_row")).dropna(subset=[*by, "_t"])
     limit = None if tolerance is None else tolerance * 1000000
     if plan == "merge":
         tagged = left.withColumn("_t", micros(ts) * sign)

@@ -13,12 +13,16 @@ from pyspark.sql.window import Window as W
 
 from .frames import col, rejoin, running
 
-_STEPS = 256  # buckets per factor e in magnitude
+_STEPS = 4096  # buckets per power of two in magnitude
+_LOWEST = -1000  # exponents below share their buckets
 
 
 def value_bucket(x: Column) -> Column:
-    """Non-decreasing long in ``x``: natural-log steps mirrored around zero. NaN sorts last."""
-    size = F.floor(F.log1p(F.abs(x)) * F.lit(_STEPS))
+    """Non-decreasing long in ``x``: equal steps inside each power of two, mirrored around zero, so tiny and huge
+    values are told apart alike. NaN sorts last."""
+    exponent = F.greatest(F.floor(F.log2(F.abs(x))), F.lit(_LOWEST))
+    step = F.floor((F.abs(x) / F.pow(F.lit(2.0), exponent) - 1) * F.lit(_STEPS))
+    size = F.when(x == 0, F.lit(0)).otherwise((exponent - (_LOWEST - 2)) * F.lit(_STEPS) + step + 1)
     return (
         F.when(F.isnan(x), F.lit(1 << 40))
         .when(F.abs(x) == float("inf"), F.signum(x) * F.lit(1 << 39))

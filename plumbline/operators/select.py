@@ -84,9 +84,9 @@ def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 
 
 def anova_f(
-    df: DataFrame, categorical: list[str], numeric: str, most_groups: int = 50, alpha: float = 0.05
+    df: DataFrame, categorical: list[str], numeric: str, alpha: float = 0.05
 ) -> DataFrame:
-    """One-way F of ``numeric`` over each categorical column with 2..``most_groups`` levels."""
+    """One-way F of ``numeric`` over each categorical column with at least two levels."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical]
     )
@@ -102,7 +102,7 @@ def anova_f(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("_mean"), 2)).alias("between"),
         F.sum(F.col("n") * F.col("v")).alias("within"),
-    ).filter((F.col("groups") >= 2) & (F.col("groups") <= most_groups))
+    ).filter(F.col("groups") >= 2)
     df1, df2 = (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")
     f = (F.col("between") / df1) / F.nullif(F.col("within") / F.nullif(df2, F.lit(0.0)), F.lit(0.0))
     return sums.select("feature", "groups", "n", f.alias("f"), df1.alias("_a"), df2.alias("_b")).select(

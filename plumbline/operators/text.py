@@ -113,10 +113,10 @@ def section_units(
 
 
 def split_bullets(units: DataFrame, ident: str, number: str, text: str) -> DataFrame:
-    """Bullets of a unit as child units numbered a, b, c, ... in order."""
+    """Bullets of a unit as child units numbered 1, 2, 3, ... in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?im)^\s*(?:[-*•]|\([a-z]\))\s+(.*\S)\s*$"), 1)
     rows = units.select(ident, F.col(number).alias("parent_number"), F.posexplode(found).alias("_p", text))
-    child = F.concat_ws(".", F.col("parent_number"), F.char(F.col("_p") + 97))
+    child = F.concat_ws(".", F.col("parent_number"), F.col("_p") + 1)
     return rows.select(ident, child.alias(number), "parent_number", text)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .frames import number_rows, rejoin
 from .joins import top_k
+from .quantiles import value_bucket
 from .sampling import key_hash
 
 BLOCK = 2000  # rows of one side in a block pair
@@ -93,7 +94,7 @@ def vector_topk(
     else:
         k_search = k
     n_items = x.count()
-    n_pivots = pivots or int(min(256, max(1, math.sqrt(n_items / block))))
+    n_pivots = pivots or int(max(1, math.sqrt(n_items / block)))
     centres = _matrix(
         pd.Series([r["_v"] for r in x.orderBy(key_hash(["_i"], 7), "_i").select("_v").limit(n_pivots).collect()]),
         metric,
@@ -326,7 +327,9 @@ def near_miss(
         pool = many.join(short.select(F.col(f"match_{ident}").alias(ident)).distinct(), ident, "left_semi")
     near = vector_topk(pool, few, k, vector, ident, ident, "euclid", **kw)
     mean = near.groupBy(ident).agg((-F.avg("similarity")).alias("mean_distance"))
-    order = F.asc("mean_distance") if version == 1 else F.desc("mean_distance")
-    chosen = mean.orderBy(order, ident).limit(few.count())
+    signed = mean.withColumn("_o", F.col("mean_distance") * (1 if version == 1 else -1))
+    ranked = number_rows(signed, [], value_bucket(F.col("_o")), [F.col("_o"), F.col(ident)], "_n")
+    wanted = few.agg(F.count(F.lit(1)).alias("n")).scalar()
+    chosen = ranked.filter(F.col("_n") <= wanted).select(ident, "mean_distance")
     kept = many.join(chosen, ident)
     return kept.unionByName(few.withColumn("mean_distance", F.lit(None).cast("double")), allowMissingColumns=True)

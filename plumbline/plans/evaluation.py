@@ -268,7 +268,7 @@ def _(spark, d):
     return rounded(e.severity_bins(t, "coarse"), *SEG_COLS, places=5)
 
 
-@query("worst_segments", f"""{ERR}, g AS (SELECT l_suppkey, {SEG} FROM e GROUP BY 1) SELECT * FROM g WHERE n >= 20 ORDER BY mae DESC, l_suppkey LIMIT 20""")
+@query("worst_segments", f"""{ERR}, g AS (SELECT l_suppkey, {SEG} FROM e GROUP BY 1) SELECT * FROM g WHERE n >= 20 ORDER BY mae DESC, l_suppkey""")
 def _(spark, d):
     seg = rounded(e.segment_errors(_errors(spark, d), ["l_suppkey"]), *SEG_COLS, places=5)
     return e.worst_segments(seg, 20, ties=["l_suppkey"])

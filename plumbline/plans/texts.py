@@ -60,7 +60,7 @@ def _(spark, d):
     return _numbered(spark, d)
 
 
-@query("section_units", f"""WITH {NUMBERED}, u AS (SELECT doc_id, number, arg_min(left(line, 10), line_no) AS title, max((line_no % 6 = 5)::INT) AS is_heading,
+@query("section_units", f"""WITH {NUMBERED}, u AS (SELECT doc_id, number, arg_min(line, line_no) AS title, max((line_no % 6 = 5)::INT) AS is_heading,
  min(line_no) AS first_row, max(line_no) AS last_row, string_agg(line, chr(10) ORDER BY line_no) AS line FROM num GROUP BY 1, 2),
 w AS (SELECT *, length(number) - length(replace(number, '.', '')) AS dots FROM u)
 SELECT doc_id, number, CASE WHEN is_heading = 1 THEN title END AS heading, is_heading, first_row, last_row, md5(line) AS line,
@@ -69,7 +69,7 @@ SELECT doc_id, number, CASE WHEN is_heading = 1 THEN title END AS heading, is_he
  sha1(concat_ws('::', doc_id, number, left(sha1(line), 8))) AS unit_id FROM w""")
 def _(spark, d):
     rows = _numbered(spark, d).withColumns(
-        {"title": F.substring("line", 1, 10), "is_heading": (F.col("line_no") % 6 == 5).cast("int")}
+        {"title": F.col("line"), "is_heading": (F.col("line_no") % 6 == 5).cast("int")}
     )
     out = t.section_units(rows, "doc_id", "number", "line", "title", "is_heading")
     return out.withColumn("line", F.md5("line"))
@@ -78,7 +78,7 @@ def _(spark, d):
 @query("split_bullets", """WITH u AS (SELECT conv_id, turn, '- ' || replace(text, chr(10), chr(10) || '- ') AS text FROM conversations),
 b AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?im)^\\s*(?:[-*•]|\\([a-z]\\))\\s+(.*\\S)\\s*$', 1)) AS text,
  unnest(range(0, len(regexp_extract_all(text, '(?im)^\\s*(?:[-*•]|\\([a-z]\\))\\s+(.*\\S)\\s*$', 1)))) AS i FROM u)
-SELECT conv_id, turn::VARCHAR AS parent_number, turn || '.' || chr((97 + i)::INT) AS number, text FROM b""")
+SELECT conv_id, turn::VARCHAR AS parent_number, turn || '.' || (i + 1) AS number, text FROM b""")
 def _(spark, d):
     u = load(spark, d, "conversations").select(
         "conv_id", F.col("turn").cast("string").alias("number"),
@@ -95,10 +95,10 @@ def _(spark, d):
 
 
 @query("section_rollup", f"""WITH {NUMBERED}, k AS (SELECT *, lag(number) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM num WHERE starts_with(number, '2')),
-b AS (SELECT doc_id, line_no, CASE WHEN prev IS NULL OR prev <> number THEN trim(concat_ws(' ', number, left(line, 8))) || chr(10) ELSE '' END || trim(line) AS text FROM k)
+b AS (SELECT doc_id, line_no, CASE WHEN prev IS NULL OR prev <> number THEN trim(concat_ws(' ', number, line)) || chr(10) ELSE '' END || trim(line) AS text FROM k)
 SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS line FROM b GROUP BY 1""")
 def _(spark, d):
-    rows = _numbered(spark, d).withColumn("title", F.substring("line", 1, 8))
+    rows = _numbered(spark, d).withColumn("title", F.col("line"))
     return t.section_rollup(rows, "doc_id", "number", "2", "title", "line")
 
 
@@ -157,12 +157,12 @@ def _(spark, d):
     )
 
 
-@query("assemble_prompts", """WITH n AS (SELECT conv_id, role, left(text, 60) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn FROM conversations),
+@query("assemble_prompts", """WITH n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn FROM conversations),
 g AS (SELECT conv_id, string_agg(i || ') ' || text, chr(10) ORDER BY turn) AS items FROM n GROUP BY 1),
 f AS (SELECT conv_id, role, min(turn) AS k FROM conversations GROUP BY 1, 2), c AS (SELECT conv_id, string_agg(role, chr(10) ORDER BY k) AS ctx FROM f GROUP BY 1)
 SELECT conv_id, variant, 'Write as ' || variant || ':' || chr(10) || items || chr(10) || 'Roles: ' || ctx AS prompt FROM g JOIN c USING (conv_id), (VALUES ('research'), ('marketing')) v(variant)""")
 def _(spark, d):
-    rows = load(spark, d, "conversations").withColumn("text", F.substring("text", 1, 60))
+    rows = load(spark, d, "conversations")
     template = "Write as {variant}:\n{items}\nRoles: {context}"
     return t.assemble_prompts(rows, ["conv_id"], "text", ["turn"], template, ["research", "marketing"], "role")
 
