@@ -42,7 +42,9 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     """A dictionary from a bounded sample of page heads, chosen by hash; empty if there are too few."""
     head = F.substring(F.col(html), 1, SAMPLE_BYTES)
     rows = pages.where(F.length(html) > 0).select(F.xxhash64(html).alias("h"), head.alias("t"))
-    samples = [r.t.encode() for r in rows.orderBy("h").limit(SAMPLE_PAGES).collect()]
+    least = rows.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]  # hashes alone are ranked
+    few = rows.where(F.col("h") <= least).groupBy("h").agg(F.first("t").alias("t"))
+    samples = [r.t.encode() for r in sorted(few.collect(), key=lambda r: r.h)] if least is not None else []
     if len(samples) < 16:
         return b""
     try:
