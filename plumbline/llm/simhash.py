@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: pigeonring candidate filter, full Hamming check, components."""
+"""SimHash near-duplicates: pigeonring candidate filter, full Hamming check, components.
+
+``near_duplicates`` links fingerprints at a stated number of bits; ``similar_groups`` links texts at a stated share of
+common shingles, with fingerprints as the filter."""
 
 from __future__ import annotations
 
@@ -13,30 +16,38 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbline.llm.components import connected_components
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, release
 
 BITS = 64
 #: Shingles whose bits are counted at once, which bounds the memory of a very long text.
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included, as a signed long.
-
-    A-Z are lower-cased, words end at ASCII white space. A text of fewer words than ``shingle`` has its
-    whole word sequence as its one shingle; null and wordless texts have fingerprint zero."""
+def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; nothing for a wordless one."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        parts = [b" ".join(words)]
+        parts = [b" ".join(words)] if words else []
     else:
-        parts = [b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))]
+        parts = (b" ".join(p) for p in zip(*(words[i:] for i in range(shingle))))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed long."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(parts), CHUNK):
-        h = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts[at : at + CHUNK]], dtype="<u8")
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK]
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included, as a signed long.
+
+    A-Z are lower-cased, words end at ASCII white space. A text of fewer words than ``shingle`` has its
+    whole word sequence as its one shingle; null and wordless texts have fingerprint zero."""
+    return _majority(_hashes(text, shingle, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -174,13 +185,144 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; all columns stay.
+#: Minima of permuted shingle hashes make ``BANDS`` keys of ``ROWS`` minima each. Texts of similarity 0.8 share
+#: a key with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, above 0.9998.
+BANDS, ROWS = 12, 3
+_ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def _sketch(text: str | None, shingle: int) -> tuple[int, int, list[int]]:
+    """Fingerprint of the distinct shingles, their number, and the keys of the text."""
+    h = np.unique(_hashes(text, shingle, 42))
+    if not len(h):
+        return 0, 0, [0] * BANDS
+    low = np.empty(len(_ODD), dtype="<u8")
+    for i, m in enumerate(_ODD):
+        x = h * m
+        low[i] = (x ^ (x >> np.uint64(32))).min()
+    keys = [xxhash.xxh64_intdigest(b.tobytes()) for b in low.reshape(BANDS, ROWS)]
+    return _majority(h), len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def _ring_holds(diff: Column, distance: int, segments: int = 8, length: int = 3) -> Column:
+    """From some start, all chains of up to ``length`` segments keep within their share of ``distance``."""
+    width, starts = BITS // segments, []
+    for start in range(segments):
+        ok = F.lit(True)
+        for n in range(1, length + 1):
+            spans = [((start + k) % segments * width, width) for k in range(n)]
+            ok = ok & (F.bit_count(diff.bitwiseAND(F.lit(_mask(spans)))) <= n * distance // segments)
+        starts.append(ok)
+    out = starts[0]
+    for ok in starts[1:]:
+        out = out | ok
+    return out
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column("s"), batch.column("t")):
+                x, y = (np.unique(_hashes(v.as_py(), shingle, 42)) for v in (s, t))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    distance: int = 24,
+    dense: int = 8,
+) -> DataFrame:
+    """``(id, node, component_id)`` per row of ``docs``: groups of texts with a shingle similarity of 0.8 or more.
+
+    At this similarity fingerprints differ in some ten of 64 bits, where no bits are a selective key, so
+    candidates share a key of hash minima instead. They pass the pigeonring chains, the full Hamming check
+    at ``distance`` and a bound on their numbers of shingles, and then an exact comparison of their shingles.
+    ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
+    key are compared with its smallest node. Then members that are still apart are compared: all pairs of a key with
+    at most ``dense`` of them, and the smallest member outside the first one's group with the others of a larger one.
+
+    Null and wordless texts are one group. Rows with a null id take part; a group's id is null only if
+    all its ids are. Repeated rows stay, an empty table gives an empty result."""
+    node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node")
+    plain = docs.select(F.col(id_col).alias("id"), node, F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_sketch(t, shingle) for t in b.column("text").to_pylist()]
+            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), *cols], ["id", "node", "fp", "n", "keys"])
+
+    kinds = [plain.schema["id"], plain.schema["node"]]
+    kinds += [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    rows = cut_lineage(plain.mapInArrow(run, T.StructType(kinds)))
+    nodes = cut_lineage(
+        rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    )
+    keyed = nodes.select("node", "fp", "n", F.posexplode("keys").alias("tag", "key"))
+    lead = F.min(F.struct("node", "fp", "n")).alias("lead")
+    shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1")
+    live = cut_lineage(keyed.join(shared, ["tag", "key"]))
+    texts = cut_lineage(
+        plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
+    )
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        """Of pairs of structs ``x`` and ``y`` the nodes of those that may be similar."""
+        diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+        size = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+        ok = size & _ring_holds(diff, distance) & (F.bit_count(diff) <= distance)
+        a, b = F.col("x.node"), F.col("y.node")
+        return pairs.where(ok & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    me = F.struct("node", "fp", "n")
+    first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), texts, shingle, similarity))
+    roots = connected_components(first)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    placed = live.select("tag", "key", "size", me.alias("x"), "node", F.col("lead.node").alias("head"))
+    placed = placed.join(of("node"), "node", "left").join(of("head"), "head", "left").select(
+        "tag", "key", "size", "x", F.coalesce("node_root", "node").alias("root"), F.coalesce("head_root", "head").alias("first")
+    )
+    apart = placed.groupBy("tag", "key").agg(
+        F.min(F.when(F.col("root") != F.col("first"), F.col("x"))).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    split = cut_lineage(placed.join(apart.where("lo <> hi"), ["tag", "key"]))
+    few = split.where(F.col("size") <= dense)
+    other = few.select("tag", "key", F.col("x").alias("y"), F.col("root").alias("y_root"))
+    pairs = few.drop("y").join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
+    pairs = pairs.union(split.where(F.col("size") > dense).select("x", "y"))
+    second = _similar(passed(pairs), texts, shingle, similarity)
+    edges = cut_lineage(first.union(second))
+    roots = connected_components(edges)
+    whole = nodes.select("node", "id").join(roots, "node", "left").select(
+        F.col("node"), F.coalesce("root", "node").alias("root"), "id"
+    )
+    lows = whole.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = whole.join(lows, "root").select("node", "component_id")
+    release(live, texts, split, first, edges)
+    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "node", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of similar texts; all columns stay.
 
     Of repeated rows with the kept id and one text one stays. Rows without an id stay as they are."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    with_id = keyed.where(F.col(id_col).isNotNull())
-    named = near_duplicates(with_id.select(id_col, text, "_h"), id_col, text, distance=distance, carry=("_h",))
-    kept = named.where(F.col(id_col) == F.col("component_id")).select(id_col, "_h")
-    one = with_id.join(kept, [id_col, "_h"], "left_semi").dropDuplicates([id_col, "_h"]).select(*docs.columns)
-    return one.union(docs.where(F.col(id_col).isNull()))
+    node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), node.alias("node"))
+    with_id = whole.where("id is not null")
+    named = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text, similarity=similarity)
+    kept = named.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id"), "node").distinct()
+    one = with_id.join(kept, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+    return one.union(whole.where("id is null").select(*one.columns)).select("row.*")

@@ -6,7 +6,7 @@ import corpus_pipeline
 from plumbline.llm import packing, simhash, substrings, toxicity
 from plumbline.llm.queries import QUERIES
 from tests.llm.test_decontam import brute as leaks
-from tests.llm.test_simhash import groups, slow_print
+from tests.llm.test_simhash import alike
 from tests.llm.test_substrings import brute as repeats
 
 SF = "/root/testdata/sf0.001"
@@ -17,8 +17,7 @@ def test_pipeline_matches_brute_force(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     clean = sorted((r.doc_id, r.text) for r in docs.collect() if model.at_least(r.text)[0] < toxicity.DECISION)
     assert 0 < len(clean) < docs.count()
-    prints = [(d, slow_print(t)) for d, t in clean]
-    single = [(d, t) for (d, t), c in zip(clean, groups(prints, 2)) if d == c]
+    single = [(d, t) for (d, t), c in zip(clean, alike(clean)) if d == c]
     assert len(single) < len(clean)
     cut = []
     texts = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(single, "doc_id long, text string")).collect()}
@@ -49,4 +48,4 @@ def test_stages_keep_the_columns(spark):
 def test_a_group_keeps_its_smallest_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert kept == {r.component_id for r in simhash.similar_groups(docs).collect()}

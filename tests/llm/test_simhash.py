@@ -37,6 +37,24 @@ def groups(prints, distance):
     return [least.get(low[i]) for i in range(len(prints))]
 
 
+def alike(docs):
+    """Smallest id reachable over pairs of texts that share four fifths of their five-word shingles."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    low = list(range(len(docs)))
+    changed = True
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    return [min(d for (d, _), m in zip(docs, low) if m == mine) for mine in low]
+
+
 def test_query_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     docs.sort()
@@ -86,6 +104,27 @@ def test_odd_rows(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dense", [2, 8])
+def test_similar_groups_match_brute_force(spark, dense):
+    rng = random.Random(dense)
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 60, 300]))]
+        for _ in range(20):
+            docs.append(" ".join(base))
+            if rng.random() < 0.7:
+                base[rng.randrange(len(base))] = rng.choice(words)
+    docs += [None, "", " ", "one two", "One TWO", "one two three"]
+    rng.shuffle(docs)
+    rows = [(i, t, "x") for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, dense=dense).collect()}
+    assert got == dict(enumerate(alike([r[:2] for r in rows])))
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and {r.node for r in kept} == {"x"}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
