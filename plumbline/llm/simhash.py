@@ -188,6 +188,8 @@ def near_duplicates(
 #: Minima of permuted shingle hashes make ``BANDS`` keys of ``ROWS`` minima each. Texts of similarity 0.8 share
 #: a key with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, above 0.9998.
 BANDS, ROWS = 12, 3
+#: Counters of a table that tells rare shingles from common ones.
+SLOTS = 1 << 20
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -236,6 +238,63 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _shares(similarity: float, n: np.ndarray | int) -> tuple[int, int]:
+    """Prefix lengths of a set of ``n`` shingles that no partner escapes: of any size, and of the same size or larger."""
+    return tuple(int(n - np.ceil(s * n - 1e-6)) + 1 for s in (similarity, 2 * similarity / (1 + similarity)))
+
+
+def _apart(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``members(node, root)`` with two roots, among them all of ``similarity`` or more.
+
+    A prefix-filtered join: shingles are ordered from rare to common, by their count in a table of ``SLOTS``
+    (any one order is right, a rough count only costs time). Two similar sets have their first common shingle so
+    early in both that enough others can follow, hence boilerplate that is common to strangers is hardly ever a key."""
+    whole = cut_lineage(members.join(texts, "node"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                seen += np.bincount((np.unique(_hashes(t, shingle, 42)) % SLOTS).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(seen)
+        for i in range(0, len(at), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + CHUNK]), pa.array(seen[at[i : i + CHUNK]])], ["slot", "k"])
+
+    found = whole.select("text").mapInArrow(count, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).where("k > 1")
+    table = found.toArrow()
+    counts = np.ones(SLOTS, dtype=np.int32)
+    counts[table["slot"].to_numpy()] = np.minimum(table["k"].to_numpy(), (1 << 31) - 1)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, t in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "text"))):
+                h = np.unique(_hashes(t, shingle, 42))
+                if not len(h):
+                    continue
+                k = counts[h % SLOTS]
+                long, short = _shares(similarity, len(h))
+                order = np.lexsort((h, k))[:long]
+                pos = np.flatnonzero(k[order] > 1)  # a shingle alone in its slot is nobody else's
+                cols = [pa.array(h[order[pos]].view("<i8")), pa.array(pos), pa.array(pos < short)]
+                cols += [pa.array([v] * len(pos), kind) for v, kind in ((node, pa.binary()), (root, pa.binary()), (len(h), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "pos", "early", "node", "root", "n"])
+
+    kinds = "h long, pos long, early boolean, node binary, root binary, n long"
+    keys = cut_lineage(whole.select("node", "root", "text").mapInArrow(prefixes, kinds))
+    of_use = keys.groupBy("h").agg(F.max("early").alias("early"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    live = cut_lineage(keys.join(of_use.where("early and lo <> hi").select("h"), "h", "left_semi"))
+    x, y = live.alias("x"), live.where("early").alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    needed = (nx + ny) * (similarity / (1 + similarity)) - 1e-6
+    ok = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (ny >= similarity * nx - 1e-6)
+    ok &= (nx > ny) | ((nx == ny) & (F.col("x.node") > F.col("y.node")))
+    ok &= F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= needed
+    a, b = F.col("x.node"), F.col("y.node")
+    pairs = cut_lineage(x.join(y, ok).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    release(whole, keys, live)
+    return pairs
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -252,7 +311,8 @@ def similar_groups(
     at ``distance`` and a bound on their numbers of shingles, and then an exact comparison of their shingles.
     ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
     key are compared with its smallest node. Then members that are still apart are compared: all pairs of a key with
-    at most ``dense`` of them, and the smallest member outside the first one's group with the others of a larger one.
+    at most ``dense`` of them, and the pairs that ``_apart`` finds among the members of all larger ones. So every
+    pair of the similarity that shares a key is found, in a key of any size.
 
     Null and wordless texts are one group. Rows with a null id take part; a group's id is null only if
     all its ids are. Repeated rows stay, an empty table gives an empty result."""
@@ -291,19 +351,16 @@ def similar_groups(
     first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), texts, shingle, similarity))
     roots = connected_components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = live.select("tag", "key", "size", me.alias("x"), "node", F.col("lead.node").alias("head"))
-    placed = placed.join(of("node"), "node", "left").join(of("head"), "head", "left").select(
-        "tag", "key", "size", "x", F.coalesce("node_root", "node").alias("root"), F.coalesce("head_root", "head").alias("first")
-    )
-    apart = placed.groupBy("tag", "key").agg(
-        F.min(F.when(F.col("root") != F.col("first"), F.col("x"))).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    placed = live.select("tag", "key", "size", me.alias("x"), "node").join(of("node"), "node", "left").select(
+        "tag", "key", "size", "x", F.coalesce("node_root", "node").alias("root")
     )
+    apart = placed.groupBy("tag", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     split = cut_lineage(placed.join(apart.where("lo <> hi"), ["tag", "key"]))
     few = split.where(F.col("size") <= dense)
     other = few.select("tag", "key", F.col("x").alias("y"), F.col("root").alias("y_root"))
-    pairs = few.drop("y").join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
-    pairs = pairs.union(split.where(F.col("size") > dense).select("x", "y"))
-    second = _similar(passed(pairs), texts, shingle, similarity)
+    pairs = few.join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
+    many = _apart(split.where(F.col("size") > dense).select("x.node", "root").distinct(), texts, shingle, similarity)
+    second = _similar(passed(pairs).union(many).distinct(), texts, shingle, similarity)
     edges = cut_lineage(first.union(second))
     roots = connected_components(edges)
     whole = nodes.select("node", "id").join(roots, "node", "left").select(
@@ -311,7 +368,7 @@ def similar_groups(
     )
     lows = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     named = whole.join(lows, "root").select("node", "component_id")
-    release(live, texts, split, first, edges)
+    release(live, texts, split, first, many, edges)
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "node", "component_id")
 
 

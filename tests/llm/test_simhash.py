@@ -125,6 +125,19 @@ def test_similar_groups_match_brute_force(spark, dense):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and {r.node for r in kept} == {"x"}
 
 
+def test_pairs_inside_a_template_family(spark):
+    """Strangers share 225 of 271 shingles (0.71), planted pairs 241 (0.80): hot keys, and one pair per group."""
+    page = " ".join(f"t{i}" for i in range(229))
+    own = lambda name, k: " ".join(f"{name}x{i}" for i in range(k))
+    docs = [f"{page} {own(f'p{p}', 16)} {own(f'q{p}s{side}', 30)}" for p in range(300) for side in range(2)]
+    docs += [f"{page} {own(f'r{i}', 46)}" for i in range(1500)]
+    rows = list(enumerate(docs))
+    random.Random(1).shuffle(rows)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {i: i - i % 2 if i < 600 else i for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
