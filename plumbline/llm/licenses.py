@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence notices, in normalised form (see ``normalised``).
+# Sentences of public licence notices, in normalised form (see ``sentences_of``).
 NOTICES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -94,22 +94,47 @@ KNOWN = _sentences()
 assert all(re.search(ANCHORS, s) for s in KNOWN)
 
 
+def _wrapped() -> dict[str, str]:
+    """Pattern of a known sentence, or of all forms of a grant, over any line breaks, to the sentence on one line."""
+    gaps = lambda s: re.escape(s).replace("\\ ", "[ \n]")
+    any_of = lambda forms: f"(?:{'|'.join(map(gaps, sorted(forms, key=len, reverse=True)))})"
+    forms = {i: any_of([s]) for i, s in NOTICES.items()}
+    for name, named in NAMES.items():
+        tails = {t for s, i in KNOWN.items() if i == f"grant:{name}" for v in VERBS if s.startswith(v) for t in (s[len(v) :],)}
+        spdx = gaps(f"spdx license identifier {name.lower().replace('-', ' ')}")
+        forms[name] = f"(?:{any_of(SUBJECTS)}{any_of(VERBS)}{any_of(tails)}|{spdx})"
+    lines = NOTICES | {name: f"licensed under {named[0]}" for name, named in NAMES.items()}
+    assert all(KNOWN[line] in (i, f"grant:{i}") for i, line in lines.items())
+    return {f"(?<![^\n|]){p}(?![^\n|])": lines[i] for i, p in forms.items()}
+
+
+WRAPPED = _wrapped()
+
+
 def sentences_of(text: Column) -> Column:
-    """Sentences: a line that goes on in lower case (behind comment marks) is joined, then cut at ends of sentences
-    and lines."""
-    joined = F.regexp_replace(text, r"\r?\n[ \t/*#;%-]*([a-z(])", " $1")
-    return F.split(F.regexp_replace(joined, r"[.!?]+(\s|$)", "\n"), r"\n")
+    """Normalised sentences: lower case; only letters a-z, digits, ``+`` and points inside stay, parted by one space.
+
+    A line that goes on in lower case (behind comment marks) is joined, then the text is cut at ends of sentences and
+    lines. A line that goes on otherwise may be a new one or a wrapped one, so lines of one paragraph are joined where
+    they make up a known sentence, and only there."""
+    joined = F.translate(F.regexp_replace(text, r"\r?\n[ \t/*#;%-]*([a-z(])", " $1"), "|", "-")
+    cut = F.lower(F.regexp_replace(joined, r"[.!?]+(\s|$)", "|"))  # from here on | ends a sentence or paragraph
+    flat = F.regexp_replace(cut, r"[^a-z0-9+.|\n]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(flat, r"\n ?(\n ?)+", "|"), r" ?([\n|]) ?", "$1")
 
+    def mended(s: Column) -> Column:
+        out = s
+        for pattern, line in WRAPPED.items():
+            out = F.regexp_replace(out, pattern, line)
+        return F.when(s.rlike("|".join(WRAPPED)), out).otherwise(s)
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; only letters a-z, digits, ``+`` and points inside stay, parted by one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+.]+", " "))
+    return F.split(F.transform(F.array(F.trim(flat)), mended)[0], r"[\n|]")
 
 
 def _identifiers(text: Column) -> Column:
     """Identifiers of the licence-like sentences of a text in order; ``?`` for an unknown one that names a licence."""
     known = F.create_map(*[F.lit(x) for pair in sorted(KNOWN.items()) for x in pair])
-    alike = F.filter(F.transform(sentences_of(text), normalised), lambda s: s.rlike(ANCHORS))
+    alike = F.filter(sentences_of(text), lambda s: s.rlike(ANCHORS))
     found = F.transform(alike, lambda s: F.coalesce(known[s], F.when(s.rlike("licen[cs]e"), F.lit("?"))))
     return F.when(F.lower(text).rlike(ANCHORS), F.array_compact(found)).otherwise(F.array().cast("array<string>"))
 

@@ -1,3 +1,5 @@
+import textwrap
+
 from plumbline.llm import licenses
 from plumbline.llm.queries import QUERIES
 
@@ -28,6 +30,83 @@ ENDORSE = """3. Neither the name of the copyright holder nor the names of its co
 GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
 
+# The texts as they stand in license files, headings and line breaks included.
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+ISC_FILE = """ISC License
+
+Copyright (c) 2020 Jo Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+BSD_FILE = """Copyright (c) 2020, Jo Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+ENDORSE_FILE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+
+
+def test_wrapped_license_files(spark):
+    files = [("MIT", MIT_FILE), ("ISC", ISC_FILE), ("BSD-2-Clause", BSD_FILE.format("")), ("BSD-3-Clause", BSD_FILE.format(ENDORSE_FILE))]
+    rows = []
+    for name, text in files:
+        lines = text.split("\n")
+        rows += [(name, text), (name, text.replace("\n", "\r\n")), (name, "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint x;")]
+        rows += [(name, "\n".join(f"{m} {x}".rstrip() for x in lines)) for m in ("//", "#", ";;")]
+        rows += [(name, "\n".join(textwrap.fill(p, w) for p in text.split("\n\n"))) for w in (30, 55)]
+    rows += [("Apache-2.0", "Released under the Apache\nLicense, Version 2.0."), ("CC-BY-4.0", "This work is licensed under the Creative\nCommons Attribution 4.0\nInternational License")]
+    rows += [("", "Licensed under the MIT. License"), ("", "Released under the MIT\n\nLicense")]
+    rows += [("MIT", "My Tool\nReleased under the MIT License\nUsage\nRun it|now"), ("MIT", "a | b\nReleased under the MIT License")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [(r.doc_id, ",".join(r.licenses)) for r in licenses.scan(df).collect()] == [(n, n) for n, _ in rows]
+
 
 def test_query_matches_sql(same_as_sql):
     assert same_as_sql("op1_license_sentences", SF) > 0
