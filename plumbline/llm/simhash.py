@@ -1,7 +1,7 @@
 """SimHash near-duplicates: pigeonring candidate filter, full Hamming check, components.
 
 ``near_duplicates`` links fingerprints at a stated number of bits; ``similar_groups`` links texts at a stated share of
-common shingles, with fingerprints as the filter."""
+common shingles, without fingerprints: its candidates are MinHash bands."""
 
 from __future__ import annotations
 
@@ -193,32 +193,17 @@ SLOTS = 1 << 20
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def _sketch(text: str | None, shingle: int) -> tuple[int, int, list[int]]:
-    """Fingerprint of the distinct shingles, their number, and the keys of the text."""
+def _sketch(text: str | None, shingle: int) -> tuple[int, list[int]]:
+    """Number of distinct shingles, and the keys of the text."""
     h = np.unique(_hashes(text, shingle, 42))
     if not len(h):
-        return 0, 0, [0] * BANDS
+        return 0, [0] * BANDS
     low = np.empty(len(_ODD), dtype="<u8")
     for i, m in enumerate(_ODD):
         x = h * m
         low[i] = (x ^ (x >> np.uint64(32))).min()
     keys = [xxhash.xxh64_intdigest(b.tobytes()) for b in low.reshape(BANDS, ROWS)]
-    return _majority(h), len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
-
-
-def _ring_holds(diff: Column, distance: int, segments: int = 8, length: int = 3) -> Column:
-    """From some start, all chains of up to ``length`` segments keep within their share of ``distance``."""
-    width, starts = BITS // segments, []
-    for start in range(segments):
-        ok = F.lit(True)
-        for n in range(1, length + 1):
-            spans = [((start + k) % segments * width, width) for k in range(n)]
-            ok = ok & (F.bit_count(diff.bitwiseAND(F.lit(_mask(spans)))) <= n * distance // segments)
-        starts.append(ok)
-    out = starts[0]
-    for ok in starts[1:]:
-        out = out | ok
-    return out
+    return len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -301,14 +286,13 @@ def similar_groups(
     text: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    distance: int = 24,
     dense: int = 8,
 ) -> DataFrame:
     """``(id, node, component_id)`` per row of ``docs``: groups of texts with a shingle similarity of 0.8 or more.
 
-    At this similarity fingerprints differ in some ten of 64 bits, where no bits are a selective key, so
-    candidates share a key of hash minima instead. They pass the pigeonring chains, the full Hamming check
-    at ``distance`` and a bound on their numbers of shingles, and then an exact comparison of their shingles.
+    At this similarity fingerprints differ in some ten of 64 bits, where no bits are a selective key and no number
+    of bits is a bound, so this is MinHash banding and not pigeonring: candidates share a key of hash minima. They
+    pass a bound on their numbers of shingles, and then an exact comparison of their shingles.
     ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
     key are compared with its smallest node. Then members that are still apart are compared: all pairs of a key with
     at most ``dense`` of them, and the pairs that ``_apart`` finds among the members of all larger ones. So every
@@ -322,17 +306,15 @@ def similar_groups(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_sketch(t, shingle) for t in b.column("text").to_pylist()]
-            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), *cols], ["id", "node", "fp", "n", "keys"])
+            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), *cols], ["id", "node", "n", "keys"])
 
     kinds = [plain.schema["id"], plain.schema["node"]]
-    kinds += [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    kinds += [T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     rows = cut_lineage(plain.mapInArrow(run, T.StructType(kinds)))
-    nodes = cut_lineage(
-        rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    )
-    keyed = nodes.select("node", "fp", "n", F.posexplode("keys").alias("tag", "key"))
-    lead = F.min(F.struct("node", "fp", "n")).alias("lead")
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("tag", "key"))
+    lead = F.min(F.struct("node", "n")).alias("lead")
     shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1")
     live = cut_lineage(keyed.join(shared, ["tag", "key"]))
     texts = cut_lineage(
@@ -341,13 +323,11 @@ def similar_groups(
 
     def passed(pairs: DataFrame) -> DataFrame:
         """Of pairs of structs ``x`` and ``y`` the nodes of those that may be similar."""
-        diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-        size = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
-        ok = size & _ring_holds(diff, distance) & (F.bit_count(diff) <= distance)
+        ok = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
         a, b = F.col("x.node"), F.col("y.node")
         return pairs.where(ok & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    me = F.struct("node", "fp", "n")
+    me = F.struct("node", "n")
     first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), texts, shingle, similarity))
     roots = connected_components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))

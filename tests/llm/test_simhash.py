@@ -125,6 +125,18 @@ def test_similar_groups_match_brute_force(spark, dense):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and {r.node for r in kept} == {"x"}
 
 
+def test_similar_texts_with_fingerprints_far_apart(spark):
+    """Four of five shingles are common, but the fingerprints differ in 25 bits."""
+    docs = []
+    for i in (1707, 2094, 3676):
+        short = " ".join(f"{c}{i}" for c in "abcdefgh")
+        docs += [short, f"{short} i{i}"]
+        a, b = (simhash._majority(simhash._hashes(t, 5, 42)) for t in docs[-2:])
+        assert ((a ^ b) & (2**64 - 1)).bit_count() == 25
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_pairs_inside_a_template_family(spark):
     """Strangers share 225 of 271 shingles (0.71), planted pairs 241 (0.80): hot keys, and one pair per group."""
     page = " ".join(f"t{i}" for i in range(229))
