@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, extraction, kdtree, licenses, packing, simhash, substrings, topk, toxicity, warc
+from plumbline.llm import decontam, extraction, kdtree, licenses, packing, runs, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,83 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _load(spark, sf_dir, "pages").select("page_id", "url", "html")
     texts = extraction.extract(pages, extraction.fit(pages))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_OP11_SQL = """
+    with split as (
+        select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+               list_reduce([4294967295::ubigint] || list_transform(range(1, length(doc_id::varchar) + 1),
+                               lambda i: ascii(substr(doc_id::varchar, i, 1))::ubigint),
+                           lambda c, b: list_reduce([xor(c, b)] || range(8)::ubigint[],
+                               lambda x, k: xor(x >> 1, 3988292384::ubigint * (x & 1)))) as crc
+        from documents
+    ),
+    numbered as (
+        select r, doc_id, w, len(w)::bigint as n, xor(crc, 4294967295::ubigint)::bigint as h,
+               xor(crc, 4294967295::ubigint)::bigint // 10 as g from split
+    ),
+    places as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from numbered),
+    periods as (select *, 1 + (n - a) // (3 + g % 8) as q from places),
+    d as (
+        select r, doc_id, n, case when a is null then w
+               else list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % q end + 1]) end as w
+        from periods
+    ),
+    words as (select r, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+    equal as (
+        select x.r, y.i - x.i as p, x.i
+        from words x join words y on x.r = y.r and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+    ),
+    islands as (select r, p, i, i - row_number() over (partition by r, p order by i) as island from equal),
+    stretches as (
+        select r, p, min(i) as s, count(*) + p as length from islands group by r, p, island
+        having count(*) + p >= greatest(6, 4 * p)
+    ),
+    runs as (select r, s, length, min(p) as p from stretches group by r, s, length),
+    named as (
+        select r, count(*) as n_runs, string_agg(s || ',' || length || ',' || p || chr(10), '' order by s, p) as lines,
+               min(struct_pack(l := -length, s := s, p := p)) as top
+        from runs group by r
+    ),
+    gone as (select distinct r, unnest(generate_series(s + p, s + length - 1)) as i from runs),
+    kept as (
+        select r, string_agg(word, ' ' order by i) as t from words anti join gone using (r, i) group by r
+    )
+    select doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.s::bigint as start, (-top.l)::bigint as length,
+           top.p::bigint as period, (1000 * -top.l // top.p)::bigint as exponent_milli,
+           sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+    from d left join named using (r) left join kept using (r)
+"""
+
+
+@_query("op11_minimizer_runs", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with a stretch that repeats."""
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    split = docs.withColumn("w", F.when(h % 10 == 0, words))  # null where the text stays as it is
+    split = split.withColumns({"n": F.size("w"), "g": F.floor(h / 10)})
+    split = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rest = F.col("n") - F.col("a")
+    split = split.withColumn("p", (F.lit(1) + F.floor(rest / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    whole = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    asked = split.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    return (
+        runs.find_runs(asked)
+        .select("doc_id", "runs", "collapsed", top.alias("top"))
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("top.s")).alias("start"),
+            F.col("top.l").alias("length"),
+            (-F.col("top.p")).alias("period"),
+            F.floor(F.lit(1000) * F.col("top.l") / -F.col("top.p")).cast("long").alias("exponent_milli"),
+            F.sha2(lines, 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
