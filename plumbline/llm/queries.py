@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontam, extraction, kdtree, licenses, packing, runs, simhash, substrings, topk, toxicity, warc
+from plumbline.llm import codes, decontam, extraction, kdtree, licenses, packing, runs, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -306,3 +306,62 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sha2("collapsed", 256).alias("collapsed_sha256"),
         )
     )
+
+
+def _codes_sql() -> str:
+    steps = ["""
+    with kept as (
+        select row_number() over (order by vec_id, x) as r, * from (
+            select vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as x
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0)
+    ),
+    parts as materialized (
+        select r, vec_id, label, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] as v
+        from kept, (select unnest(range(4)) as p)
+    ),
+    book0 as materialized (select p, r - 1 as e, v as c from parts where r <= 256)"""]
+    near = """,
+    near{i} as materialized (
+        select r, p, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e := e)) as best
+        from parts join book{i} using (p) group by r, p
+    )"""
+    for i in range(4):
+        steps.append(near.format(i=i))
+        steps.append(f""",
+    sums{i} as (
+        select p, e, k, floor(sum(y)::double / count(*))::bigint as y
+        from (select parts.p, best.e as e, unnest(v) as y, generate_subscripts(v, 1) as k from parts join near{i} using (r, p))
+        group by p, e, k
+    ),
+    book{i + 1} as materialized (
+        select p, e, coalesce(m, c) as c
+        from book{i} left join (select p, e, list(y order by k) as m from sums{i} group by p, e) using (p, e)
+    )""")
+    steps.append(near.format(i=4))
+    steps.append(""",
+    digest as (
+        select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book4
+    ),
+    done as (
+        select r, string_agg(lower(lpad(hex(best.e), 2, '0')), '' order by p) as code, sum(best.d)::bigint as error
+        from near4 group by r
+    )
+    select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+    from done join kept using (r), digest
+    """)
+    return "".join(steps)
+
+
+@_query("op12_norm_sum_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, and the codebooks it refers to."""
+    done = codes.product_codes(_load(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0"))
+    return codes.with_label_error(done.rows).select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(done.digest()).alias("codebooks_sha256"),
+    )
