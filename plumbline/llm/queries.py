@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import codes, decontam, extraction, kdtree, licenses, packing, runs, simhash, substrings, topk, toxicity, warc
+from plumbline.llm import codes, decontam, extraction, kdtree, licenses, packing, pii, runs, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,3 +365,23 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_error",
         F.lit(done.digest()).alias("codebooks_sha256"),
     )
+
+
+@_query("op13_skip_chain_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the spans of fixed patterns, and those that the field adds."""
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    named = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counted = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(pii.KINDS) for x in (k, i)])
+    keyed = F.transform(F.concat("base", "added"), lambda s: F.struct(rank[s["kind"]].alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return (
+        pii.find(docs, pii.fit(docs))
+        .withColumn("all", F.array_sort(keyed))
+        .select(
+            "doc_id",
+            *[counted(k).alias(f"n_{k}") for k in pii.KINDS],
+            F.sha2(named("base"), 256).alias("base_sha256"),
+            named("all").alias("spans"),
+        )
+    )
