@@ -105,7 +105,7 @@ def spectral_clusters(
     """Clusters from non-negative affinities by power iteration; entities without any positive
     affinity (too short a series, for example) get -1."""
     ids = entities.select(F.col(entities.columns[0]).alias("entity")).distinct()
-    numbered = number_rows(ids, [], F.pmod(F.xxhash64("entity"), F.lit(1024)), [F.col("entity")], "no")
+    numbered = number_rows(ids, [], F.shiftright(F.xxhash64("entity"), 54), [F.xxhash64("entity"), F.col("entity")], "no")
     edges = affinity.filter(F.col(weight) > 0).select(a, b, weight)
     left = numbered.select(F.col("entity").alias(a), F.col("no").alias("src"))
     right = numbered.select(F.col("entity").alias(b), F.col("no").alias("dst"))

@@ -6,7 +6,7 @@ the same answers from partitions bounded by time or by row count:
 ``tick_frame``    range frames over a tick (second, day): rows are first combined per (key, tick),
                   then each key is cut into slices as wide as the frame, with one slice of halo.
 ``running``       unbounded prefixes: a local prefix inside (key, bucket) plus the prefix of the
-                  bucket totals.
+                  bucket totals. Buckets are counted first; ``bounded_buckets`` cuts crowded ones.
 ``row_frame``     fixed-length row frames: rows are numbered per key through bucket offsets, cut
                   into chunks, and the last rows of a chunk are copied to the next one as halo.
 """
@@ -15,9 +15,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..session import cut_lineage
+
 DAY = 86400
+#: Rows of one (key, bucket) beyond which the bucket is cut further.
+BUCKET_ROWS = 1_000_000
+#: Table of crowded buckets that is still broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def col(c: str | Column) -> Column:
@@ -88,6 +95,14 @@ def tick_frame(
     before the first shuffle, so no window partition grows with the rows of a hot key.
     """
     base = df.withColumn("_tick", tick)
+    framed = tick_values(base, keys, lo, hi, aggs, min_slice)
+    return rejoin(base, framed, [*keys, "_tick"]).drop("_tick")
+
+
+def tick_values(
+    base: DataFrame, keys: list[str], lo: int, hi: int, aggs: dict[str, tuple[str, str | Column]], min_slice: int = 1
+) -> DataFrame:
+    """The frame of ``tick_frame`` once per ``(*keys, _tick)`` of ``base``."""
     parts: dict[tuple[str, str], str] = {}
     exprs = []
     for name, (kind, source) in aggs.items():
@@ -130,12 +145,11 @@ def tick_frame(
         else:
             out = next(iter(v.values()))
         outs.append(out.alias(name))
-    framed = (
+    return (
         sliced.select(*keys, "_tick", F.col("_c.own").alias("_own"), *outs)
         .filter("_own")
         .drop("_own")
     )
-    return rejoin(base, framed, [*keys, "_tick"]).drop("_tick")
 
 
 def rejoin(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -154,6 +168,77 @@ def rejoin(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left")
     return df.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def inside(t: Column, lo: Column, hi: Column, n: Column, limit: int) -> Column:
+    """Which of ``4 n / limit`` equal parts of ``[lo, hi]`` holds ``t``, without overflow and never falling with ``t``;
+    nulls and infinities get parts of their own before and after, NaN the last one."""
+    parts = F.greatest(F.ceil(n * 4 / F.lit(limit)), F.lit(64)).cast("double")
+    halves = (t.cast("double") / 2 - lo.cast("double") / 2) / (hi.cast("double") / 2 - lo.cast("double") / 2)
+    whole = F.try_subtract(t, lo).cast("double") / F.try_subtract(hi, lo).cast("double")
+    share = F.when((F.typeof(t) == "bigint") & F.try_subtract(hi, lo).isNotNull(), whole).otherwise(halves)
+    place = F.least(F.floor(share * parts), parts - 1)
+    return F.when(odd(t) < 0, odd(t)).when(odd(t) > 0, parts - 1 + odd(t)).otherwise(place).cast("long")
+
+
+def odd(t: Column) -> Column:
+    """-2 for null, -1 and 1 for the infinities, 2 for NaN, 0 for what has a place between."""
+    d, low = t.cast("double"), F.lit(float("-inf"))
+    return F.when(d.isNull(), -2).when(d == low, -1).when(F.isnan(d), 2).when(d == -low, 1).otherwise(0)
+
+
+def finite(t: Column) -> Column:
+    return F.when(odd(t) == 0, t)
+
+
+def _tick_columns(df: DataFrame, order: list[Column]) -> list[Column]:
+    """The leading order columns that are numbers or instants, as numbers."""
+    named = df.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).schema
+    out = []
+    for c, f in zip(order, named):
+        if isinstance(f.dataType, T.IntegralType):
+            out.append(c.cast("long"))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            out.append(c.cast("double"))
+        elif isinstance(f.dataType, T.DateType):
+            out.append(F.unix_date(c).cast("long"))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out.append(micros(c))
+        else:
+            break
+    return out
+
+
+def bounded_buckets(df: DataFrame, keys: list[str], order: list[Column], name: str, limit: int | None = None) -> DataFrame:
+    """Cut every ``(*keys, name)`` of more than ``limit`` rows along ``order``, until none is larger or its rows tie.
+
+    One count per bucket decides, and where none is crowded the frame comes back as it is. A crowded bucket is cut
+    into equal parts of its own range of the first order column, about four times as many as limits fit in; parts that
+    are still crowded are cut again, and where all rows agree the next order column goes on. ``name`` stays in
+    order: it becomes a struct of the bucket and the part. The table of crowded buckets has at most one row per ``limit``
+    rows of ``df``; it is broadcast while its counted size is small and joined otherwise."""
+    limit = limit or BUCKET_ROWS
+    most = df.groupBy(*keys, name).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= limit:
+        return df
+    for tick in _tick_columns(df, order):
+        while True:
+            at = df.select(*keys, name, tick.alias("_t"))
+            t = F.col("_t")
+            spans = at.groupBy(*keys, name).agg(
+                F.count(F.lit(1)).alias("_n"), F.min(finite(t)).alias("_lo"), F.max(finite(t)).alias("_hi"),
+                F.min(odd(t)).alias("_first"), F.max(odd(t)).alias("_last"),
+            )
+            can_split = (F.col("_lo") < F.col("_hi")) | (F.col("_first") < F.col("_last"))
+            crowded = cut_lineage(spans.filter((F.col("_n") > limit) & can_split).drop("_first", "_last"))
+            n = crowded.count()
+            if not n:
+                break
+            side = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+            part = inside(tick, F.col("_lo"), F.col("_hi"), F.col("_n"), limit)
+            cut = F.struct(F.col(name).alias("b"), F.when(F.col("_n").isNotNull(), part).alias("p"))
+            df = rejoin(df, side, [*keys, name]).withColumn(name, cut).drop("_n", "_lo", "_hi")
+    return df
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -165,10 +250,10 @@ def running(
     """Prefix aggregates within ``keys`` in ``order``; ``bucket`` must not decrease along it.
 
     ``specs`` maps a name to ``(kind, column)``: count, sum, min, max or last (last non-null).
-    Work is split into (key, bucket) partitions, and only bucket totals are scanned per key.
-    ``order`` holds plain ascending columns.
+    Work is split into (key, bucket) partitions, crowded buckets being cut by count, and only bucket
+    totals are scanned per key. ``order`` holds plain ascending columns.
     """
-    b = df.withColumn("_b", bucket)
+    b = bounded_buckets(df.withColumn("_b", bucket), keys, order, "_b")
     local_w = (
         W.partitionBy(*keys, "_b")
         .orderBy(*order)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions.derive import haversine_km, unit_sphere
 from ..session import cut_lineage
 from .clean import dedupe
-from .frames import DAY, micros, rejoin, running, seconds, slice_of, tick_frame
+from .frames import DAY, micros, rejoin, running, seconds, slice_of, tick_values
 
 # --- equi joins -------------------------------------------------------------------------------
 
@@ -229,7 +229,7 @@ def asof_join(
     r = right.select(*by, (micros(right_ts) * sign).alias("_t"), row.alias("_row")).dropna(subset=[*by, "_t"])
     limit = None if tolerance is None else tolerance * 1000000
     if plan == "merge":
-        tagged = left.withColumn("_t", micros(ts) * sign)
+        tagged = left.withColumn("_t", micros(ts) * sign).dropna(subset=[*by, "_t"])
         l_row = F.struct(*[F.col(c) for c in left.columns if c not in by])
         side_l, side_r = (1, 0) if allow_exact else (0, 1)
         both = tagged.select(
@@ -251,6 +251,12 @@ def asof_join(
         if limit is not None:
             hit = F.when(F.col("_t") - hit["_t"] <= limit, hit)
         rows = carried.select(*by, "_left.*", (F.col("_t") - hit["_t"]).alias("_lag"), hit["_row"].alias("_m"))
+        absent = reduce(Column.__or__, [F.col(c).isNull() for c in [*by, ts]])
+        alone = left.filter(absent).select(  # these go round the windows
+            *by, *[c for c in left.columns if c not in by], F.lit(None).cast("long").alias("_lag"),
+            F.lit(None).cast(r.schema["_row"].dataType).alias("_m"),
+        )
+        rows = rows.unionByName(alone)
     elif plan == "range":
         if limit is None:
             raise ValueError("the range plan needs a tolerance")
@@ -312,9 +318,9 @@ def incoming_activity(
 ) -> DataFrame:
     """Rows heading for X within the trailing ``span`` seconds, attached to rows leaving X at the
     same instant; 0 where nothing matches."""
-    arrivals = tick_frame(
-        df.select(dest, ts), [dest], seconds(ts), -span, 0, {name: ("count", F.lit(1))}
-    ).dropDuplicates([dest, ts])
+    moments = df.select(dest, ts).withColumn("_tick", seconds(ts))
+    framed = tick_values(moments, [dest], -span, 0, {name: ("count", F.lit(1))})
+    arrivals = rejoin(moments.distinct(), framed, [dest, "_tick"])
     side = arrivals.select(F.col(dest).alias("_d"), F.col(ts).alias("_at"), name)
     joined = df.join(side, (F.col(origin) == F.col("_d")) & (F.col(ts) == F.col("_at")), "left")
     return joined.withColumn(name, F.coalesce(name, F.lit(0))).drop("_d", "_at")

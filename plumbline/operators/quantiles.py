@@ -2,7 +2,8 @@
 
 Values are counted per distinct value, prefix counts are built bucket by bucket
 (``frames.running``), and only the rows that hold a wanted rank go on. The bucket is a monotone
-function of the value, so it needs no sampling pass and never differs between retries.
+function of the value, so it needs no sampling pass and never differs between retries; a bucket that
+turns out crowded is cut along its own range of values.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .frames import col, rejoin, running
+from ..session import cut_lineage
+from . import frames
+from .frames import col, finite, inside, rejoin, running
 
 _STEPS = 4096  # buckets per power of two in magnitude
 _LOWEST = -1000  # exponents below share their buckets
@@ -59,16 +62,11 @@ def exact_quantiles(
     """Interpolated quantiles in long form: ``(*keys, metric, prob, quantile)``.
 
     Rows are counted per value bucket first, which shuffles only bucket counts. A second pass then
-    looks at the few buckets that hold a wanted rank and orders their distinct values."""
+    looks at the few buckets that hold a wanted rank and orders their distinct values; a bucket of more than
+    ``frames.BUCKET_ROWS`` rows is cut along its own range before that, as often as it takes."""
     ks = [*keys, "metric"]
     long = unpivoted(df, keys, cols).withColumn("_b", value_bucket(F.col("value")))
-    group = W.partitionBy(*ks)
-    n = F.col("n")
-    heads = long.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("n")).select(
-        *ks, "_b", "n",
-        (F.sum(n).over(group.orderBy("_b")) - n).alias("before"),
-        F.sum(n).over(group).alias("total"),
-    )
+    n, v = F.col("n"), F.col("value")
     at = [
         F.struct(
             F.lit(float(p)).alias("prob"),
@@ -78,17 +76,34 @@ def exact_quantiles(
         )
         for p in probs
     ]
+    spans = [F.count(F.lit(1)).alias("n"), F.min(finite(v)).alias("v_lo"), F.max(finite(v)).alias("v_hi")]
 
     def held(a: Column, below: Column, count: Column) -> Column:
-        def inside(r: Column) -> Column:
+        def within(r: Column) -> Column:
             return (r >= below) & (r < below + count)
 
-        return inside(a["lo"]) | inside(a["hi"])
+        return within(a["lo"]) | within(a["hi"])
+
+    def holding(heads: DataFrame, asks: Column) -> DataFrame:
+        kept = heads.select(*ks, "_b", "before", "n", "v_lo", "v_hi", F.filter(asks, lambda a: held(a, F.col("before"), n)).alias("asks"))
+        return cut_lineage(kept.filter(F.size("asks") > 0))  # a row per group and wanted rank, read more than once
 
-    asked = heads.select(
-        *ks, "_b", "before", F.filter(F.array(*at), lambda a: held(a, F.col("before"), n)).alias("asks")
-    ).filter(F.size("asks") > 0)
-    near = rejoin(long, asked, [*ks, "_b"], how="inner")
+    group = W.partitionBy(*ks)
+    heads = long.groupBy(*ks, "_b").agg(*spans).select(
+        "*", (F.sum(n).over(group.orderBy("_b")) - n).alias("before"), F.sum(n).over(group).alias("total")
+    )
+    asked = holding(heads, F.array(*at))
+    limit = frames.BUCKET_ROWS
+    while not asked.filter((n > limit) & (F.col("v_lo") < F.col("v_hi"))).isEmpty():
+        hits = rejoin(long, asked, [*ks, "_b"], how="inner")
+        part = F.when(n > limit, inside(v, F.col("v_lo"), F.col("v_hi"), n, limit))
+        hits = hits.select(*ks, "value", "before", "asks", F.struct("_b", part.alias("p")).alias("_b"))
+        first = [F.first("before").alias("base"), F.first("asks").alias("asks")]
+        bucket = W.partitionBy(*ks, F.col("_b._b")).orderBy("_b.p")
+        heads = hits.groupBy(*ks, "_b").agg(*spans, *first).withColumn("before", F.col("base") + F.sum(n).over(bucket) - n)
+        asked = holding(heads, F.col("asks"))
+        long = hits.select(*ks, "value", "_b")
+    near = rejoin(long, asked.select(*ks, "_b", "before", "asks"), [*ks, "_b"], how="inner")
     values = near.groupBy(*ks, "_b", "value").agg(
         F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("asks").alias("asks")
     )

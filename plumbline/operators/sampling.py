@@ -23,7 +23,7 @@ def key_hash(key: list[str], seed: int = 42) -> Column:
 
 
 def _hash_rank(df: DataFrame, group: list[str], key: list[str], seed: int, name: str) -> DataFrame:
-    """Row number within ``group`` in hash order, from 4,096 hash buckets per group."""
+    """Row number within ``group`` in hash order, from 4,096 hash buckets per group and more where these are crowded."""
     hashed = df.withColumn("_h", key_hash(key, seed))
     bucket = F.shiftright("_h", 48)
     return number_rows(hashed, group, bucket, [F.col("_h"), *[F.col(k) for k in key]], name).drop("_h")
