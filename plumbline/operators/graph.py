@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .frames import rejoin
+from ..session import cut_lineage, release
+from .frames import number_rows, rejoin
 from .quantiles import quantile_values
 
 
@@ -80,16 +80,34 @@ def pagerank(
     return ranks
 
 
-def betweenness(edges: DataFrame, weight: str = "weight", normalise: bool = True) -> DataFrame:
-    """Weighted shortest-path betweenness of a directed graph, all sources in step.
+def betweenness(edges: DataFrame, weight: str = "weight", normalise: bool = True, batch: int = 256) -> DataFrame:
+    """Weighted shortest-path betweenness of a directed graph.
 
-    Distances relax until none improves; shortest-path counts and dependencies then spread along
-    the edges that lie on shortest paths, one hop per round. Every round is a join and a sum."""
+    Sources go in batches, so the state of a round has ``batch`` x vertices rows; of a finished batch only a
+    sum per vertex is kept. Within a batch all sources advance in step: distances relax until none
+    improves, then shortest-path counts and dependencies spread along the edges that lie on
+    shortest paths, one hop per round. Every round is a join and a sum."""
     e = cut_lineage(
         edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(F.col(weight).cast("double")).alias("w"))
     )
-    verts = cut_lineage(vertices_of(e))
-    dist = verts.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d"))
+    ids = vertices_of(e)
+    verts = cut_lineage(number_rows(ids, [], F.shiftright(F.xxhash64("id"), 54), [F.xxhash64("id"), F.col("id")], "no"))
+    n = verts.count()
+    load = verts.select("id", F.lit(0.0).alias("b"))
+    for first in range(0, n, batch):
+        some = verts.filter((F.col("no") > first) & (F.col("no") <= first + batch)).select("id")
+        part = _source_loads(e, some)
+        after = cut_lineage(load.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")))
+        release(part, load)
+        load = after
+    scale = 1.0 / ((n - 1) * (n - 2)) if normalise and n > 2 else 1.0
+    return load.select("id", (F.col("b") * scale).alias("betweenness"))
+
+
+def _source_loads(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(id, b)``: share of the shortest paths from ``sources`` that run through each vertex, summed."""
+    own = [F.col("id").alias("s"), F.col("id").alias("v")]
+    dist = cut_lineage(sources.select(*own, F.lit(0.0).alias("d")))
     frontier = dist
     while True:
         reached = (
@@ -100,10 +118,12 @@ def betweenness(edges: DataFrame, weight: str = "weight", normalise: bool = True
         better = reached.join(dist, ["s", "v"], "left").filter(
             F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-9 * F.greatest(F.col("d"), F.lit(1.0)))
         )
-        frontier = cut_lineage(better.select("s", "v", F.col("nd").alias("d")))
-        if frontier.isEmpty():
+        fresh = cut_lineage(better.select("s", "v", F.col("nd").alias("d")))
+        if fresh.isEmpty():
             break
-        dist = cut_lineage(dist.unionByName(frontier).groupBy("s", "v").agg(F.min("d").alias("d")))
+        after = cut_lineage(dist.unionByName(fresh).groupBy("s", "v").agg(F.min("d").alias("d")))
+        release(dist, frontier)
+        dist, frontier = after, fresh
 
     tail = dist.select("s", F.col("v").alias("src"), F.col("d").alias("d_u"))
     head = dist.select("s", F.col("v").alias("dst"), F.col("d").alias("d_v"))
@@ -116,22 +136,22 @@ def betweenness(edges: DataFrame, weight: str = "weight", normalise: bool = True
 
     def spread(seed: DataFrame, start: str, end: str) -> DataFrame:
         """Sum of a value carried along 0, 1, 2, ... shortest-path edges."""
-        total, wave = seed, seed
+        total = wave = cut_lineage(seed)
         while True:
             moved = wave.withColumnRenamed("v", start).join(steps, ["s", start])
-            wave = cut_lineage(moved.groupBy("s", F.col(end).alias("v")).agg(F.sum("x").alias("x")))
-            if wave.isEmpty():
+            after = cut_lineage(moved.groupBy("s", F.col(end).alias("v")).agg(F.sum("x").alias("x")))
+            if after.isEmpty():
                 return total
-            total = cut_lineage(total.unionByName(wave).groupBy("s", "v").agg(F.sum("x").alias("x")))
+            both = cut_lineage(total.unionByName(after).groupBy("s", "v").agg(F.sum("x").alias("x")))
+            release(total, wave)
+            total, wave = both, after
 
-    sigma = spread(verts.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("x")), "src", "dst")
+    sigma = spread(sources.select(*own, F.lit(1.0).alias("x")), "src", "dst")
     back = spread(sigma.select("s", "v", (1.0 / F.col("x")).alias("x")), "dst", "src")
     both = sigma.join(back.withColumnRenamed("x", "g"), ["s", "v"]).filter("s <> v")
-    load = both.groupBy("v").agg(F.sum(F.col("x") * F.col("g") - 1).alias("b"))
-    n = verts.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalise and n > 2 else 1.0
-    out = verts.join(load, F.col("id") == F.col("v"), "left")
-    return out.select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    out = cut_lineage(both.groupBy(F.col("v").alias("id")).agg(F.sum(F.col("x") * F.col("g") - 1).alias("b")))
+    release(dist, frontier, fresh, steps, sigma, back)
+    return out
 
 
 def attach_metrics(df: DataFrame, key: str, metrics: DataFrame, cols: list[str]) -> DataFrame:

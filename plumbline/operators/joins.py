@@ -129,66 +129,92 @@ def holiday_window(df: DataFrame, date: str, dates: list[str], k: int, name: str
 # --- nearest sites ----------------------------------------------------------------------------
 
 
+#: Sites in a cell that is searched whole, cuts per axis from one level of cells to the next, and levels.
+LEAF_SITES, CUTS, LEVELS = 32, 8, 6
+
+
+def _cell(xyz: list[Column], level: int) -> Column:
+    """Number of the level's cell around a point of the unit cube [-1, 1]^3."""
+    n = CUTS**level
+    at = [F.greatest(F.least(F.floor((c + 1) / 2 * n), F.lit(n - 1)), F.lit(0)).cast("long") for c in xyz]
+    return (at[0] * n + at[1]) * n + at[2]
+
+
+def _corners(cell: Column, level: int) -> list[tuple[Column, Column]]:
+    n = CUTS**level
+    at = [F.floor(cell / F.lit(n * n)), F.floor(cell / F.lit(n)) % n, cell % n]
+    return [(i * (2.0 / n) - 1, (i + 1) * (2.0 / n) - 1) for i in at]
+
+
+def _box_distances(a: Column, b: Column, level: int) -> tuple[Column, Column]:
+    """Least and largest distance between points of two cells of a level."""
+    low, high = F.lit(0.0), F.lit(0.0)
+    for (a0, a1), (b0, b1) in zip(_corners(a, level), _corners(b, level)):
+        gap = F.greatest(b0 - a1, a0 - b1, F.lit(0.0))
+        reach = F.greatest(b1 - a0, a1 - b0)
+        low, high = low + gap * gap, high + reach * reach
+    return F.sqrt(low), F.sqrt(high)
+
+
 def nearest_k(
-    points: DataFrame,
-    sites: DataFrame,
-    k: int,
-    point_id: str = "point_id",
-    site_id: str = "site_id",
-    first_radius_km: float = 100.0,
-    growth: float = 4.0,
+    points: DataFrame, sites: DataFrame, k: int, point_id: str = "point_id", site_id: str = "site_id"
 ) -> DataFrame:
     """The ``k`` closest sites per point, exact, without comparing every pair.
 
-    Each round puts points and sites in cubes on the unit sphere as wide as the search radius. A
-    point looks at the 27 cubes around it and is settled once ``k`` sites lie within the radius;
-    the rest try a larger one. The last round spans the globe.
-    """
+    Sites are counted in nested cubes around the unit sphere, cut until a cube holds few sites. Cubes that
+    hold points are paired with cubes of sites level by level: the smallest reach within which the counts add up to
+    ``k`` bounds the search, and pairs that begin beyond it go. Points meet sites only in the last, small cubes, so a dense
+    city costs more levels and no larger pairs. Points at one place are searched once, and of sites at
+    one place only the first ``k`` count. With fewer sites than ``k`` all of them are returned. Rows without
+    a position are left out."""
 
-    def located(df: DataFrame, ident: str, tag: str) -> DataFrame:
-        x, y, z = unit_sphere(F.col("lat"), F.col("lon"))
+    def located(df: DataFrame, ident: str) -> DataFrame:
         return df.dropna(subset=["lat", "lon"]).select(
-            ident, *[c.alias(f"{tag}{n}") for n, c in
-                     {"lat": F.col("lat"), "lon": F.col("lon"), "x": x, "y": y, "z": z}.items()]
+            F.col(ident), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in ("lat", "lon")]
         )
 
-    open_points, all_sites = located(points, point_id, "p_"), located(sites, site_id, "s_")
-    settled: list[DataFrame] = []
-    radius, half_globe = first_radius_km, np.pi * 6371.0088
-    while True:
-        last = radius >= half_globe
-        edge = 2.0 if last else 2 * np.sin(radius / 6371.0088 / 2) * 1.0001
-
-        def cell(tag: str, axis: str) -> Column:
-            return F.floor(F.col(f"{tag}{axis}") / F.lit(float(edge))).cast("long")
-
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        probe = open_points
-        for axis in "xyz":
-            probe = probe.withColumn("_d", F.explode(around)).withColumn(
-                f"c{axis}", cell("p_", axis) + F.col("_d")
-            )
-        placed = all_sites.select("*", *[cell("s_", a).alias(f"c{a}") for a in "xyz"])
-        found = (
-            probe.drop("_d")
-            .join(placed, ["cx", "cy", "cz"])
-            .withColumn("dist_km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("s_lat"), F.col("s_lon")))
-            .select(point_id, site_id, "dist_km")
+    def placed(df: DataFrame, tag: str) -> DataFrame:
+        xyz = list(unit_sphere(F.col("lat"), F.col("lon")))
+        cells = [_cell(xyz, i).alias(f"{tag}{i}") for i in range(LEVELS + 1)]
+        return df.select("*", *cells).withColumnsRenamed({"lat": f"{tag}lat", "lon": f"{tag}lon"})
+
+    asked = located(points, point_id)
+    first = top_k(located(sites, site_id), ["lat", "lon"], [F.col(site_id)], k, "_r").drop("_r")
+    s = cut_lineage(placed(first, "s"))
+    p = cut_lineage(placed(asked.select("lat", "lon").distinct(), "p"))
+    pairs = p.limit(1).select(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("leaf"))
+    done: list[tuple[int, DataFrame]] = []
+    for level in range(1, LEVELS + 1):
+        above, here = f"{level - 1}", f"{level}"
+        homes = p.select(F.col(f"p{above}").alias("q"), F.col(f"p{here}").alias("q2")).distinct()
+        boxes = s.groupBy(F.col(f"s{above}").alias("c"), F.col(f"s{here}").alias("c2")).agg(F.count(F.lit(1)).alias("n"))
+        finer = pairs.join(homes, "q").join(boxes, "c")
+        low, high = _box_distances(F.col("q2"), F.col("c2"), level)
+        seen = F.sum("n").over(W.partitionBy("q2").orderBy("high", "c2").rowsBetween(W.unboundedPreceding, 0))
+        reach = F.min(F.when(F.col("seen") >= k, F.col("high"))).over(W.partitionBy("q2"))
+        near = (
+            finer.select("q2", "c2", "n", low.alias("low"), high.alias("high"))
+            .withColumn("seen", seen)
+            .withColumn("reach", reach)
+            .filter("reach is null or low <= reach + 1e-6")
         )
-        if not last:
-            found = found.filter(F.col("dist_km") <= radius)
-        ranked = top_k(found, [point_id], [F.col("dist_km"), F.col(site_id)], k, "rank")
-        if last:
-            settled.append(ranked)
-            break
-        full = ranked.filter(F.col("rank") == k).select(point_id)
-        ranked = cut_lineage(ranked.join(full, point_id, "left_semi"))
-        settled.append(ranked)
-        open_points = cut_lineage(open_points.join(ranked, point_id, "left_anti"))
-        if open_points.isEmpty():
+        small = (F.col("n") <= LEAF_SITES) | F.lit(level == LEVELS)
+        # A cube of points goes on while any of its cubes of sites is large.
+        whole = F.min(small).over(W.partitionBy("q2"))
+        now = cut_lineage(near.select(F.col("q2").alias("q"), F.col("c2").alias("c"), whole.alias("leaf")))
+        done.append((level, now.filter("leaf")))
+        pairs = now.filter("not leaf")
+        if pairs.isEmpty():
             break
-        radius *= growth
-    return reduce(DataFrame.unionByName, settled)
+    found = []
+    for level, ready in done:
+        spots = p.select(F.col(f"p{level}").alias("q"), "plat", "plon")
+        offers = s.select(F.col(f"s{level}").alias("c"), site_id, "slat", "slon")
+        km = haversine_km(F.col("plat"), F.col("plon"), F.col("slat"), F.col("slon"))
+        found.append(ready.join(spots, "q").join(offers, "c").select("plat", "plon", site_id, km.alias("dist_km")))
+    ranked = top_k(reduce(DataFrame.unionByName, found), ["plat", "plon"], [F.col("dist_km"), F.col(site_id)], k, "rank")
+    here = (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))
+    return asked.join(ranked, here).select(point_id, site_id, "dist_km", "rank")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
@@ -328,40 +354,36 @@ def incoming_activity(
 
 # --- containment ------------------------------------------------------------------------------
 
-_GRAM, _SPAN = 12, 40  # gram length and the text length above which anchors are thinned out
+#: Gram lengths; a text takes the longest one of which it holds a whole window of as many grams.
+_GRAMS = (1, 2, 4, 8, 16)
 
 
-def _gram_hashes(text: str, q: int) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - q + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(q):
-            h = h * np.uint64(1099511628211) + codes[j : j + n]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
-def _anchors(text: str) -> list[int]:
-    """Smallest gram hash of every window of ``_SPAN`` characters."""
-    h = _gram_hashes(text, _GRAM)
-    w = _SPAN - _GRAM + 1
-    if len(h) < w:
-        return []
-    picked = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1))
-    return picked.view(np.int64).tolist()
+def _minima(text: str, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each gram length ``q`` the distinct smallest gram hashes of all windows of ``q`` grams."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    out: dict[int, np.ndarray] = {}
+    h = _mixed(codes + np.uint64(1))
+    for q in _GRAMS:
+        if q > 1:  # two halves make a gram of twice the length
+            half = q // 2
+            if len(h) <= half:
+                break
+            h = _mixed(h[:-half] * np.uint64(0xD1342543DE82EF95) + h[half:])
+        if q in lengths and len(h) >= q:
+            low, have = h, 1
+            while have < q:
+                low, have = np.minimum(low[:-have], low[have:]), have * 2
+            out[q] = np.unique(low).view(np.int64)
+    return out
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _all_anchors(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _anchors(t) if t else [])
-
-
-@F.pandas_udf(T.LongType())
-def _first_anchor(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _anchors(t[:_SPAN])[0])
+def _gram_length(text: Column) -> Column:
+    return F.greatest(*[F.when(F.length(text) >= 2 * q - 1, F.lit(q)).otherwise(0) for q in _GRAMS])
 
 
 def contains_join(
@@ -369,33 +391,48 @@ def contains_join(
 ) -> DataFrame:
     """Pairs where one text contains the other, ignoring case: ``(a_id, b_id)``.
 
-    A text contained in another shares with it the smallest gram hash of its first 40 characters,
-    so candidates come from an equi join on those anchors and are then checked. Texts shorter than
-    40 characters are matched by substrings of exactly their length.
-    """
-    x = a.select(F.col(a_id).alias("_x"), F.lower(a_text).alias("_tx"))
-    y = b.select(F.col(b_id).alias("_y"), F.lower(b_text).alias("_ty"))
-    one = _holds(x, "_x", "_tx", y, "_y", "_ty")
-    two = _holds(y, "_y", "_ty", x, "_x", "_tx")
-    pairs = one.select("_x", "_y").unionByName(two.select("_x", "_y")).distinct()
-    return pairs.select(F.col("_x").alias(a_id), F.col("_y").alias(b_id))
-
-
-def _holds(big: DataFrame, bi: str, bt: str, small: DataFrame, si: str, st: str) -> DataFrame:
-    long_small = small.filter(F.length(st) >= _SPAN).withColumn("_h", _first_anchor(st))
-    keys = big.select(bi, F.explode(_all_anchors(bt)).alias("_h"))
-    hits = keys.join(long_small.select(si, "_h"), "_h").select(bi, si).distinct()
-    checked = (
-        hits.join(big, bi).join(small, si).filter(F.contains(F.col(bt), F.col(st))).select(bi, si)
+    A text takes part with grams of 1 to 16 characters, the longer the text the longer the gram. Of each window of
+    grams the smallest hash is kept, so a text held by another keeps hashes that the other one keeps too. Of these
+    the one that the fewest other texts keep becomes its only key; texts that meet on it are compared. Equal texts
+    are compared once. Empty and null texts match nothing."""
+
+    def side(df: DataFrame, ident: str, text: str) -> tuple[DataFrame, DataFrame]:
+        named = df.select(F.col(ident).alias("id"), F.lower(text).alias("t")).filter(F.length("t") > 0)
+        keyed = cut_lineage(named.select("id", F.unhex(F.md5("t")).alias("h"), "t"))
+        return keyed.select("id", "h").distinct(), keyed.select("h", "t").dropDuplicates(["h"])
+
+    x_ids, x = side(a, a_id, a_text)
+    y_ids, y = side(b, b_id, b_text)
+    one = _holds(x, y).select(F.col("big").alias("hx"), F.col("small").alias("hy"))
+    two = _holds(y, x).select(F.col("small").alias("hx"), F.col("big").alias("hy"))
+    pairs = one.unionByName(two).distinct()
+    left = x_ids.select(F.col("h").alias("hx"), F.col("id").alias(a_id))
+    right = y_ids.select(F.col("h").alias("hy"), F.col("id").alias(b_id))
+    return pairs.join(left, "hx").join(right, "hy").select(a_id, b_id).distinct()
+
+
+def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
+    """``(big, small)`` where the first text contains the second; both sides are distinct ``(h, t)``."""
+    length = _gram_length(F.col("t"))
+    lengths = sorted(r[0] for r in small.select(length).distinct().collect())  # at most five numbers
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.concatenate([*_minima(t, lengths).values(), np.empty(0, np.int64)]))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def own(texts: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([_minima(t, [n])[n] for t, n in zip(texts, q)], dtype=object)
+
+    wanted = small.select(F.col("h").alias("small"), F.explode(own("t", length)).alias("g"))
+    held = big.select(F.col("h").alias("big"), F.explode(every("t")).alias("g"))
+    held = cut_lineage(held.join(wanted.select("g").distinct(), "g", "left_semi"))
+    spread = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    seen = wanted.join(spread, "g", "left")  # a gram that no text holds rules its own text out
+    rarest = seen.groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("k"))
+    keys = rarest.filter("k.n > 0").select("small", F.col("k.g").alias("g"))
+    meet = held.join(keys, "g").select("big", "small")
+    texts = meet.join(big.select(F.col("h").alias("big"), F.col("t").alias("tb")), "big").join(
+        small.select(F.col("h").alias("small"), F.col("t").alias("ts")), "small"
     )
-    short = small.filter((F.length(st) < _SPAN) & (F.length(st) > 0))
-    sizes = [r[0] for r in short.select(F.length(st)).distinct().collect()]  # at most 39 numbers
-    if not sizes:
-        return checked
-    def substrings(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(bt) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col(bt), i, F.lit(n)))
-
-    at = [substrings(n) for n in sorted(sizes)]
-    grams = big.select(bi, F.explode(F.array_distinct(F.concat(*at))).alias(st))
-    return checked.unionByName(grams.join(short, st).select(bi, si)).distinct()
+    return texts.filter(F.contains("tb", "ts")).select("big", "small")

@@ -79,11 +79,38 @@ def _(spark, d):
     return rounded(g.pagerank(_sparse(spark, d)), "pagerank", places=6)
 
 
-@query("betweenness")
+def _betweenness_sql():
+    """Distances by squaring, then every shortest path written out and its inner vertices counted."""
+    ctes = [ROUTES, "w AS MATERIALIZED (SELECT src, dst, distance AS d FROM r WHERE src <> dst)",
+            "v AS MATERIALIZED (SELECT src AS id FROM w UNION SELECT dst FROM w)",
+            "d0 AS MATERIALIZED (SELECT src, dst, d FROM w UNION ALL SELECT id, id, 0 FROM v)"]
+    for i in range(1, 6):
+        ctes.append(f"d{i} AS MATERIALIZED (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d{i - 1} a JOIN d{i - 1} b ON a.dst = b.src GROUP BY 1, 2)")
+    return f"""WITH RECURSIVE {', '.join(ctes)},
+ steps AS MATERIALIZED (SELECT a.src AS s, w.src AS u, w.dst AS t FROM d5 a JOIN w ON a.dst = w.src JOIN d5 b ON b.src = a.src AND b.dst = w.dst
+  WHERE abs(a.d + w.d - b.d) <= 1e-9 * greatest(b.d, 1)),
+ paths AS (SELECT s, t, [s, t] AS path FROM steps WHERE u = s
+  UNION ALL SELECT p.s, n.t, list_append(p.path, n.t) FROM paths p JOIN steps n ON n.s = p.s AND n.u = p.t),
+ shares AS (SELECT unnest(path[2:-2]) AS id, 1.0::DOUBLE / count(*) OVER (PARTITION BY s, t) AS x FROM paths),
+ b AS (SELECT id, sum(x) AS b FROM shares GROUP BY 1), n AS (SELECT count(*) AS n FROM v)
+SELECT v.id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM v LEFT JOIN b ON v.id = b.id, n"""
+
+
+@query("betweenness", _betweenness_sql())
 def _(spark, d):
     return rounded(g.betweenness(_routes(spark, d)[1], "distance"), "betweenness", places=9)
 
 
+@query("attach_metrics", f"""WITH {SPARSE}, m AS (SELECT id, sum(i) AS in_degree, sum(i + o) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1),
+x AS (SELECT p_partkey, p_size * 2 AS size, in_degree, degree FROM part LEFT JOIN m ON id = p_size * 2)
+SELECT p_partkey, size, CAST(coalesce(in_degree, (SELECT quantile_cont(in_degree, 0.5) FROM x)) AS DOUBLE) AS in_degree,
+ CAST(coalesce(degree, (SELECT quantile_cont(degree, 0.5) FROM x)) AS DOUBLE) AS degree FROM x""")
+def _(spark, d):
+    metrics = g.degrees(_sparse(spark, d)).select("id", *[F.col(c).cast("double").alias(c) for c in ("in_degree", "degree")])
+    parts = load(spark, d, "part").select("p_partkey", (F.col("p_size") * 2).alias("size"))
+    return g.attach_metrics(parts, "size", metrics, ["in_degree", "degree"])
+
+
 @query("reachable", f"""WITH {SPARSE}, h1 AS (SELECT *, 1 AS hop FROM e WHERE src = 3), f1 AS (SELECT DISTINCT dst AS src FROM h1 WHERE dst <> 3),
 h2 AS (SELECT *, 2 AS hop FROM e WHERE src IN (SELECT src FROM f1)), f2 AS (SELECT DISTINCT dst AS src FROM h2 WHERE dst <> 3 AND dst NOT IN (SELECT src FROM f1)),
 h3 AS (SELECT *, 3 AS hop FROM e WHERE src IN (SELECT src FROM f2)) SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""")

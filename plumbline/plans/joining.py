@@ -69,7 +69,7 @@ def _(spark, d):
         (F.col("s_acctbal") / 120).alias("lat"),
         (F.col("s_suppkey") * 104729 % 360 - 180.0).alias("lon"),
     )
-    return j.nearest_k(points, sites, 3, first_radius_km=400.0).withColumn("dist_km", F.round("dist_km", 3))
+    return j.nearest_k(points, sites, 3).withColumn("dist_km", F.round("dist_km", 3))
 
 
 ASOF_SQL = """
