@@ -163,9 +163,10 @@ def dedupe_ranked(
 
 def validate_rows(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Split into valid rows and rejected rows with their ``reasons``. Rules per column: positive,
-    latitude, longitude, non_empty."""
+    non_negative, latitude, longitude, non_empty."""
     ok = {
         "positive": lambda c: c > 0,
+        "non_negative": lambda c: c >= 0,
         "latitude": lambda c: c.between(-90, 90),
         "longitude": lambda c: c.between(-180, 180),
         "non_empty": lambda c: F.length(F.trim(c)) > 0,

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .frames import days, number_rows, per_group, rejoin, slice_of
 from .joins import top_k
 
@@ -33,9 +34,10 @@ def corr_matrix(
 ) -> DataFrame:
     """Pairwise Pearson correlation over shared instants: ``(entity_a, entity_b, n, corr)``, a < b.
 
-    Entities fall into blocks and instants into slabs; every (block pair, slab) is one small dense
-    matrix product that yields partial sums per pair, and the sums are added up. No row pair is
-    ever emitted. Values are centred per entity first, for the accuracy of the sums."""
+    Entities fall into blocks and instants into slabs; the values of a (block, slab) are packed into one tile, a
+    dense matrix. Only tiles of a slab meet, only on their common instants, and each meeting is one matrix product
+    that yields partial sums per pair of entities, which are added up. What is shuffled per pair of blocks is a
+    tile, not the rows in it. Values are centred per entity first, for the accuracy of the sums."""
     rows = long.select(F.col(entity).alias("e"), F.col(ts).alias("t"), F.col(value).cast("double").alias("v"))
     rows = rows.filter("v is not null and not isnan(v)")
     rows = per_group(rows, ["e"], {"_m": F.avg("v")}).select("e", "t", (F.col("v") - F.col("_m")).alias("v"))
@@ -48,30 +50,38 @@ def corr_matrix(
             "slab": F.pmod(F.xxhash64("t"), F.lit(n_slabs)).cast("int"),
         }
     )
-    # Block pairs (lo, hi) that a block takes part in.
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)),
-        lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")),
-    )
-    spread = tagged.withColumn("p", F.explode(pairs)).select("e", "t", "v", "b", "slab", "p.lo", "p.hi")
-    kind = spread.schema["e"].dataType.simpleString()
+    kind, at = (rows.schema[c].dataType.simpleString() for c in "et")
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="t", columns="e", values="v", aggfunc="first")
-        block_of = dict(zip(pdf["e"], pdf["b"]))
-        left = [c for c in wide.columns if block_of[c] == lo]
-        right = [c for c in wide.columns if block_of[c] == hi]
+        cells = wide.to_numpy(dtype="float64").tobytes()
+        return pd.DataFrame(
+            {"b": pdf["b"].iloc[:1], "slab": pdf["slab"].iloc[:1], "es": [list(wide.columns)], "ts": [list(wide.index)], "m": [cells]}
+        )
 
-        def parts(cols):
-            m = wide[cols].to_numpy(dtype="float64")
+    tiles = cut_lineage(
+        tagged.groupBy("b", "slab").applyInPandas(pack, f"b int, slab int, es array<{kind}>, ts array<{at}>, m binary")
+    )
+    present = tiles.groupBy("slab").agg(F.collect_set("b").alias("bs"))  # at most n_blocks numbers
+    meeting = F.transform("bs", lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")))
+    spread = tiles.join(present, "slab").withColumn("p", F.explode(meeting)).select("p.lo", "p.hi", "slab", "b", "es", "ts", "m")
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        rows_of = {int(r.b): r for r in pdf.itertuples()}
+        left, right = rows_of[lo], rows_of[hi]
+        place = {t: i for i, t in enumerate(right.ts)}
+        common = [(i, place[t]) for i, t in enumerate(left.ts) if t in place]
+
+        def parts(tile, keep):
+            m = np.frombuffer(tile.m).reshape(len(tile.ts), len(tile.es))[keep]
             seen = ~np.isnan(m)
             return np.where(seen, m, 0.0), seen.astype("float64")
 
-        (x, mx), (y, my) = parts(left), parts(right)
+        (x, mx), (y, my) = parts(left, [i for i, _ in common]), parts(right, [j for _, j in common])
         n = mx.T @ my
-        a, b = np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij")
-        la, rb = np.array(left, dtype=object), np.array(right, dtype=object)
+        a, b = np.meshgrid(np.arange(len(left.es)), np.arange(len(right.es)), indexing="ij")
+        la, rb = np.array(list(left.es), dtype=object), np.array(list(right.es), dtype=object)
         out = pd.DataFrame(
             {
                 "a": la[a.ravel()], "b": rb[b.ravel()], "n": n.ravel(),
@@ -120,8 +130,8 @@ def kmeans_pca(
 ) -> tuple[DataFrame, DataFrame]:
     """PCA, then k-means for every k: inertia and silhouette per k, and the labels of the best k."""
     vectors = df.select(ident, array_to_vector(F.transform(vector, lambda e: e.cast("double"))).alias("_raw"))
-    reduced = PCA(k=dims, inputCol="_raw", outputCol="features").fit(vectors).transform(vectors).select(ident, "features")
-    reduced.persist()
+    reduced = PCA(k=dims, inputCol="_raw", outputCol="features").fit(vectors).transform(vectors)
+    reduced = cut_lineage(reduced.select(ident, "features"))  # read again for every k
     rows, best = [], (None, -2.0)
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(reduced)

@@ -260,27 +260,34 @@ def segment_errors(df: DataFrame, keys: list[str], median: bool = True) -> DataF
     return with_quantiles(base, df, keys, {"median_bias": ("error", 0.5)}) if median else base
 
 
-# Upper edge (included) and label of each severity bin, then the open bin.
+# Upper edge and label of each bin of the actual size, then the label of what lies above. An edge
+# belongs to its bin, but for the first one of "detailed".
 SEVERITY_BINS = {
     "coarse": (
         [0, 15, 30, 60, 120],
-        ["0: none", "1: 1-15", "2: 16-30", "3: 31-60", "4: 61-120", "5: over 120"],
+        ["0: On-time (<=0)", "1: Short (1-15)", "2: Medium (16-30)", "3: Long (31-60)", "4: Very Long (61-120)", "5: Extreme (>120)"],
     ),
     "detailed": (
-        [0, 5, 10, 15, 20, 30, 45, 60, 90, 120, 180],
-        ["00: 0", "01: 1-5", "02: 6-10", "03: 11-15", "04: 16-20", "05: 21-30", "06: 31-45", "07: 46-60",
-         "08: 61-90", "09: 91-120", "10: 121-180", "11: over 180"],
+        [0, 0, 5, 10, 15, 20, 30, 45, 60, 90, 120, 180],
+        ["00: Early (<0)", "01: On-time (0)", "02: 1-5 min", "03: 6-10 min", "04: 11-15 min", "05: 16-20 min", "06: 21-30 min",
+         "07: 31-45 min", "08: 46-60 min", "09: 61-90 min", "10: 91-120 min", "11: 121-180 min", "12: >180 min"],
     ),
-    "status": ([15], ["0: on time", "1: late"]),
+    "status": ([0, 15, 60], ["On-time", "Minor Delay", "Moderate Delay", "Severe Delay"]),
 }
 
 
-def severity_bins(df: DataFrame, scheme: str = "coarse") -> DataFrame:
-    """``segment_errors`` over bins of the actual size."""
+def severity_bin(actual: Column, scheme: str = "coarse") -> Column:
     edges, labels = SEVERITY_BINS[scheme]
-    return segment_errors(
-        df.withColumn("bin", band(F.col("actual_value"), edges, labels, right_closed=True)), ["bin"]
-    )
+    if scheme == "detailed":  # what is below the first edge stands apart from what lies on it
+        return F.when(actual < edges[0], labels[0]).otherwise(band(actual, edges[1:], labels[1:], right_closed=True))
+    return band(actual, edges, labels, right_closed=True)
+
+
+def severity_bins(df: DataFrame, scheme: str = "coarse") -> DataFrame:
+    """``segment_errors`` over bins of the actual size, with the share of all rows in percent."""
+    out = segment_errors(df.withColumn("bin", severity_bin(F.col("actual_value"), scheme)), ["bin"])
+    total = out.agg(F.sum("n").alias("_t"))
+    return rejoin(out, total, []).withColumn("pct", F.col("n") * 100.0 / F.col("_t")).drop("_t")
 
 
 def worst_segments(segments: DataFrame, min_count: int, metric: str = "mae", ties: list[str] = (), n: int | None = None) -> DataFrame:

@@ -344,3 +344,37 @@ def per_group(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFr
     """Group aggregates joined back onto the rows: the two-phase form of an unordered window."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return rejoin(df, stats, keys)
+
+
+# --- arrays inside a row ----------------------------------------------------------------------
+
+
+def once(df: DataFrame, **new: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often later expressions (lambdas included) use them."""
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))).alias("_once")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    return df.select(*kept, held).select(*kept, "_once.*")
+
+
+def prefixes(df: DataFrame, items: str, name: str, value, fold, zero: Column) -> DataFrame:
+    """Add ``name[i]``, the fold of ``value`` over the first ``i`` elements of an array, for i = 0 to its size.
+
+    Two levels of blocks keep the work at size x its square root, without a growing array being copied."""
+    n, w = F.size(items), F.col("_width")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, x: fold(a, value(x)))
+
+    out = once(df, _width=F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int"))
+    out = once(out, _blocks=F.transform(F.sequence(F.lit(0), F.floor(n / w).cast("int")), lambda b: total(F.slice(items, b * w + 1, w))))
+    before = F.transform(
+        F.sequence(F.lit(0), F.size("_blocks") - 1), lambda i: F.aggregate(F.slice("_blocks", F.lit(1), i), zero, fold)
+    )
+    out = once(out, _before=before)
+
+    def at(i: Column) -> Column:
+        b = F.floor(i / w).cast("int")
+        return fold(F.get("_before", b), total(F.slice(items, b * w + 1, i % w)))
+
+    out = once(out, **{name: F.transform(F.sequence(F.lit(0), n), at)})
+    return out.drop("_width", "_blocks", "_before")

@@ -208,13 +208,14 @@ def _modularity(both: DataFrame, labels: DataFrame) -> float:
 
 
 def communities(
-    edges: DataFrame, weight: str = "weight", sweeps: int = 8, levels: int = 3
+    edges: DataFrame, weight: str = "weight", sweeps: int = 8, levels: int = 10
 ) -> tuple[DataFrame, float]:
     """Modularity communities ``(id, community)`` and their modularity.
 
     Each sweep lets half of the vertices (by hash) move to the neighbouring community with the
-    largest gain; a level ends when sweeps stop paying, and its communities become the vertices of
-    the next. The best labelling seen is returned."""
+    largest gain; a level ends when sweeps stop paying. Its communities then become the vertices of the
+    next level, joined by the summed weights between them and to themselves by those inside, until no level gains
+    or ``levels`` are done. The best labelling seen is returned."""
     both = cut_lineage(_undirected(edges, weight))
     final = None
     best_q = -1.0

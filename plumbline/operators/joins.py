@@ -128,7 +128,6 @@ def holiday_window(df: DataFrame, date: str, dates: list[str], k: int, name: str
 
 # --- nearest sites ----------------------------------------------------------------------------
 
-
 #: Sites in a cell that is searched whole, cuts per axis from one level of cells to the next, and levels.
 LEAF_SITES, CUTS, LEVELS = 32, 8, 6
 
@@ -173,13 +172,24 @@ def nearest_k(
             F.col(ident), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in ("lat", "lon")]
         )
 
+    asked = located(points, point_id)
+    found = _near_pairs(asked, located(sites, site_id), k, site_id)
+    km = haversine_km(F.col("plat"), F.col("plon"), F.col("slat"), F.col("slon"))
+    compared = found.select("plat", "plon", site_id, km.alias("dist_km"))
+    ranked = top_k(compared, ["plat", "plon"], [F.col("dist_km"), F.col(site_id)], k, "rank")
+    here = (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))
+    return asked.join(ranked, here).select(point_id, site_id, "dist_km", "rank")
+
+
+def _near_pairs(asked: DataFrame, sites: DataFrame, k: int, site_id: str) -> DataFrame:
+    """Places of points, each with the sites among which its ``k`` closest are: (plat, plon, site, slat, slon)."""
+
     def placed(df: DataFrame, tag: str) -> DataFrame:
         xyz = list(unit_sphere(F.col("lat"), F.col("lon")))
         cells = [_cell(xyz, i).alias(f"{tag}{i}") for i in range(LEVELS + 1)]
         return df.select("*", *cells).withColumnsRenamed({"lat": f"{tag}lat", "lon": f"{tag}lon"})
 
-    asked = located(points, point_id)
-    first = top_k(located(sites, site_id), ["lat", "lon"], [F.col(site_id)], k, "_r").drop("_r")
+    first = top_k(sites, ["lat", "lon"], [F.col(site_id)], k, "_r").drop("_r")
     s = cut_lineage(placed(first, "s"))
     p = cut_lineage(placed(asked.select("lat", "lon").distinct(), "p"))
     pairs = p.limit(1).select(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("leaf"))
@@ -210,11 +220,8 @@ def nearest_k(
     for level, ready in done:
         spots = p.select(F.col(f"p{level}").alias("q"), "plat", "plon")
         offers = s.select(F.col(f"s{level}").alias("c"), site_id, "slat", "slon")
-        km = haversine_km(F.col("plat"), F.col("plon"), F.col("slat"), F.col("slon"))
-        found.append(ready.join(spots, "q").join(offers, "c").select("plat", "plon", site_id, km.alias("dist_km")))
-    ranked = top_k(reduce(DataFrame.unionByName, found), ["plat", "plon"], [F.col("dist_km"), F.col(site_id)], k, "rank")
-    here = (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))
-    return asked.join(ranked, here).select(point_id, site_id, "dist_km", "rank")
+        found.append(ready.join(spots, "q").join(offers, "c").select("plat", "plon", site_id, "slat", "slon"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
@@ -354,8 +361,8 @@ def incoming_activity(
 
 # --- containment ------------------------------------------------------------------------------
 
-#: Gram lengths; a text takes the longest one of which it holds a whole window of as many grams.
-_GRAMS = (1, 2, 4, 8, 16)
+#: Gram lengths and the grams of a window; a text takes the longest of which it holds a whole window.
+_GRAMS = {1: 1, 2: 1, 4: 2, 8: 4, 16: 8}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -364,26 +371,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _minima(text: str, lengths: list[int]) -> dict[int, np.ndarray]:
-    """For each gram length ``q`` the distinct smallest gram hashes of all windows of ``q`` grams."""
+    """For each of the gram lengths the distinct smallest gram hashes of all windows of grams."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     out: dict[int, np.ndarray] = {}
     h = _mixed(codes + np.uint64(1))
-    for q in _GRAMS:
+    for q, window in _GRAMS.items():
         if q > 1:  # two halves make a gram of twice the length
             half = q // 2
             if len(h) <= half:
                 break
             h = _mixed(h[:-half] * np.uint64(0xD1342543DE82EF95) + h[half:])
-        if q in lengths and len(h) >= q:
+        if q in lengths and len(h) >= window:
             low, have = h, 1
-            while have < q:
+            while have < window:
                 low, have = np.minimum(low[:-have], low[have:]), have * 2
             out[q] = np.unique(low).view(np.int64)
     return out
 
 
 def _gram_length(text: Column) -> Column:
-    return F.greatest(*[F.when(F.length(text) >= 2 * q - 1, F.lit(q)).otherwise(0) for q in _GRAMS])
+    return F.greatest(*[F.when(F.length(text) >= q + w - 1, F.lit(q)).otherwise(0) for q, w in _GRAMS.items()])
 
 
 def contains_join(
@@ -403,16 +410,16 @@ def contains_join(
 
     x_ids, x = side(a, a_id, a_text)
     y_ids, y = side(b, b_id, b_text)
-    one = _holds(x, y).select(F.col("big").alias("hx"), F.col("small").alias("hy"))
-    two = _holds(y, x).select(F.col("small").alias("hx"), F.col("big").alias("hy"))
+    one = _holding(x, y, meetings(x, y)).select(F.col("big").alias("hx"), F.col("small").alias("hy"))
+    two = _holding(y, x, meetings(y, x)).select(F.col("small").alias("hx"), F.col("big").alias("hy"))
     pairs = one.unionByName(two).distinct()
     left = x_ids.select(F.col("h").alias("hx"), F.col("id").alias(a_id))
     right = y_ids.select(F.col("h").alias("hy"), F.col("id").alias(b_id))
     return pairs.join(left, "hx").join(right, "hy").select(a_id, b_id).distinct()
 
 
-def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
-    """``(big, small)`` where the first text contains the second; both sides are distinct ``(h, t)``."""
+def meetings(big: DataFrame, small: DataFrame) -> DataFrame:
+    """``(big, small)`` of texts that share the small one's rarest gram; both sides are distinct ``(h, t)``."""
     length = _gram_length(F.col("t"))
     lengths = sorted(r[0] for r in small.select(length).distinct().collect())  # at most five numbers
 
@@ -431,7 +438,10 @@ def _holds(big: DataFrame, small: DataFrame) -> DataFrame:
     seen = wanted.join(spread, "g", "left")  # a gram that no text holds rules its own text out
     rarest = seen.groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("k"))
     keys = rarest.filter("k.n > 0").select("small", F.col("k.g").alias("g"))
-    meet = held.join(keys, "g").select("big", "small")
+    return held.join(keys, "g").select("big", "small")
+
+
+def _holding(big: DataFrame, small: DataFrame, meet: DataFrame) -> DataFrame:
     texts = meet.join(big.select(F.col("h").alias("big"), F.col("t").alias("tb")), "big").join(
         small.select(F.col("h").alias("small"), F.col("t").alias("ts")), "small"
     )

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .clean import columns_of
 from .frames import col, rejoin
+from .joins import top_k
 from .quantiles import exact_quantiles, quantile_columns, unpivoted, with_quantiles
 
 
@@ -255,10 +256,42 @@ def pivot_metrics(long: DataFrame, row: str, column: str, values: list, value: s
 
 
 def melt(
-    df: DataFrame, ids: list[str], cols: list[str], names: tuple[str, str] = ("variable", "value")
+    df: DataFrame, ids: list[str], cols: list[str], names: tuple[str, str] = ("variable", "value"),
+    labels: dict[str, str] | None = None, max_chars: int | None = None, head: int | None = None,
 ) -> DataFrame:
-    """Wide to long without null values."""
-    return df.unpivot(ids, cols, *names).filter(F.col(names[1]).isNotNull())
+    """Wide to long without null values.
+
+    With ``labels`` values become trimmed texts (lists joined by commas, empty ones left out) and each row gets a
+    ``label``: the given one, or the last part of the column's name in title case. ``max_chars`` shortens
+    texts, the last character being an ellipsis. ``head`` keeps the first rows per ``ids`` in the order of ``cols``,
+    numbered in ``position``."""
+    variable, value = names
+    if labels is None and max_chars is None:
+        out = df.unpivot(ids, cols, *names).filter(F.col(value).isNotNull())
+    else:
+        types = dict(df.dtypes)
+        texts = []
+        for c in cols:
+            x = F.col(f"`{c}`")
+            if types[c].startswith("array"):
+                parts = F.filter(F.transform(x, lambda v: F.trim(v.cast("string"))), lambda v: v != "")
+                x = F.array_join(parts, ", ")
+            texts.append(F.struct(F.lit(c).alias(variable), F.trim(x.cast("string")).alias(value)))
+        out = df.select(*ids, F.inline(F.array(*texts))).filter(F.col(value) != "")
+        if max_chars is not None:
+            short = F.concat(F.substring(value, 1, max_chars - 1), F.lit("…"))
+            out = out.withColumn(value, F.when(F.length(value) > max_chars, short).otherwise(F.col(value)))
+        if labels is not None:
+            told = {c: labels.get(c, c.split(".")[-1].replace("_", " ").title()) for c in cols}
+            out = out.withColumn("label", _looked_up(F.col(variable), told))
+    if head is None:
+        return out
+    place = _looked_up(F.col(variable), {c: i for i, c in enumerate(cols)})
+    return top_k(out.withColumn("_place", place), ids, [F.col("_place")], head, "position").drop("_place")
+
+
+def _looked_up(c: Column, table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
 
 
 # --- comparisons ------------------------------------------------------------------------------

@@ -119,7 +119,7 @@ def duplicate_columns(df: DataFrame, cols: list[str]) -> DataFrame:
         *[
             F.struct(
                 F.bit_xor(F.xxhash64(F.col(c).cast("double"), F.lit(1))),
-                F.sum(F.pmod(F.xxhash64(F.col(c).cast("double")), F.lit(1 << 31))),
+                F.bit_xor(F.shiftrightunsigned(F.xxhash64(F.col(c).cast("double"), F.lit(2)), 20) * F.pmod(F.xxhash64(F.col(c).cast("double")), F.lit(1 << 19))),
                 F.count(c),
             ).alias(c)
             for c in cols

@@ -4,15 +4,12 @@ of its own cell or lines; anything across documents is a plain aggregation."""
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .frames import rejoin, running, slice_of
+from .frames import once, prefixes, rejoin, running, slice_of
 from .report import ordered_concat
 
 # --- lines ------------------------------------------------------------------------------------
@@ -71,17 +68,28 @@ def inherit_number(
 
 
 def sort_key(number: Column) -> Column:
-    """Text key that sorts 2 before 10 and digits before letters."""
+    """An array of (kind, number, text) per segment, which sorts 2 before 10 and numbers before letters."""
 
     def segment(s: Column) -> Column:
-        other = F.pmod(F.conv(F.substring(F.sha1(s), 1, 6), 16, 10).cast("long"), F.lit(999999))
-        return (
-            F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(s.try_cast("long").cast("string"), 6, "0")))
-            .when(s.rlike("^[a-z]$"), F.concat(F.lit("1"), F.lpad((F.ascii(s) - 96).cast("string"), 6, "0")))
-            .otherwise(F.concat(F.lit("2"), F.lpad(other.cast("string"), 6, "0")))
+        digits = F.when(s.rlike("^[0-9]+$"), s.try_cast("decimal(38,0)"))
+        return F.struct(
+            F.when(digits.isNotNull(), 0).otherwise(1).alias("kind"),
+            F.coalesce(digits, F.lit(0)).cast("decimal(38,0)").alias("number"),
+            F.when(digits.isNotNull(), "").otherwise(F.lower(s)).alias("text"),
         )
 
-    return F.array_join(F.transform(F.split(number, r"\."), segment), ":")
+    return F.transform(F.split(number, r"\."), segment)
+
+
+def _unit_columns(ident: str, number: Column, first_row: str) -> dict[str, Column]:
+    """What a unit's number says about it, and its id: a digest of document, number and first row."""
+    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
+    return {
+        "level": F.when(dots == 0, "SECTION").when(dots == 1, "SUBSECTION").otherwise("CLAUSE"),
+        "parent_number": F.when(dots > 0, F.regexp_extract(number, r"^(.*)\.[^.]*$", 1)),
+        "sort_key": sort_key(number),
+        "unit_id": F.md5(F.concat_ws("|", F.col(ident).cast("string"), number, F.col(first_row).cast("string"))),
+    }
 
 
 def section_units(
@@ -94,9 +102,6 @@ def section_units(
         F.min_by(title, order).alias("title"), F.max(heading).alias("is_heading"),
         F.min(order).alias("first_row"), F.max(order).alias("last_row"),
     )
-    n = F.col(number)
-    dots = F.length(n) - F.length(F.replace(n, F.lit("."), F.lit("")))
-    body = F.coalesce(F.col(text), F.lit(""))
     return rejoin(spans, joined, [ident, number]).select(
         ident,
         number,
@@ -104,22 +109,34 @@ def section_units(
         "is_heading",
         "first_row",
         "last_row",
-        body.alias(text),
-        F.when(dots == 0, "SECTION").when(dots == 1, "SUBSECTION").otherwise("CLAUSE").alias("level"),
-        F.when(dots > 0, F.regexp_extract(n, r"^(.*)\.[^.]*$", 1)).alias("parent_number"),
-        sort_key(n).alias("sort_key"),
-        F.sha1(F.concat_ws("::", F.col(ident).cast("string"), n, F.substring(F.sha1(body), 1, 8))).alias("unit_id"),
+        F.coalesce(F.col(text), F.lit("")).alias(text),
+        *[c.alias(n) for n, c in _unit_columns(ident, F.col(number), "first_row").items()],
     )
 
 
+BULLET = r"(?im)^\s*(?:[-*•]|\([a-z]\))\s+(.*\S)\s*$"
+
+
 def split_bullets(units: DataFrame, ident: str, number: str, text: str) -> DataFrame:
     """Bullets of a unit as child units numbered 1, 2, 3, ... in order."""
-    found = F.regexp_extract_all(text, F.lit(r"(?im)^\s*(?:[-*•]|\([a-z]\))\s+(.*\S)\s*$"), 1)
+    found = F.regexp_extract_all(text, F.lit(BULLET), 1)
     rows = units.select(ident, F.col(number).alias("parent_number"), F.posexplode(found).alias("_p", text))
     child = F.concat_ws(".", F.col("parent_number"), F.col("_p") + 1)
     return rows.select(ident, child.alias(number), "parent_number", text)
 
 
+def with_bullets(units: DataFrame, ident: str, number: str, text: str) -> DataFrame:
+    """``section_units`` with the bullets of a unit in its place: child units of the same row span with level,
+    parent, sort key and id of their own. Units without bullets stay as they are."""
+    found = F.regexp_extract_all(text, F.lit(BULLET), 1)
+    opened = once(units, _b=found)
+    bullets = opened.select(*units.columns, F.posexplode("_b").alias("_p", "_t"))
+    child = F.concat_ws(".", F.col(number), F.col("_p") + 1)
+    bullets = bullets.withColumns({number: child, text: F.col("_t"), "heading": F.lit(None).cast("string"), "is_heading": F.lit(0)})
+    bullets = bullets.withColumns(_unit_columns(ident, F.col(number), "first_row")).select(*units.columns)
+    return opened.filter(F.size("_b") == 0).select(*units.columns).unionByName(bullets)
+
+
 def section_rollup(
     lines: DataFrame, ident: str, number: str, prefix: str, title: str, text: str, order: str = "line_no",
     children: bool = True,
@@ -197,46 +214,59 @@ PII_PATTERNS = {
     "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
     "PHONE_NUMBER": r"\+?\d[\d\-\s()]{7,}\d",
 }
-_SPANS = T.ArrayType(
-    T.StructType(
-        [T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
-    )
-)
 
 
-@F.pandas_udf(_SPANS)
-def _spans(texts: pd.Series) -> pd.Series:
-    rules = {label: re.compile(p) for label, p in PII_PATTERNS.items()}
-    digit = re.compile(r"\d")
+def _labelled_spans(found: DataFrame, text: str) -> DataFrame:
+    """Add ``_spans`` (label, start, end), by label and start; touching spans of one label are one.
 
-    def scan(t):
-        if not t:
-            return []
+    ``split`` gives the lengths between the matches that ``regexp_extract_all`` returns, and their running sum
+    the positions. All labels share one running sum: the pieces of each add up to the text."""
+    c, n = F.col(text), F.length(text).cast("long")
+    mail, number = c.contains("@"), c.rlike("[0-9]")
+    pieces = []
+    for k, (label, pattern) in enumerate(PII_PATTERNS.items()):
         # Without an @ there is no address, and without a digit nothing else.
-        mail, number = "@" in t, digit.search(t) is not None
-        return [
-            {"label": label, "start": m.start(), "end": m.end()}
-            for label, rule in rules.items()
-            if (mail if label == "EMAIL" else number)
-            for m in rule.finditer(t)
-        ]
+        possible = mail if label == "EMAIL" else number
+        none = F.array(F.struct(n.alias("gap"), F.lit(None).cast("long").alias("hit")))
+        pieces.append(F.transform(F.when(possible, _pieces(c, pattern)).otherwise(none), _tagged(k)))
+    out = once(found, _p=F.concat(*pieces))
+    out = prefixes(out, "_p", "_at", lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0)), lambda x, y: x + y, F.lit(0).cast("long"))
+    size = F.length(text).cast("long")
+
+    def span(x: Column, i: Column) -> Column:
+        start = F.get("_at", i) + x["gap"] - x["k"] * size
+        before = F.get("_p", i - 1)
+        follows = (x["gap"] == 0) & F.coalesce((before["k"] == x["k"]) & before["hit"].isNotNull(), F.lit(False))
+        return F.struct(x["k"].alias("k"), start.alias("start"), (start + x["hit"]).alias("end"), (~follows).alias("opens"))
+
+    out = once(out, _s=F.filter(F.transform("_p", span), lambda x: x["end"].isNotNull())).drop("_p", "_at")
+    out = _islands(out, "_s")
+    labels = F.array(*[F.lit(x) for x in PII_PATTERNS])
+    whole = F.transform(
+        "_first",
+        lambda i, j: F.struct(
+            F.get(labels, F.get("_s", i)["k"]).alias("label"), F.get("_s", i)["start"].cast("int").alias("start"),
+            F.get("_s", F.coalesce(F.get("_first", j + 1), F.size("_s")) - 1)["end"].cast("int").alias("end"),
+        ),
+    )
+    return once(out, _spans=whole).drop("_s", "_first")
 
-    return texts.map(scan)
 
+def _pieces(c: Column, pattern: str) -> Column:
+    def pair(gap: Column, hit: Column) -> Column:
+        return F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("hit"))
 
-def _merge_spans(spans: Column) -> Column:
-    """Overlapping or touching spans of one label as one span; sorted by label and start."""
+    return F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), pair)
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce((last["label"] == s["label"]) & (s["start"] <= last["end"]), F.lit(False))
-        grown = F.struct(
-            last["label"].alias("label"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")
-        )
-        return F.when(joins, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
 
-    empty = F.array().cast("array<struct<label:string,start:int,end:int>>")
-    return F.aggregate(F.array_sort(spans), empty, step)
+def _tagged(k: int):
+    return lambda x: F.struct(F.lit(k).alias("k"), x["gap"].alias("gap"), x["hit"].alias("hit"))
+
+
+def _islands(df: DataFrame, items: str) -> DataFrame:
+    """Add ``_first``: the places of the elements that open an island (field ``opens``)."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    return once(df, _first=F.filter(places, lambda i: F.get(items, i)["opens"]))
 
 
 def scan_pii(docs: DataFrame, ident: str, text: str, context: int = 40) -> dict[str, DataFrame]:
@@ -244,36 +274,46 @@ def scan_pii(docs: DataFrame, ident: str, text: str, context: int = 40) -> dict[
 
     Overlapping spans of one label are merged; where labels overlap, the earlier span is redacted
     and the rest of the later one with it. Everything but the summary stays inside the row, so no
-    text is shuffled."""
-    found = docs.select(ident, text, _merge_spans(_spans(text)).alias("_spans"))
+    text is shuffled, and only built-in expressions run."""
+    c = F.col(text)
+    possible = c.contains("@") | c.rlike("[0-9]")
+    found = _labelled_spans(docs.select(ident, text).filter(possible), text)
     lo = F.greatest(F.col("s.start") - context, F.lit(0))
     spans = found.select(ident, text, F.explode("_spans").alias("s")).select(
         ident, "s.label", "s.start", "s.end",
-        F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
-        F.substring(F.col(text), lo + 1, F.col("s.end") + context - lo).alias("context"),
+        F.substring(c, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
+        F.substring(c, lo + 1, F.col("s.end") + context - lo).alias("context"),
     )
-    cuts = F.array_sort(
+    redacted = _redacted(_labelled_spans(docs.select(ident, text), text), ident, text)
+    summary = spans.groupBy("label").agg(
+        F.count(F.lit(1)).alias("spans"), F.countDistinct(ident).alias("documents"), F.min("context").alias("example")
+    )
+    return {"spans": spans, "redacted": redacted, "summary": summary}
+
+
+def _redacted(found: DataFrame, ident: str, text: str) -> DataFrame:
+    """Overlapping spans of all labels as one cut, which bears the label of the first."""
+    by_start = F.array_sort(
         F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
     )
-    whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    out = once(found, _c=by_start).drop("_spans")
+    out = prefixes(out, "_c", "_end", lambda x: x["end"], lambda x, y: F.greatest(x, y), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
-        tag = F.concat(F.lit("[REDACTED_"), s["label"], F.lit("]"))
-        return F.struct(
-            F.greatest(s["end"], acc["at"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, tag)).otherwise(acc["out"]).alias("out"),
+    def marked(x: Column, i: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["label"].alias("label"), (x["start"] >= F.get("_end", i)).alias("opens"))
+
+    out = _islands(once(out, _c=F.transform("_c", marked)), "_c")
+
+    def piece(i: Column, j: Column) -> Column:
+        first = F.get("_c", i)
+        at = F.get("_end", i)
+        return F.concat(
+            F.substring(F.col(text), at + 1, first["start"] - at), F.lit("[REDACTED_"), first["label"], F.lit("]")
         )
 
-    folded = F.aggregate(
-        cuts, start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole)))
-    )
-    redacted = found.select(ident, F.coalesce(folded, whole).alias("redacted"))
-    summary = spans.groupBy("label").agg(
-        F.count(F.lit(1)).alias("spans"), F.countDistinct(ident).alias("documents"), F.min("context").alias("example")
-    )
-    return {"spans": spans, "redacted": redacted, "summary": summary}
+    rest = F.substring(F.col(text), F.get("_end", F.size("_c")) + 1, F.length(text))
+    whole = F.concat(F.array_join(F.transform("_first", piece), ""), rest)
+    return out.select(ident, F.coalesce(whole, F.col(text)).alias("redacted"))
 
 
 # --- answers ----------------------------------------------------------------------------------

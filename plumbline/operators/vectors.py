@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage, release
 from .frames import number_rows, rejoin
 from .joins import top_k
 from .quantiles import value_bucket
@@ -77,28 +78,32 @@ def vector_topk(
     exclude_self: bool = False,
     pivots: int | None = None,
     block: int = BLOCK,
+    floor: str | None = None,
 ) -> DataFrame:
     """``(query_id, item_id, similarity, rank)`` of the best ``k`` items per query, exact.
 
     Similarity is the cosine, Pearson correlation or negative Euclidean distance. ``min_sim``
     drops weaker matches, ``within`` compares rows of the same group only, and ``k=None`` returns
-    every match above ``min_sim``.
-    """
-    if k is None and min_sim is None:
-        raise ValueError("give k or min_sim")
+    every match above ``min_sim``, or above the query's own bound in the column ``floor``.
+
+    Each side is read and written once: queries, and items with their cells."""
+    if k is None and min_sim is None and floor is None:
+        raise ValueError("give k, min_sim or floor")
     g = F.col(within).cast("string") if within else F.lit("")
-    q = queries.select(F.col(query_id).alias("_q"), g.alias("_g"), F.col(vector).alias("_v"))
-    x = items.select(F.col(item_id).alias("_i"), g.alias("_g"), F.col(vector).alias("_v"))
+    lowest = -math.inf if metric == "euclid" else -1.0
+    tau = F.col(floor).cast("double") if floor else F.lit(float(min_sim if min_sim is not None else lowest))
+    q = cut_lineage(queries.select(F.col(query_id).alias("_q"), g.alias("_g"), F.col(vector).alias("_v"), tau.alias("_tau")))
+    x = cut_lineage(items.select(F.col(item_id).alias("_i"), g.alias("_g"), F.col(vector).alias("_v")))
     if exclude_self and k is not None:
         k_search = k + 1
     else:
         k_search = k
     n_items = x.count()
     n_pivots = pivots or int(max(1, math.sqrt(n_items / block)))
-    centres = _matrix(
-        pd.Series([r["_v"] for r in x.orderBy(key_hash(["_i"], 7), "_i").select("_v").limit(n_pivots).collect()]),
-        metric,
-    )
+    # The lowest hashes are ranked alone; only the rows behind them bring their vectors along.
+    low = x.select(key_hash(["_i"], 7).alias("h")).orderBy("h").limit(n_pivots).agg(F.max("h")).first()[0]
+    some = x.filter(key_hash(["_i"], 7) <= F.lit(low)).orderBy(key_hash(["_i"], 7), "_i") if n_items else x.limit(0)
+    centres = _matrix(pd.Series([r["_v"] for r in some.select("_v").limit(n_pivots).collect()], dtype=object), metric)
     if not len(centres):
         return _renamed(q.limit(0).select("_q", F.col("_q").alias("_i"), F.lit(0.0).alias("similarity")), query_id, item_id, k)
 
@@ -115,7 +120,8 @@ def vector_topk(
                 pdf["_cell"], pdf["_d"] = pd.Series(dtype="int32"), pd.Series(dtype="float64")
             yield pdf
 
-    placed = x.mapInPandas(assign, f"_i {id_i}, _g string, _v {v_type}, _cell int, _d double")
+    placed = cut_lineage(x.mapInPandas(assign, f"_i {id_i}, _g string, _v {v_type}, _cell int, _d double"))
+    release(x)
     sizes = placed.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     radius = {r["_cell"]: r["r"] for r in placed.groupBy("_cell").agg(F.max("_d").alias("r")).collect()}
     reach_of = np.array([radius.get(c, -math.inf) for c in range(len(centres))])
@@ -184,8 +190,7 @@ def vector_topk(
             compare, f"_q {id_q}, _i {id_i}, similarity double"
         )
 
-    floor = -math.inf if metric == "euclid" else -1.0
-    start = q.withColumn("_tau", F.lit(float(min_sim if min_sim is not None else floor)))
+    start = q
     if k is not None and len(centres) > 1:
         first = probe(start, True)
         edge = top_k(first, ["_q"], [F.desc("similarity"), F.col("_i")], k_search, "_r")
@@ -237,9 +242,15 @@ def match_with_penalty(
     min_sim: float, counter: str, text: str, penalty: float = 0.10, **kw,
 ) -> DataFrame:
     """Best ``k`` items per query by similarity minus ``penalty`` where the item text contains one
-    of the query's counter-examples. A penalised score never exceeds the similarity, so every
-    candidate lies above ``min_sim`` already."""
-    near = vector_topk(queries, items, None, vector, query_id, item_id, "cosine", min_sim, **kw)
+    of the query's counter-examples.
+
+    The ``k`` items of largest similarity keep at least that of the last one minus the penalty, so nothing below
+    that can be among the best, nor anything below ``min_sim``: only items above both bounds are looked at."""
+    best = vector_topk(queries, items, k, vector, query_id, item_id, "cosine", min_sim, **kw)
+    last = best.filter(F.col("rank") == k).select(query_id, (F.col("similarity") - penalty - _SLACK).alias("_edge"))
+    asked = rejoin(queries, cut_lineage(last), [query_id])
+    asked = asked.withColumn("_floor", F.greatest(F.lit(float(min_sim)), F.coalesce("_edge", F.lit(float(min_sim)))))
+    near = vector_topk(asked, items, None, vector, query_id, item_id, "cosine", floor="_floor", **kw)
     other = item_id if item_id != query_id else f"match_{item_id}"
     asks = queries.select(query_id, F.transform(counter, F.lower).alias("_cx"))
     texts = items.select(F.col(item_id).alias(other), F.lower(text).alias("_text"))

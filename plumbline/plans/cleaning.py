@@ -394,20 +394,21 @@ def _(spark, d):
 
 
 @query("validate_rows", """
-SELECT c_custkey, concat_ws('; ', CASE WHEN NOT (c_acctbal - 1000 > 0) THEN 'balance: positive' END,
+SELECT c_custkey, concat_ws('; ', CASE WHEN NOT (c_acctbal - 1000 > 0) THEN 'balance: positive' END, CASE WHEN c_custkey % 5 = 4 THEN 'left: non_negative' END,
    CASE WHEN NOT (c_acctbal / 50 BETWEEN -90 AND 90) THEN 'lat: latitude' END,
    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'segment: non_empty' END) AS reasons
 FROM customer WHERE NOT (c_acctbal - 1000 > 0) OR NOT (c_acctbal / 50 BETWEEN -90 AND 90)
-   OR c_mktsegment = 'MACHINERY'
+   OR c_mktsegment = 'MACHINERY' OR c_custkey % 5 = 4
 """)
 def _(spark, d):
     t = load(spark, d, "customer").select(
         "c_custkey",
         (F.col("c_acctbal") - 1000).alias("balance"),
+        (3 - F.col("c_custkey") % 5).alias("left"),
         (F.col("c_acctbal") / 50).alias("lat"),
         F.when(F.col("c_mktsegment") == "MACHINERY", " ").otherwise(F.col("c_mktsegment")).alias("segment"),
     )
-    rules = {"balance": "positive", "lat": "latitude", "segment": "non_empty"}
+    rules = {"balance": "positive", "left": "non_negative", "lat": "latitude", "segment": "non_empty"}
     rejected = clean.validate_rows(t, rules)[1]
     return rejected.select("c_custkey", F.concat_ws("; ", "reasons").alias("reasons"))
 

@@ -105,6 +105,69 @@ def _(spark, d):
     return results
 
 
+# Models whose solution has a closed form, checked in full.
+LINE = "t AS (SELECT l_quantity AS x, ln(1 + l_extendedprice) AS y, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day FROM lineitem)"
+
+
+@query("grid_search_line", f"""WITH {LINE}, c AS (SELECT floor(quantile_cont(day, 1.0::DOUBLE / 3)) AS c1, floor(quantile_cont(day, 2.0::DOUBLE / 3)) AS c2, max(day) AS c3 FROM t),
+f AS (SELECT 1 AS fold, x, y, day <= c1 AS train, day > c1 AND day <= c2 AS val FROM t, c UNION ALL SELECT 2, x, y, day <= c2, day > c2 AND day <= c3 FROM t, c),
+w AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sum(x * y) / sum(x * x) AS b0 FROM f WHERE train GROUP BY 1)
+SELECT '[(''fitIntercept'', True)]' AS params, fold, round(sqrt(avg(pow(a + b * x - y, 2))), 5) AS score FROM f JOIN w USING (fold) WHERE val GROUP BY fold
+UNION ALL SELECT '[(''fitIntercept'', False)]', fold, round(sqrt(avg(pow(b0 * x - y, 2))), 5) FROM f JOIN w USING (fold) WHERE val GROUP BY fold""")
+def _(spark, d):
+    t = _model_rows(spark, d)
+    results = m.grid_search(
+        t, "l_shipdate", m.expanding_folds(t, "l_shipdate", 2), {"fitIntercept": [True, False]},
+        lambda p: m.model_pipeline("regression", "linear", [], ["l_quantity"], "size", **p),
+        lambda scored: m.rmse(scored, "size"),
+    )
+    return rounded(results, "score", places=5)
+
+
+@query("fit_regressor_line", f"WITH {LINE}, w AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t) SELECT x AS l_quantity, round(any_value(a + b * x), 5) AS prediction, count(*) AS n FROM t, w GROUP BY 1")
+def _(spark, d):
+    t = _model_rows(spark, d)
+    scored = m.fit_regressor(t, "linear", [], ["l_quantity"], "size").transform(t)
+    return rounded(scored.groupBy("l_quantity").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n")), "prediction", places=5)
+
+
+def _stepped(spark, d):
+    return load(spark, d, "lineitem").select("l_linenumber", "l_tax", "l_quantity", (F.col("l_linenumber") >= 4).cast("int").alias("high"))
+
+
+@query("fit_classifier_step", "SELECT (l_linenumber >= 4)::INT AS high, (l_linenumber >= 4)::DOUBLE AS prediction, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    t = _stepped(spark, d)
+    scored = m.fit_classifier(t, "tree", [], ["l_linenumber", "l_tax"], "high").transform(t)
+    return scored.groupBy("high", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("two_stage_step", """WITH w AS (SELECT regr_slope(l_quantity, l_linenumber) AS b, regr_intercept(l_quantity, l_linenumber) AS a FROM lineitem WHERE l_linenumber >= 4)
+SELECT l_linenumber, (l_linenumber >= 4)::DOUBLE AS pred_flag, round(any_value(CASE WHEN l_linenumber >= 4 THEN a + b * l_linenumber ELSE 0 END), 5) AS prediction, count(*) AS n FROM lineitem, w GROUP BY 1, 2""")
+def _(spark, d):
+    t = _stepped(spark, d)
+    out = m.two_stage(t, t, [], ["l_linenumber"], "high", "l_quantity", classifier="tree", regressor="linear")
+    per = out.groupBy("l_linenumber", "pred_flag").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n"))
+    return rounded(per, "prediction", places=5)
+
+
+@query("feature_importance_step", "SELECT * FROM (VALUES ('l_linenumber', 1.0::DOUBLE), ('l_tax', 0.0::DOUBLE)) v(feature, importance)")
+def _(spark, d):
+    t = _stepped(spark, d)
+    model = m.fit_regressor(t, "tree", [], ["l_linenumber", "l_tax"], "high", maxDepth=1)
+    return m.feature_importance(model, model.transform(t))
+
+
+@query("score_features_checked", "SELECT count(*) AS n, 0::BIGINT AS no_probability, 0::BIGINT AS wrong_bin FROM lineitem")
+def _(spark, d):
+    out = m.score_features(_model_rows(spark, d), NUMS, "large", ["l_orderkey", "l_shipdate"])
+    expected = F.expr("CASE WHEN forest_prob < 0.1 THEN 1 WHEN forest_prob < 0.2 THEN 2 WHEN forest_prob < 0.3 THEN 3 WHEN forest_prob < 0.5 THEN 4 ELSE 5 END")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("forest_prob").between(0, 1), F.lit(False))).alias("no_probability"),
+        F.count_if(F.col("forest_bin") != expected).alias("wrong_bin"),
+    )
+
+
 @query("fit_regressor")
 def _(spark, d):
     t = _model_rows(spark, d)
@@ -265,12 +328,25 @@ def _(spark, d):
     return _segments(e.segment_errors(_errors(spark, d), ["l_returnflag", "l_linestatus"]))
 
 
-@query("severity_bins", f"""{ERR} SELECT CASE WHEN act <= 0 THEN '0: none' WHEN act <= 15.5 THEN '1: 1-15' WHEN act <= 30.5 THEN '2: 16-30'
- WHEN act <= 60 THEN '3: 31-60' WHEN act <= 120 THEN '4: 61-120' ELSE '5: over 120' END AS bin, {SEG} FROM (SELECT * REPLACE (round(act, 6) AS act) FROM e) GROUP BY 1""")
-def _(spark, d):
-    t = _errors(spark, d).withColumn("actual_value", F.round("actual_value", 6))
-    t = t.withColumn("error", F.col("pred_value") - F.col("actual_value"))
-    return _segments(e.severity_bins(t, "coarse"))
+def _severity(scheme, shift=0):
+    """Bins of the quantity, moved down by ``shift`` so that early rows occur; the open bin last."""
+    edges, labels = e.SEVERITY_BINS[scheme]
+    ops = ["<" if scheme == "detailed" and not i else "<=" for i in range(len(edges))]
+    cases = " ".join(f"WHEN act {o} {x} THEN '{y}'" for o, x, y in zip(ops, edges, labels))
+    sql = f"""{ERR}, f AS (SELECT * REPLACE (round(act, 6) - {shift} AS act, pr - {shift} AS pr) FROM e),
+ g AS (SELECT CASE {cases} ELSE '{labels[-1]}' END AS bin, {SEG} FROM f GROUP BY 1) SELECT *, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct FROM g"""
+
+    def run(spark, d):
+        t = _errors(spark, d).withColumns({"actual_value": F.round("actual_value", 6) - shift, "pred_value": F.col("pred_value") - shift})
+        t = t.withColumn("error", F.col("pred_value") - F.col("actual_value"))
+        return rounded(_segments(e.severity_bins(t, scheme)), "pct", places=6)
+
+    return sql, run
+
+
+for _name, _scheme, _shift in (("severity_bins", "coarse", 0), ("severity_bins_detailed", "detailed", 10), ("severity_bins_status", "status", 10)):
+    _sql, _run = _severity(_scheme, _shift)
+    query(_name, _sql)(_run)
 
 
 @query("worst_segments", f"""{ERR}, g AS (SELECT l_suppkey, {SEG} FROM e GROUP BY 1) SELECT * FROM g WHERE n >= 20 ORDER BY mae DESC, l_suppkey""")

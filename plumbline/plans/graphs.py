@@ -8,6 +8,8 @@ from ..operators import bars as b
 from ..operators import cluster as c
 from ..operators import graph as g
 from ..operators import vectors as v
+from ..operators.frames import rejoin
+from ..session import cut_lineage
 from .registry import load, query
 from .reporting import rounded
 from .windowing import PRICES, _prices
@@ -166,6 +168,51 @@ def _(spark, d):
     return c.spectral_clusters(_corr(spark, d), s.select("nation"), 4)
 
 
+KNN = """c AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS e FROM embeddings),
+s AS (SELECT a.vec_id, b.vec_id AS match_vec_id, list_cosine_similarity(a.e, b.e) AS sim FROM c a JOIN c b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, match_vec_id) AS rn FROM s WHERE sim >= 0.2)"""
+
+
+@query("communities_checked", f"""WITH {KNN}, e AS (SELECT vec_id AS src, match_vec_id AS dst, sim AS w FROM k WHERE rn <= 3),
+both_ways AS (SELECT src AS a, dst AS b, w FROM e UNION ALL SELECT dst, src, w FROM e),
+l AS (SELECT x.label AS la, y.label AS lb, w FROM both_ways JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id),
+per AS (SELECT la, sum(w) AS k, sum(CASE WHEN la = lb THEN w ELSE 0 END) AS inside FROM l GROUP BY 1)
+SELECT (SELECT count(DISTINCT a) FROM both_ways) AS vertices, (SELECT count(DISTINCT a) FROM both_ways) AS labelled, true AS modularity_agrees, true AS beats_labels,
+ round(sum(inside) / sum(k) - sum(k * k) / pow(sum(k), 2), 6) AS label_modularity FROM per""")
+def _(spark, d):
+    """Each vertex in one community, the modularity as claimed and at least that of the given labels."""
+    t = load(spark, d, "embeddings")
+    near = v.knn_similarity(t, 3, 0.2, "embedding", "vec_id")
+    edges = cut_lineage(near.select(F.col("vec_id").alias("src"), F.col("match_vec_id").alias("dst"), F.col("similarity").alias("weight")))
+    labels, q = g.communities(edges)
+    given = g.modularity(edges, t.select(F.col("vec_id").alias("id"), F.col("label").alias("community")))
+    counted = labels.agg(F.count_distinct("id").alias("vertices"), F.count("community").alias("labelled"))
+    return counted.select(
+        "*", F.lit(abs(g.modularity(edges, labels) - q) < 1e-9).alias("modularity_agrees"), F.lit(q >= given).alias("beats_labels"),
+        F.round(F.lit(given), 6).alias("label_modularity"),
+    )
+
+
+@query("spectral_clusters_checked", f"""WITH {SERIES} SELECT count(DISTINCT nation) AS entities, 0::BIGINT AS out_of_range FROM t""")
+def _(spark, d):
+    s = _series(spark, d)
+    out = c.spectral_clusters(_corr(spark, d), s.select("nation"), 4)
+    return out.agg(F.count("entity").alias("entities"), F.count_if(~F.col("cluster").between(-1, 3)).alias("out_of_range"))
+
+
+@query("kmeans_pca_planted", """WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS i FROM embeddings),
+p AS (SELECT label, i, var_pop(v) * count(*) AS ss FROM x GROUP BY 1, 2)
+SELECT CAST(count(DISTINCT label) AS INTEGER) AS k, round(sum(ss), 3) AS inertia, count(DISTINCT label) AS clusters_by_label FROM p""")
+def _(spark, d):
+    """Clusters far apart along ten axes, one per label: k-means must find them, and a full rotation keeps the distances."""
+    t = load(spark, d, "embeddings")
+    axes = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 50.0).otherwise(0.0).cast("float"))
+    t = t.withColumn("embedding", F.concat("embedding", axes))
+    table, labels = c.kmeans_pca(t, "embedding", "vec_id", 74, [t.select("label").distinct().count()])
+    pairs = labels.join(t.select("vec_id", "label"), "vec_id").agg(F.count_distinct("label", "cluster").alias("clusters_by_label"))
+    return rejoin(table.select("k", F.round("inertia", 3).alias("inertia")), pairs, [])
+
+
 @query("communities")
 def _(spark, d):
     near = v.knn_similarity(load(spark, d, "embeddings"), 3, 0.2, "embedding", "vec_id")
@@ -260,14 +307,32 @@ def _(spark, d):
     return rounded(out, "similarity", places=6)
 
 
-@query("synthetic_minority")
+def _minority_sql(adaptive):
+    """Neighbours by distance; bases, partners and mixing factors from md5 as in the operator."""
+    h = lambda *x: f"('0x' || substr(md5(concat_ws('|', {', '.join(x)})), 1, 15))::BIGINT"
+    if adaptive:
+        plan = """a AS (SELECT x.vec_id, y.cls, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.e, y.e), y.vec_id) AS rn FROM few x JOIN t y ON x.vec_id <> y.vec_id),
+ w AS (SELECT vec_id, avg(CASE WHEN cls = 1 THEN 0.0::DOUBLE ELSE 1 END) AS w FROM a WHERE rn <= 5 GROUP BY 1),
+ plan AS (SELECT vec_id, round_even(w / sum(w) OVER () * 200, 0)::INT AS copies FROM w)"""
+    else:
+        plan = f"""r AS (SELECT vec_id, row_number() OVER (ORDER BY {h("'42'", 'vec_id')}, vec_id) AS rn, count(*) OVER () AS own FROM few),
+ plan AS (SELECT vec_id, (200 // own + CASE WHEN rn <= 200 % own THEN 1 ELSE 0 END)::INT AS copies FROM r)"""
+    return f"""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, (label = 6)::INT AS cls FROM embeddings), few AS (FROM t WHERE cls = 1),
+ d AS (SELECT a.vec_id, b.vec_id AS m, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rn FROM few a JOIN few b ON a.vec_id <> b.vec_id),
+ near AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS k FROM d WHERE rn <= 5), {plan},
+ drawn AS (SELECT vec_id, unnest(range(1, copies + 1))::INT AS copy FROM plan WHERE copies > 0)
+SELECT vec_id, m AS match_vec_id, copy, round({h("'44'", 'vec_id', 'copy')} / 1152921504606846976.0::DOUBLE, 6) AS mix
+FROM drawn JOIN near USING (vec_id) WHERE rn = {h("'43'", 'vec_id', 'copy')} % k + 1"""
+
+
+@query("synthetic_minority", _minority_sql(False))
 def _(spark, d):
     t = load(spark, d, "embeddings").withColumn("cls", (F.col("label") == 6).cast("int"))
     out = v.synthetic_minority(t, "cls", 1, "embedding", "vec_id", 5, needed=200)
     return out.select("vec_id", "match_vec_id", "copy", F.round("mix", 6).alias("mix"))
 
 
-@query("synthetic_minority_adaptive")
+@query("synthetic_minority_adaptive", _minority_sql(True))
 def _(spark, d):
     t = load(spark, d, "embeddings").withColumn("cls", (F.col("label") == 6).cast("int"))
     out = v.synthetic_minority(t, "cls", 1, "embedding", "vec_id", 5, needed=200, adaptive=True)
@@ -287,3 +352,19 @@ def _(spark, d):
     t = load(spark, d, "embeddings").withColumn("cls", (F.col("label") == 6).cast("int"))
     out = v.near_miss(t, "cls", 1, "embedding", "vec_id", 3).select("vec_id", "cls", "mean_distance")
     return rounded(out, "mean_distance", places=6)
+
+
+NEAR_MISS_3 = """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, (label = 6)::INT AS cls FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS m, list_distance(a.e, b.e) AS dist FROM t a, t b WHERE a.cls = 0 AND b.cls = 1),
+pool AS (SELECT DISTINCT vec_id FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY dist, vec_id) AS rn FROM d) WHERE rn <= 3),
+k AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, m) AS rn FROM d JOIN pool USING (vec_id)),
+m AS (SELECT vec_id, avg(dist) AS mean_distance FROM k WHERE rn <= 3 GROUP BY 1)
+SELECT vec_id, 0 AS cls, round(mean_distance, 6) AS mean_distance FROM (SELECT *, row_number() OVER (ORDER BY mean_distance DESC, vec_id) AS k FROM m) WHERE k <= (SELECT count(*) FROM t WHERE cls = 1)
+UNION ALL SELECT vec_id, 1, NULL FROM t WHERE cls = 1"""
+
+
+@query("near_miss_short_list", NEAR_MISS_3)
+def _(spark, d):
+    t = load(spark, d, "embeddings").withColumn("cls", (F.col("label") == 6).cast("int"))
+    out = v.near_miss(t, "cls", 1, "embedding", "vec_id", 3, version=3).select("vec_id", "cls", "mean_distance")
+    return rounded(out, "mean_distance", places=6)

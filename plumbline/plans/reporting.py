@@ -171,6 +171,20 @@ def _(spark, d):
     return r.melt(t, ["p_partkey"], ["p_retailprice", "p_size"])
 
 
+@query("melt_labelled", """WITH x AS (SELECT p_partkey, 'p_name' AS variable, 0 AS i, 'Part' AS label, trim(p_name) AS v FROM part
+ UNION ALL SELECT p_partkey, 'p_type', 1, 'P Type', trim(p_type) FROM part WHERE p_size % 3 > 0
+ UNION ALL SELECT p_partkey, 'p_size', 2, 'P Size', p_size::VARCHAR FROM part
+ UNION ALL SELECT p_partkey, 'tags', 3, 'Tags', 'a, ' || p_size FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS rn FROM x WHERE v <> '')
+SELECT p_partkey, variable, CASE WHEN length(v) > 12 THEN left(v, 11) || '…' ELSE v END AS value, label, CAST(rn AS INTEGER) AS position FROM n WHERE rn <= 3""")
+def _(spark, d):
+    t = load(spark, d, "part").withColumns({
+        "p_type": F.when(F.col("p_size") % 3 > 0, F.col("p_type")),
+        "tags": F.array(F.lit(" a"), F.lit(""), F.col("p_size").cast("string")),
+    })
+    return r.melt(t, ["p_partkey"], ["p_name", "p_type", "p_size", "tags"], labels={"p_name": "Part"}, max_chars=12, head=3)
+
+
 @query("coverage_report", "\nUNION ALL\n".join(f"""
 SELECT {t} AS threshold, count(*) FILTER (n >= {t}) AS instants, round(count(*) FILTER (n >= {t}) * 100.0::DOUBLE / count(*), 4) AS pct
 FROM (SELECT date_trunc('hour', ts), count(DISTINCT user_id) AS n FROM events GROUP BY 1)""" for t in (1, 5, 10, 15)))

@@ -138,11 +138,19 @@ def _(spark, d):
     return rounded(out, "p_encoded", "c_encoded", places=6)
 
 
-@query("encode_pipeline")
+def _one_hot_sql(column):
+    """Indicators of the levels by falling frequency over their deviation, and a zero for unseen levels."""
+    return f"""(SELECT list(CASE WHEN v = o.{column} THEN round(1 / sd, 6) ELSE 0 END ORDER BY n DESC, v) FROM (SELECT {column} AS v, count(*) AS n,
+ sqrt(count(*)::DOUBLE * (t - count(*)) / t / (t - 1)) AS sd FROM orders, (SELECT count(*) AS t FROM orders) GROUP BY {column}, t))"""
+
+
+@query("encode_pipeline", f"""SELECT o_orderkey, list_concat({_one_hot_sql('o_orderpriority')}, [0.0::DOUBLE], {_one_hot_sql('o_orderstatus')}, [0.0::DOUBLE],
+ [round(o_totalprice / (SELECT stddev_samp(o_totalprice) FROM orders), 6)]) AS features FROM orders o""")
 def _(spark, d):
     t = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
     model = en.encode_pipeline(["o_orderpriority", "o_orderstatus"], ["o_totalprice"], scale=True).fit(t)
-    return model.transform(t).select("o_orderkey", vector_to_array("features").alias("features"))
+    features = F.transform(vector_to_array("features"), lambda x: F.round(x, 6))
+    return model.transform(t).select("o_orderkey", features.alias("features"))
 
 
 @query("route_encoders", """
@@ -180,13 +188,16 @@ def _(spark, d):
     return t.agg(*[F.avg(c).alias(c) for c in t.columns]).select(F.inline(rows))
 
 
-@query("scaler_pipeline")
+@query("scaler_pipeline", """WITH s AS (SELECT quantile_disc(l_quantity, 0.75) - quantile_disc(l_quantity, 0.25) AS iqr, min(l_discount) AS lo, max(l_discount) AS hi,
+ avg(l_extendedprice) AS mp, stddev_samp(l_extendedprice) AS sp, avg(l_tax) AS mt, stddev_samp(l_tax) AS st FROM lineitem)
+SELECT l_orderkey, [round(l_quantity / iqr, 5)] AS scaled_robust, [round((l_discount - lo) / (hi - lo), 5)] AS scaled_minmax,
+ [round((l_extendedprice - mp) / sp, 5), round((l_tax - mt) / st, 5)] AS scaled_standard FROM lineitem, s""")
 def _(spark, d):
     t = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     groups = en.route_scalers(t, "l_orderkey", ["l_quantity"], ["l_discount"])
     out = en.scaler_pipeline(groups).fit(t).transform(t)
     cols = [c for c in out.columns if c.startswith("scaled_")]
-    return out.select("l_orderkey", *[vector_to_array(c).alias(c) for c in cols])
+    return out.select("l_orderkey", *[F.transform(vector_to_array(c), lambda x: F.round(x, 5)).alias(c) for c in cols])
 
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]

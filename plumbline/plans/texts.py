@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import pairs as p
 from ..operators import text as t
+from ..operators.report import ordered_concat
+from ..session import shared_dir
+from ..sources.text import read_text_corpus
 from .registry import load, query
 from .reporting import rounded
 
@@ -30,6 +35,22 @@ def _(spark, d):
     return _lines(spark, d)
 
 
+@query("read_text_corpus", """SELECT 'c' || conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id % 4 || '.1' END AS version,
+ string_agg(CASE WHEN conv_id % 2 = 0 THEN regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g') ELSE text END || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def _(spark, d):
+    """Every conversation as a file of its own, each second one in latin-1, read back."""
+    turns = load(spark, d, "conversations")
+    plain = F.regexp_replace("text", "[^\\x00-\\xff]", "?")
+    turns = turns.withColumn("text", F.when(F.col("conv_id") % 2 == 0, plain).otherwise(F.col("text")))
+    files = ordered_concat(turns, ["conv_id"], "text", ["turn"])
+    version = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("-v"), (F.col("conv_id") % 4).cast("string"), F.lit(".1")))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.coalesce(version, F.lit("")), F.lit(".txt"))
+    raw = F.when(F.col("conv_id") % 2 == 0, F.encode("text", "ISO-8859-1").cast("string")).otherwise(F.col("text"))
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    files.select(raw.alias("value"), name.alias("file")).write.partitionBy("file").text(path)
+    return read_text_corpus(spark, path, name_at=-2, id_pattern=r"^file=(.*?)(?:-v[\d.]+)?\.[^.]+$").select("doc_id", "version", "text")
+
+
 SEC, CLA, BUL = (t.LINE_PATTERNS[k] for k in ("section", "clause", "bullet"))
 
 
@@ -65,14 +86,41 @@ def _(spark, d):
 w AS (SELECT *, length(number) - length(replace(number, '.', '')) AS dots FROM u)
 SELECT doc_id, number, CASE WHEN is_heading = 1 THEN title END AS heading, is_heading, first_row, last_row, md5(line) AS line,
  CASE dots WHEN 0 THEN 'SECTION' WHEN 1 THEN 'SUBSECTION' ELSE 'CLAUSE' END AS level, CASE WHEN dots > 0 THEN regexp_extract(number, '^(.*)[.][^.]*$', 1) END AS parent_number,
- array_to_string(list_transform(string_split(number, '.'), lambda s: '0' || lpad(s, 6, '0')), ':') AS sort_key,
- sha1(concat_ws('::', doc_id, number, left(sha1(line), 8))) AS unit_id FROM w""")
+ array_to_string(list_transform(string_split(number, '.'), lambda s: '0/' || s::BIGINT || '/'), '.') AS sort_key,
+ md5(concat_ws('|', doc_id, number, first_row)) AS unit_id FROM w""")
 def _(spark, d):
     rows = _numbered(spark, d).withColumns(
         {"title": F.col("line"), "is_heading": (F.col("line_no") % 6 == 5).cast("int")}
     )
     out = t.section_units(rows, "doc_id", "number", "line", "title", "is_heading")
-    return out.withColumn("line", F.md5("line"))
+    return out.withColumns({"line": F.md5("line"), "sort_key": _key_text("sort_key")})
+
+
+def _key_text(column):
+    """A sort key spelled out, for comparison."""
+    return F.array_join(F.transform(column, lambda s: F.concat_ws("/", s["kind"], s["number"].cast("string"), s["text"])), ".")
+
+
+_BULLETS = "regexp_extract_all(text, '(?im)^\\s*(?:[-*•]|\\([a-z]\\))\\s+(.*\\S)\\s*$', 1)"
+
+
+@query("bullet_units", f"""WITH l AS (SELECT conv_id, turn, text, turn + 1 AS line_no, CASE WHEN turn % 3 = 0 THEN text ELSE '- ' || replace(text, chr(10), chr(10) || '- ') END AS line FROM conversations),
+u AS (SELECT conv_id, CAST(line_no AS VARCHAR) AS number, line AS text, line_no AS first_row FROM l),
+c AS (SELECT *, {_BULLETS} AS b FROM u),
+x AS (SELECT conv_id, number, text, first_row, 1 AS is_heading, number AS heading FROM c WHERE len(b) = 0
+ UNION ALL SELECT conv_id, number || '.' || unnest(range(1, len(b) + 1)), unnest(b), first_row, 0, NULL FROM c WHERE len(b) > 0)
+SELECT conv_id, number, heading, is_heading, first_row, first_row AS last_row, md5(text) AS text, CASE WHEN contains(number, '.') THEN 'SUBSECTION' ELSE 'SECTION' END AS level,
+ CASE WHEN contains(number, '.') THEN string_split(number, '.')[1] END AS parent_number,
+ array_to_string(list_transform(string_split(number, '.'), lambda s: '0/' || s::BIGINT || '/'), '.') AS sort_key, md5(concat_ws('|', conv_id, number, first_row)) AS unit_id FROM x""")
+def _(spark, d):
+    bulleted = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
+    rows = load(spark, d, "conversations").select(
+        "conv_id", (F.col("turn") + 1).alias("line_no"), (F.col("turn") + 1).cast("string").alias("number"),
+        F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(bulleted).alias("text"), F.lit(1).alias("is_heading"),
+    )
+    units = t.section_units(rows, "conv_id", "number", "text", "number", "is_heading")
+    out = t.with_bullets(units, "conv_id", "number", "text")
+    return out.withColumns({"text": F.md5("text"), "sort_key": _key_text("sort_key")})
 
 
 @query("split_bullets", """WITH u AS (SELECT conv_id, turn, '- ' || replace(text, chr(10), chr(10) || '- ') AS text FROM conversations),
@@ -125,17 +173,40 @@ def _(spark, d):
     return t.low_value_filter(rows, "line").drop("line")
 
 
-@query("scan_pii")
+def _pii_sql():
+    """Positions as running sums over the pieces between the matches; touching matches joined."""
+    parts = []
+    for k, (label, pattern) in enumerate(t.PII_PATTERNS.items()):
+        p = pattern.replace("'", "''")
+        parts.append(f"SELECT r, doc_id, {k} AS k, '{label}' AS label, unnest(string_split_regex(text, '{p}')) AS gap, unnest(regexp_extract_all(text, '{p}')) AS hit,"
+                     f" generate_subscripts(string_split_regex(text, '{p}'), 1) AS i FROM d")
+    return f"""d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ m AS ({' UNION ALL '.join(parts)}),
+ pos AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM m WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+ hits AS (SELECT *, s + length(hit) AS e FROM pos WHERE hit IS NOT NULL),
+ island AS (SELECT *, sum(CASE WHEN i > 1 AND length(gap) = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY r, k ORDER BY i) AS g FROM hits),
+ spans AS (SELECT r, doc_id, k, label, CAST(min(s) AS INTEGER) AS "start", CAST(max(e) AS INTEGER) AS "end" FROM island GROUP BY r, doc_id, k, label, g),
+ told AS (SELECT doc_id, label, "start", "end", substring(text, "start" + 1, "end" - "start") AS value,
+  substring(text, greatest("start" - 40, 0) + 1, "end" + 40 - greatest("start" - 40, 0)) AS context FROM spans JOIN d USING (r, doc_id))"""
+
+
+@query("scan_pii", f"WITH {_pii_sql()} SELECT * FROM told")
 def _(spark, d):
     return t.scan_pii(load(spark, d, "documents"), "doc_id", "text")["spans"]
 
 
-@query("scan_pii_redacted")
+@query("scan_pii_redacted", f"""WITH {_pii_sql()},
+ o AS (SELECT *, coalesce(max("end") OVER (PARTITION BY r ORDER BY "start", "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM spans),
+ c AS (SELECT r, label, "start", upto FROM o WHERE "start" >= upto),
+ j AS (SELECT r, string_agg(substring(text, upto + 1, "start" - upto) || '[REDACTED_' || label || ']', '' ORDER BY "start") AS head FROM c JOIN d USING (r) GROUP BY r),
+ z AS (SELECT r, max("end") AS z FROM spans GROUP BY r)
+SELECT doc_id, md5(CASE WHEN head IS NULL THEN text ELSE head || substring(text, z + 1) END) AS redacted FROM d LEFT JOIN j USING (r) LEFT JOIN z USING (r)""")
 def _(spark, d):
-    return t.scan_pii(load(spark, d, "documents"), "doc_id", "text")["redacted"]
+    out = t.scan_pii(load(spark, d, "documents"), "doc_id", "text")["redacted"]
+    return out.withColumn("redacted", F.md5("redacted"))
 
 
-@query("scan_pii_summary")
+@query("scan_pii_summary", f"WITH {_pii_sql()} SELECT label, count(*) AS spans, count(DISTINCT doc_id) AS documents, min(context) AS example FROM told GROUP BY 1")
 def _(spark, d):
     return t.scan_pii(load(spark, d, "documents"), "doc_id", "text")["summary"]
 
@@ -216,7 +287,22 @@ def _(spark, d):
     return p.rouge_l(_pairs(spark, d), "gold", "answer").select("conv_id", "exchange", F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@query("bleu")
+_TOKENS = p.BLEU_TOKEN.replace("\\x85", "\\x{85}")
+
+
+def _bleu_sql():
+    sides = " UNION ALL ".join(
+        f"SELECT i, '{s}' AS side, {n} AS n, unnest(list_transform(range(1, greatest(len({s}) - {n} + 2, 1)), lambda k: array_to_string({s}[k:k + {n - 1}], ' '))) AS g FROM tok"
+        for s in ("x", "y") for n in range(1, 5)
+    )
+    return f"""WITH {SQL_PAIRS}, tok AS (SELECT row_number() OVER () AS i, conv_id, exchange, regexp_extract_all(gold, '{_TOKENS}') AS x, regexp_extract_all(answer, '{_TOKENS}') AS y FROM pr),
+ g AS (SELECT i, side, n, g, count(*) AS c FROM ({sides}) GROUP BY ALL),
+ h AS (SELECT y.i, y.n, sum(y.c) AS total, sum(least(y.c, coalesce(x.c, 0))) AS hit FROM (FROM g WHERE side = 'y') y LEFT JOIN (FROM g WHERE side = 'x') x ON x.i = y.i AND x.n = y.n AND x.g = y.g GROUP BY 1, 2),
+ s AS (SELECT i, count(*) FILTER (hit > 0) AS orders, sum(CASE WHEN hit > 0 THEN ln(hit::DOUBLE / total) / 4 END) AS logs FROM h GROUP BY 1)
+SELECT conv_id, exchange, round(CASE WHEN orders = 4 THEN exp(logs + least(0, 1 - len(x)::DOUBLE / len(y))) ELSE 0 END, 6) AS bleu FROM tok LEFT JOIN s USING (i)"""
+
+
+@query("bleu", _bleu_sql())
 def _(spark, d):
     return p.bleu(_pairs(spark, d), "gold", "answer").select("conv_id", "exchange", F.round("bleu", 6).alias("bleu"))
 
