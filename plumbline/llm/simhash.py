@@ -188,8 +188,8 @@ def near_duplicates(
 #: Minima of permuted shingle hashes make ``BANDS`` keys of ``ROWS`` minima each. Texts of similarity 0.8 share
 #: a key with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, above 0.9998.
 BANDS, ROWS = 12, 3
-#: Counters of a table that tells rare shingles from common ones.
-SLOTS = 1 << 20
+#: Leaders tried per key before what is still far from all of them is joined without one.
+LEADERS = 3
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -206,80 +206,132 @@ def _sketch(text: str | None, shingle: int) -> tuple[int, list[int]]:
     return len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u8")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for s, t in zip(batch.column("s"), batch.column("t")):
-                x, y = (np.unique(_hashes(v.as_py(), shingle, 42)) for v in (s, t))
+                x, y = _set(s.as_py()), _set(t.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("s")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _shares(similarity: float, n: np.ndarray | int) -> tuple[int, int]:
-    """Prefix lengths of a set of ``n`` shingles that no partner escapes: of any size, and of the same size or larger."""
-    return tuple(int(n - np.ceil(s * n - 1e-6)) + 1 for s in (similarity, 2 * similarity / (1 + similarity)))
-
-
-def _apart(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members(node, root)`` with two roots, among them all of ``similarity`` or more.
+def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``family(leader, node, root)`` with the numbers of shingles ``n`` and ``nl``, ``linked`` (similar to the
+    leader), ``near`` (distance of at most a half) and the shingles in which node and leader differ, ``els``, which
+    are left empty beyond a distance that no partner of a near node has. A null leader has no shingles."""
+    spread = 1 - similarity
 
-    A prefix-filtered join: shingles are ordered from rare to common, by their count in a table of ``SLOTS``
-    (any one order is right, a rough count only costs time). Two similar sets have their first common shingle so
-    early in both that enough others can follow, hence boilerplate that is common to strangers is hardly ever a key."""
-    whole = cut_lineage(members.join(texts, "node"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                seen += np.bincount((np.unique(_hashes(t, shingle, 42)) % SLOTS).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + CHUNK]), pa.array(seen[at[i : i + CHUNK]])], ["slot", "k"])
-
-    found = whole.select("text").mapInArrow(count, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).where("k > 1")
-    table = found.toArrow()
-    counts = np.ones(SLOTS, dtype=np.int32)
-    counts[table["slot"].to_numpy()] = np.minimum(table["k"].to_numpy(), (1 << 31) - 1)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, root, t in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "text"))):
-                h = np.unique(_hashes(t, shingle, 42))
-                if not len(h):
-                    continue
-                k = counts[h % SLOTS]
-                long, short = _shares(similarity, len(h))
-                order = np.lexsort((h, k))[:long]
-                pos = np.flatnonzero(k[order] > 1)  # a shingle alone in its slot is nobody else's
-                cols = [pa.array(h[order[pos]].view("<i8")), pa.array(pos), pa.array(pos < short)]
-                cols += [pa.array([v] * len(pos), kind) for v, kind in ((node, pa.binary()), (root, pa.binary()), (len(h), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "pos", "early", "node", "root", "n"])
-
-    kinds = "h long, pos long, early boolean, node binary, root binary, n long"
-    keys = cut_lineage(whole.select("node", "root", "text").mapInArrow(prefixes, kinds))
-    of_use = keys.groupBy("h").agg(F.max("early").alias("early"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    live = cut_lineage(keys.join(of_use.where("early and lo <> hi").select("h"), "h", "left_semi"))
-    x, y = live.alias("x"), live.where("early").alias("y")
-    nx, ny = F.col("x.n"), F.col("y.n")
-    needed = (nx + ny) * (similarity / (1 + similarity)) - 1e-6
-    ok = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (ny >= similarity * nx - 1e-6)
-    ok &= (nx > ny) | ((nx == ny) & (F.col("x.node") > F.col("y.node")))
-    ok &= F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= needed
+            numbers, els = [], []
+            for own, lead in zip(batch.column("hs"), batch.column("ls")):
+                x, y = _set(own.as_py()), _set(lead.as_py() or b"")
+                apart = np.setxor1d(x, y, assume_unique=True)
+                union = (len(x) + len(y) + len(apart)) // 2
+                far = len(apart) / max(union, 1)
+                whole = not len(y) or far <= 0.5 + spread + 1e-9
+                numbers.append((len(x), len(y), len(apart), far <= spread + 1e-12 and len(y) > 0, far <= 0.5))
+                els.append(apart.view("<i8") if whole else apart[:0].view("<i8"))
+            made = [pa.array([v[i] for v in numbers], t) for i, t in enumerate([pa.int64()] * 3 + [pa.bool_()] * 2)]
+            kept = [batch.column(c) for c in ("leader", "node", "root")]
+            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(els, pa.list_(pa.int64()))], schema.names)
+
+    schema = T.StructType(
+        [T.StructField(c, T.BinaryType()) for c in ("leader", "node", "root")]
+        + [T.StructField(c, T.LongType()) for c in ("n", "nl", "d")]
+        + [T.StructField(c, T.BooleanType()) for c in ("linked", "near")]
+        + [T.StructField("els", T.ArrayType(T.LongType()))]
+    )
+    lead = sets.select(F.col("node").alias("leader"), F.col("hs").alias("ls"))
+    joined = family.join(sets.select("node", "hs"), "node").join(lead, "leader", "left")
+    return cut_lineage(joined.select("leader", "node", "root", "hs", "ls").mapInArrow(run, schema))
+
+
+def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of two roots in a leader's family, among them all of ``similarity`` or more but those of
+    two linked nodes.
+
+    Two sets differ in d + e - 2c shingles if they differ from their leader in d and e, c of them in common. What
+    makes strangers of a template alike is no part of these differences, and a node that is not linked to the
+    leader must share some with every similar one: more the farther both are. So a prefix-filtered join over the differences,
+    rarest first by their counts in the family, meets hardly any strangers. With no leader the differences are
+    the whole sets, and this is the plain prefix filter."""
+    part = (1 - similarity) / (1 + similarity)  # similar sets differ in at most this share of their sizes' sum
+    long = diff.where(F.size("els") > 0).select("leader", "node", "root", "n", "nl", "d", "linked", F.explode("els").alias("h"))
+    counts = long.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = long.join(counts.where("lo <> hi").select(F.col("leader").alias("_l"), F.col("h").alias("_h"), "c"),
+                       F.col("leader").eqNullSafe(F.col("_l")) & (F.col("h") == F.col("_h"))).drop("_l", "_h")
+    mine = W.partitionBy("leader", "node")
+    rank = F.row_number().over(mine.orderBy("c", "h")) - 1
+    # Differences that no other root has come first.
+    placed = shared.withColumn("pos", rank + F.col("d") - F.count(F.lit(1)).over(mine))
+    n, nl, d = F.col("n"), F.col("nl"), F.col("d")
+    alone = similarity * n  # without a leader the partner is at least as large, or has this share of the size
+    apart = F.when(nl == 0, alone).otherwise((d + (nl - n) * part) / 2)  # common with any unlinked partner, at least
+    touch = (d - (n + nl) * part) / 2  # of an unlinked node with a linked partner, at least
+    early = F.col("pos") < d - F.ceil(apart - 1e-6) + 1
+    late = ~F.col("linked") & (nl > 0) & (F.col("pos") < d - F.greatest(F.ceil(touch - 1e-6), F.lit(1)) + 1)
+    keys = cut_lineage(placed.select("leader", "node", "root", "n", "d", "linked", "h", "pos", early.alias("early"), late.alias("late")).where("early or late"))
+    x, y = keys.alias("x"), keys.alias("y")
+    needed = (F.col("x.d") + F.col("y.d") - (F.col("x.n") + F.col("y.n")) * part) / 2 - 1e-6
+    ok = F.col("x.leader").eqNullSafe(F.col("y.leader")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
+    ok &= (~F.col("x.linked") & ~F.col("y.linked") & F.col("x.early") & F.col("y.early") & (F.col("x.node") < F.col("y.node"))) | (
+        F.col("x.late") & F.col("y.linked") & F.col("y.early")
+    )
+    ok &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    ok &= F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos")) >= needed
     a, b = F.col("x.node"), F.col("y.node")
     pairs = cut_lineage(x.join(y, ok).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    release(whole, keys, live)
+    release(keys)
     return pairs
 
 
+def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For ``members(tag, key, node, root)`` the similar pairs with a leader, and candidates among which all other
+    similar pairs of two roots are that share a key.
+
+    Each key takes a leader; nodes at a distance of at most a half from it meet in its family, where nodes a little
+    farther take part too, since two similar nodes' distances differ by no more than their own. Nodes beyond a half go
+    on to the key's next leader, and after ``LEADERS`` of them into one join without a leader."""
+    links, found, left, used = None, None, members, []
+    for turn in range(LEADERS + 1):
+        first = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+        lead = F.when(F.lit(turn < LEADERS), first).alias("leader")
+        keys = left.groupBy("tag", "key").agg(lead, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        keys = keys.select("tag", "key", "leader")
+        placed = cut_lineage(left.join(keys, ["tag", "key"]))
+        used.append(placed)
+        if placed.isEmpty():
+            break
+        diff = _differences(placed.select("leader", "node", "root").distinct(), sets, similarity)
+        used.append(diff)
+        pairs = _family_pairs(diff, similarity)
+        close = diff.where("linked and node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        links = close if links is None else links.union(close)
+        found = pairs if found is None else found.union(pairs)
+        used.append(pairs)
+        far = diff.where("not near").select("leader", "node")
+        left = placed.join(far, ["leader", "node"], "left_semi").select("tag", "key", "node", "root")
+    if links is None:
+        none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+        return none, none
+    out = cut_lineage(links.distinct()), cut_lineage(found.distinct())
+    release(*used)
+    return out
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -295,8 +347,8 @@ def similar_groups(
     pass a bound on their numbers of shingles, and then an exact comparison of their shingles.
     ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
     key are compared with its smallest node. Then members that are still apart are compared: all pairs of a key with
-    at most ``dense`` of them, and the pairs that ``_apart`` finds among the members of all larger ones. So every
-    pair of the similarity that shares a key is found, in a key of any size.
+    at most ``dense`` of them, and in larger ones the pairs that ``_apart`` finds by their differences from leaders.
+    So every pair of the similarity that shares a key is found, in a key of any size.
 
     Null and wordless texts are one group. Rows with a null id take part; a group's id is null only if
     all its ids are. Repeated rows stay, an empty table gives an empty result."""
@@ -317,9 +369,14 @@ def similar_groups(
     lead = F.min(F.struct("node", "n")).alias("lead")
     shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1")
     live = cut_lineage(keyed.join(shared, ["tag", "key"]))
-    texts = cut_lineage(
-        plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
-    )
+    wanted = plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(_hashes(t, shingle, 42)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], ["node", "hs"])
+
+    sets = cut_lineage(wanted.mapInArrow(shingles, "node binary, hs binary"))
 
     def passed(pairs: DataFrame) -> DataFrame:
         """Of pairs of structs ``x`` and ``y`` the nodes of those that may be similar."""
@@ -328,7 +385,7 @@ def similar_groups(
         return pairs.where(ok & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
     me = F.struct("node", "n")
-    first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), texts, shingle, similarity))
+    first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), sets, similarity))
     roots = connected_components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     placed = live.select("tag", "key", "size", me.alias("x"), "node").join(of("node"), "node", "left").select(
@@ -339,8 +396,8 @@ def similar_groups(
     few = split.where(F.col("size") <= dense)
     other = few.select("tag", "key", F.col("x").alias("y"), F.col("root").alias("y_root"))
     pairs = few.join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
-    many = _apart(split.where(F.col("size") > dense).select("x.node", "root").distinct(), texts, shingle, similarity)
-    second = _similar(passed(pairs).union(many).distinct(), texts, shingle, similarity)
+    linked, many = _apart(split.where(F.col("size") > dense).select("tag", "key", "x.node", "root"), sets, similarity)
+    second = _similar(passed(pairs).union(many).distinct(), sets, similarity).union(linked)
     edges = cut_lineage(first.union(second))
     roots = connected_components(edges)
     whole = nodes.select("node", "id").join(roots, "node", "left").select(
@@ -348,7 +405,7 @@ def similar_groups(
     )
     lows = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     named = whole.join(lows, "root").select("node", "component_id")
-    release(live, texts, split, first, many, edges)
+    release(live, sets, split, first, linked, many, edges)
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "node", "component_id")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -159,3 +161,59 @@ def test_components_of_chains_and_hubs(spark):
 def test_fingerprint_column_agrees_with_spark_hash(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("the quick fox")).alias("h")).first()
     assert simhash.fingerprint("The quick FOX") == row.h
+
+
+def test_families_inside_one_key_meet_by_their_differences(spark):
+    """Three templates and strangers to all, in one key: every similar pair of two roots is found or linked."""
+    rng = random.Random(4)
+    nodes, sets = [], {}
+    for f in range(3):
+        page = [rng.getrandbits(64) for _ in range(rng.choice([40, 90]))]
+        for _ in range(50):
+            own = set(page)
+            for _ in range(rng.randrange(14)):
+                own.discard(rng.choice(page))
+                own.add(rng.getrandbits(64))
+            nodes.append(own)
+            if rng.random() < 0.3:  # shares some changes with the one before
+                near = set(own)
+                for _ in range(rng.randrange(1, 8)):
+                    near.discard(rng.choice(sorted(near)))
+                    near.add(rng.getrandbits(64))
+                nodes.append(near)
+    nodes += [{rng.getrandbits(64) for _ in range(30)} for _ in range(20)]
+    for i, x in enumerate(nodes):
+        sets[i] = x
+    raw = lambda x: np.array(sorted(x), dtype="<u8").tobytes()
+    name = lambda i: bytearray(f"n{i:04d}".encode())
+    table = spark.createDataFrame([(name(i), raw(x)) for i, x in sets.items()], "node binary, hs binary")
+    members = spark.createDataFrame([(t, 7, name(i), name(i)) for i in sets for t in (0, 1)], "tag int, key long, node binary, root binary")
+    linked, candidates = simhash._apart(members, table, 0.8)
+    number = lambda b: int(bytes(b)[1:])
+    links = {(number(r.a), number(r.b)) for r in linked.collect()}
+    found = {(number(r.a), number(r.b)) for r in candidates.collect()}
+    alike = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links <= alike and len(alike) > 200
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links | (found & alike):
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    assert all(top(i) == top(j) for i, j in alike)
+    assert len(found) < 3 * len(alike) < len(sets) ** 2 / 8
+
+
+@pytest.mark.parametrize("size", [3000])
+def test_a_large_family_draws_few_candidates(spark, size):
+    """All share a page of 120 shingles and have 45 of their own (0.57 alike): no pair is drawn."""
+    rng = np.random.default_rng(1)
+    page = rng.integers(1, 1 << 63, 120, dtype=np.uint64)
+    rows = [(f"n{i:05d}".encode(), np.unique(np.concatenate([np.delete(page, rng.integers(0, 120, 10)), rng.integers(1, 1 << 63, 40, dtype=np.uint64)])).tobytes()) for i in range(size)]
+    table = spark.createDataFrame([(bytearray(n), bytearray(r)) for n, r in rows], "node binary, hs binary")
+    members = table.selectExpr("0 as tag", "1L as key", "node", "node as root")
+    linked, candidates = simhash._apart(members, table, 0.8)
+    assert linked.count() == 0 and candidates.count() < size
