@@ -22,10 +22,11 @@ from plumbline.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-#: Fillings looked at for one sequence, kept for branching, and sequences (or runs of equal ones) placed in all.
-FILL_NODES, BRANCHES, SEARCH_NODES = 400, 4, 12_000
-#: Words whose ids a worker remembers at most, and the longest such word.
-WORDS_HELD, WORD_CHARS = 400_000, 64
+#: Steps looked at for one sequence and fillings kept for branching in the first search, how often both grow, and
+#: sequences (or runs of equal ones) placed in all searches together.
+FILL_NODES, BRANCHES, WIDEN, SEARCH_NODES = 400, 4, 4, 12_000
+#: Words whose ids a worker remembers at least, twice as many at most, and the longest such word.
+WORDS_HELD, WORD_CHARS = 400000, 64
 #: Texts that must be encoded whole: white space on which Python and the tokenizer differ, special tokens.
 _WHOLE = re.compile("[\x1c-\x1f\u180e]|<\\|")
 # Fixed values of the tokenizer: how it parts a word, and its names for bytes.
@@ -44,33 +45,42 @@ class _Words(dict):
     """Token ids by word, as little-endian 32-bit bytes; unknown words are looked up part by part.
 
     The tokenizer lower-cases, parts letters, digits and signs, and then merges inside each part alone. Words of the
-    Latin blocks are parted here and only new parts reach its merge model; other words go through it whole."""
+    Latin blocks are parted here and only new parts reach its merge model; other words go through it whole. A part
+    is a word with the same ids, so both are held together. When the table is full it becomes the older one, whose
+    words come back as they are met again."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.whole, self.model = tokenizer, tokenizer.model
-        self.parts: dict[str, bytes] = {}
+        self.whole, self.merge = tokenizer, tokenizer.model.tokenize
+        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.older: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        raw = self.parts.get(part)
-        if raw is None:
-            named = part if part.isascii() else "".join([_BYTE_NAMES[b] for b in part.encode()])
-            raw = np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
-            if len(part) <= WORD_CHARS:
-                if len(self.parts) >= WORDS_HELD:
-                    self.parts.clear()
-                self.parts[part] = raw
-        return raw
+    def _merged(self, part: str) -> bytes:
+        named = part if part.isascii() else "".join([_BYTE_NAMES[b] for b in part.encode()])
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.merge(named)])
 
-    def __missing__(self, word: str) -> bytes:
+    def _parted(self, word: str) -> bytes:
         if word.isascii():
-            raw = b"".join([self._part(p) for p in _ASCII_PARTS.findall(word.lower())])
+            low, rule = word.lower(), _ASCII_PARTS
         elif _LATIN.fullmatch(word):
-            raw = b"".join([self._part(p) for p in _PARTS.findall(unicodedata.normalize("NFC", word).lower())])
+            low, rule = unicodedata.normalize("NFC", word).lower(), _PARTS
         else:
-            raw = encoded(self.whole, word)
+            return encoded(self.whole, word)
+        if low.isalpha():  # letters alone are one part
+            return self._merged(low) if low == word else self[low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return self[low[:-1]] + self[low[-1]]
+        parts = rule.findall(low)
+        return self._merged(low) if parts == [word] else b"".join([self[p] for p in parts])
+
+    def __missing__(self, word: str) -> bytes:
+        raw = self.older.get(word)
+        if raw is None:
+            raw = self._parted(word)
         if len(word) <= WORD_CHARS:
             if len(self) >= WORDS_HELD:
+                self.older = dict(self)
                 self.clear()
             self[word] = raw
         return raw
@@ -184,8 +194,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(copies, content) for group in open_.values() for copies, content in group]
 
 
-def _fillings(free: list[int], counts: dict[int, int], room: int, nodes: int, keep: int) -> list[tuple[int, tuple]]:
-    """Up to ``keep`` undominated fillings of ``room`` as (waste, contents), least waste first, large pieces first.
+def _fillings(free: list[int], counts: dict[int, int], room: int, nodes: int, keep: int) -> tuple[list[tuple[int, tuple]], int, bool]:
+    """Up to ``keep`` undominated fillings of ``room`` as (waste, contents), least waste first, large pieces first, the
+    steps it took, and whether these are all there are.
 
     A filling is dominated if one of its pieces could make way for a longer unused one."""
     found: dict[tuple, int] = {}
@@ -243,26 +254,45 @@ def _fillings(free: list[int], counts: dict[int, int], room: int, nodes: int, ke
                 content[x], left = c, left - c * x
             at = min(at, bisect_right(free, left)) - 1
         found[tuple(content.items())] = left
-    return sorted(((w, c) for c, w in found.items()), key=lambda f: (f[0], [(-x, -n) for x, n in f[1]]))[:keep]
+    best = sorted(((w, c) for c, w in found.items()), key=lambda f: (f[0], [(-x, -n) for x, n in f[1]]))
+    return best[:keep], spent, spent <= nodes and perfect < keep and len(best) <= keep
 
 
 def fewest_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[Pattern]:
     """Patterns ``(copies, ((length, count), ...))`` that hold all pieces of a histogram in few sequences.
 
-    Branch and bound by bin completion: the longest piece left gets each undominated filling in turn, least waste
-    first; a branch ends when its waste leaves no way to beat the incumbent, which starts as best-fit decreasing. The
-    search stops at the lower bound or after ``nodes`` placements, and then returns the best found. In large
-    instances equal sequences are placed as one step."""
+    Branch and bound by bin completion: the longest piece left gets undominated fillings in turn, least waste
+    first; a branch ends when its waste leaves no way to beat the incumbent, which starts as best-fit decreasing.
+    A first search places each filling as often as its pieces last. Further ones place it once at a time, among
+    more and more fillings of a sequence, until the lower bound is met, a search has left out no undominated filling
+    (then its result is the least possible), or ``nodes`` placements are spent, ``FILL_NODES`` steps over fillings
+    counting as one; the best found is returned."""
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
     bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
     best = best_fit(counts, capacity)
+    fill, keep, runs = FILL_NODES, BRANCHES, True
+    while sum(m for m, _ in best) > bound and nodes > 0:
+        best, spent, whole = _search(dict(counts), capacity, total, bound, best, nodes, fill, keep, runs)
+        if whole and not runs:
+            break
+        nodes -= spent
+        if not runs:
+            fill, keep = fill * WIDEN, keep * WIDEN
+        runs = False
+    return best
+
+
+def _search(
+    counts: dict[int, int], capacity: int, total: int, bound: int, best: list[Pattern], nodes: int, fill: int, keep: int, runs: bool
+) -> tuple[list[Pattern], int, bool]:
+    """One search: the best patterns known after it, the placements it took, and whether no filling was left out."""
     size = sum(m for m, _ in best)
-    one_by_one = sum(counts.values()) <= 2000
     free = sorted(counts)
     placed: list[Pattern] = []
-    stack: list[tuple[Iterator, int, int]] = []
-    waste = bins = spent = 0
+    stack: list[tuple[Iterator, int]] = []
+    waste = bins = spent = steps = 0
+    whole = True
 
     def change(pattern: Pattern, sign: int) -> None:
         for x, c in pattern[1]:
@@ -274,26 +304,25 @@ def fewest_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: in
                 free.insert(bisect_left(free, x), x)
 
     def branch() -> Iterator[tuple[int, Pattern]]:
+        nonlocal whole, steps
         x = free[-1]
         counts[x] -= 1
         spare = free if counts[x] else free[:-1]
-        options = _fillings(spare, counts, capacity - x, FILL_NODES, BRANCHES)
+        options, tried, all_of_them = _fillings(spare, counts, capacity - x, fill, keep)
+        whole, steps = whole & all_of_them, steps + tried
         counts[x] += 1
         for lost, content in options:
-            whole = dict(content)
-            whole[x] = whole.get(x, 0) + 1
-            copies = 1 if one_by_one else min(counts[y] // c for y, c in whole.items())
-            yield lost * copies, (copies, tuple(sorted(whole.items(), reverse=True)))
-
-    def settle() -> None:
-        nonlocal best, size
-        if bins < size:
-            best, size = list(placed), bins
-
-    if size > bound and free:
-        stack.append((branch(), 0, 0))
-    while stack and size > bound and spent < nodes:
-        options, _, _ = stack[-1]
+            held = dict(content)
+            held[x] = held.get(x, 0) + 1
+            copies = min(counts[y] // c for y, c in held.items()) if runs else 1
+            yield lost * copies, (copies, tuple(sorted(held.items(), reverse=True)))
+
+    if free:
+        stack.append((branch(), 0))
+    while stack and size > bound:
+        if spent + steps // FILL_NODES >= nodes:
+            return best, nodes, False
+        options, _ = stack[-1]
         step = next(options, None)
         if step is None:
             stack.pop()
@@ -309,18 +338,19 @@ def fewest_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: in
         spent += 1
         change(pattern, -1)
         placed.append(pattern)
-        stack[-1] = (options, lost, 0)
+        stack[-1] = (options, lost)
         waste += lost
         bins += pattern[0]
         if free:
-            stack.append((branch(), 0, 0))
+            stack.append((branch(), 0))
         else:
-            settle()
+            if bins < size:
+                best, size = list(placed), bins
             placed.pop()
             change(pattern, 1)
             bins -= pattern[0]
             waste -= lost
-    return best
+    return best, spent + steps // FILL_NODES + 1, whole
 
 
 def _layout(patterns: list[Pattern]) -> dict[str, np.ndarray]:
