@@ -34,6 +34,32 @@ NOTICES = {
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v. 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl3+-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3+-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+}
+# Sentences in which each holder writes a name of their own, at <>; the names may hold up to 120 characters.
+SLOTS = {
+    "bsd-endorse": (
+        "neither the name of <> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of <> nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of <> may not be used to endorse or promote products derived from this software without specific prior written permission",
+        "the names of <> may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "bsd-asis": (
+        "this software is provided by <> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "mit-liability": (
+        "in no event shall <> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "isc-asis": (
+        "the software is provided as is and <> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
 }
 # Names under which a licence is granted in one sentence.
 NAMES = {
@@ -71,8 +97,14 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2+-free", "gpl-warranty", "gpl-see", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2+-free",)),
     ("LGPL-2.1-or-later", ("lgpl2.1+-free",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-subject",)),
     ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-asis", "zlib-liability", "zlib-grant")),
+    ("0BSD", ("0bsd-grant", "isc-asis")),
+    ("LGPL-3.0-or-later", ("lgpl3+-free",)),
+    ("AGPL-3.0-or-later", ("agpl3+-free",)),
+    ("EPL-2.0", ("epl2-terms",)),
     *((name, (f"grant:{name}",)) for name in NAMES),
 )
 
@@ -89,26 +121,28 @@ def _sentences() -> dict[str, str]:
 
 
 #: Every known sentence holds one of these, so a text without them needs no splitting.
-ANCHORS = "licen[cs]e|released under|distributed under|available under|permission|redistribut|warrant|as is|liable|endorse|public domain"
+ANCHORS = "licen[cs]e|released under|distributed under|available under|permission|redistribut|warrant|as is|liable|endorse|public domain|distributed with"
 KNOWN = _sentences()
 assert all(re.search(ANCHORS, s) for s in KNOWN)
 
 
-def _wrapped() -> dict[str, str]:
-    """Pattern of a known sentence, or of all forms of a grant, over any line breaks, to the sentence on one line."""
-    gaps = lambda s: re.escape(s).replace("\\ ", "[ \n]")
+def wrapped(gap: str) -> dict[str, str]:
+    """Pattern of a known sentence, or of all forms of a grant, with ``gap`` between words, to the sentence on one line.
+    Names of holders stand for any few words."""
+    slot = f"[a-z0-9+.]+(?:{gap}[a-z0-9+.]+){{0,11}}?"
+    gaps = lambda s: slot.join(re.escape(p).replace("\\ ", gap) for p in s.split("<>"))
     any_of = lambda forms: f"(?:{'|'.join(map(gaps, sorted(forms, key=len, reverse=True)))})"
-    forms = {i: any_of([s]) for i, s in NOTICES.items()}
+    forms = {i: any_of([s, *SLOTS.get(i, ())]) for i, s in NOTICES.items()}
     for name, named in NAMES.items():
         tails = {t for s, i in KNOWN.items() if i == f"grant:{name}" for v in VERBS if s.startswith(v) for t in (s[len(v) :],)}
         spdx = gaps(f"spdx license identifier {name.lower().replace('-', ' ')}")
         forms[name] = f"(?:{any_of(SUBJECTS)}{any_of(VERBS)}{any_of(tails)}|{spdx})"
     lines = NOTICES | {name: f"licensed under {named[0]}" for name, named in NAMES.items()}
     assert all(KNOWN[line] in (i, f"grant:{i}") for i, line in lines.items())
-    return {f"(?<![^\n|]){p}(?![^\n|])": lines[i] for i, p in forms.items()}
+    return {p: lines[i] for i, p in forms.items()}
 
 
-WRAPPED = _wrapped()
+WRAPPED = {f"(?<![^\n|]){p}(?![^\n|])": line for p, line in wrapped("[ \n]").items()}
 
 
 def sentences_of(text: Column) -> Column:
@@ -132,18 +166,19 @@ def sentences_of(text: Column) -> Column:
 
 
 def _identifiers(text: Column) -> Column:
-    """Identifiers of the licence-like sentences of a text in order; ``?`` for an unknown one that names a licence."""
+    """Identifiers of the licence-like sentences of a text in order; ``?`` for an unknown one, which parts what stands
+    around it, so that a changed or foreign clause never turns a longer licence into a shorter one."""
     known = F.create_map(*[F.lit(x) for pair in sorted(KNOWN.items()) for x in pair])
     alike = F.filter(sentences_of(text), lambda s: s.rlike(ANCHORS))
-    found = F.transform(alike, lambda s: F.coalesce(known[s], F.when(s.rlike("licen[cs]e"), F.lit("?"))))
-    return F.when(F.lower(text).rlike(ANCHORS), F.array_compact(found)).otherwise(F.array().cast("array<string>"))
+    found = F.transform(alike, lambda s: F.coalesce(known[s], F.lit("?")))
+    return F.when(F.lower(text).rlike(ANCHORS), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, sentence_ids, licenses, n_unclaimed)`` per row of ``docs``, in one pass without a shuffle.
 
     ``sentence_ids`` are the identifiers of known licence sentences in page order, ``?`` standing for a sentence that
-    names a licence but is not known. ``licenses`` are the licences of the rules that claimed sentences, each once,
+    holds a licence-like word (``ANCHORS``) but is not known. ``licenses`` are the licences of the rules that claimed sentences, each once,
     sorted. ``n_unclaimed`` counts identifiers that no rule claimed, unknown ones included. Null and empty texts have
     none; repeated rows and rows without an id are scanned like all others; other columns are left out."""
     ids = docs.select(F.col(id_col), _identifiers(F.coalesce(F.col(text), F.lit(""))).alias("sentence_ids"))

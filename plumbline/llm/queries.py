@@ -182,20 +182,30 @@ def _license_sql() -> str:
     for name, needed in licenses.RULES:
         row = f"replace({row}, {text(''.join(f'<{i}>' for i in needed))}, {text('{' + name + '}')})"
     known = ", ".join(f"({text(s)}, {text(i)})" for s, i in sorted(licenses.KNOWN.items()))
+    mended = "twice"  # ends of lines and sentences stand twice there, so that neighbours have one each
+    for pattern, line in licenses.wrapped("(?: |\n\n)").items():
+        mended = f"regexp_replace({mended}, {text(f'(^|[\n|])(?:{pattern})($|[\n|])')}, {text(f'\\1{line}\\2')}, 'g')"
     return f"""
     with known(s, id) as (values {known}),
     d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+    joined as (
+        select r, replace(regexp_replace(t, '\r?\n[ \t/*#;%-]*([a-z(])', ' \\1', 'g'), '|', '-') as s
+        from d where regexp_matches(lower(t), '{licenses.ANCHORS}')
+    ),
+    cut as (select r, lower(regexp_replace(s, '[.!?]+(\\s|$)', '|', 'g')) as s from joined),
+    flat as (
+        select r, trim(regexp_replace(regexp_replace(regexp_replace(s, '[^a-z0-9+.|\n]+', ' ', 'g'),
+                                                     '\n ?(\n ?)+', '|', 'g'), ' ?([\n|]) ?', '\\1', 'g')) as s from cut
+    ),
+    doubled as (select r, replace(replace(s, '|', '||'), '\n', '\n\n') as twice from flat),
     lines as (
-        select r, unnest(x) as s, generate_subscripts(x, 1) as pos from (
-            select r, string_split(regexp_replace(regexp_replace(t, '\\r?\\n[ \\t/*#;%-]*([a-z(])', ' \\1', 'g'),
-                                                  '[.!?]+(\\s|$)', '\n', 'g'), '\n') as x
-            from d where regexp_matches(lower(t), '{licenses.ANCHORS}'))
+        select r, unnest(x) as s, generate_subscripts(x, 1) as pos
+        from (select r, string_split_regex({mended}, '[\n|]+') as x from doubled)
     ),
-    plain as (select r, pos, trim(regexp_replace(lower(s), '[^a-z0-9+.]+', ' ', 'g')) as s from lines),
     found as (
-        select r, pos, coalesce(known.id, case when regexp_matches(plain.s, 'licen[cs]e') then '?' end) as id
-        from plain left join known on plain.s = known.s
-        where regexp_matches(plain.s, '{licenses.ANCHORS}')
+        select r, pos, coalesce(known.id, '?') as id
+        from lines left join known on lines.s = known.s
+        where regexp_matches(lines.s, '{licenses.ANCHORS}')
     ),
     seqs as (
         select r, string_agg(id, ' ' order by pos) as ids, string_agg('<' || id || '>', '' order by pos) as seq

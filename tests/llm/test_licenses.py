@@ -1,7 +1,7 @@
 import textwrap
 
 from plumbline.llm import licenses
-from plumbline.llm.queries import QUERIES
+from plumbline.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -131,10 +131,56 @@ def test_notices_and_order(spark):
         (1, "Apache-2.0"), (2, "BSD-2-Clause"), (3, "BSD-3-Clause"), (4, "GPL-3.0-or-later"), (5, "MIT"), (6, ""), (7, ""), (8, ""),
         (9, "MPL-2.0"), (10, "CC-BY-NC-4.0,MIT"), (11, "ISC"), (None, "MIT"), (1, "Apache-2.0"),
     ]
-    assert out[5].sentence_ids == ["?"] and out[5].n_unclaimed == 1
+    assert out[5].sentence_ids == ["?", "?"] and out[5].n_unclaimed == 2  # each sentence with a licence-like word
     assert licenses.scan(df.limit(0)).count() == 0
 
 
 def test_plan_is_one_native_pass(spark):
     plan = QUERIES["op1_license_sentences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+ZLIB_FILE = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+ORGANISATION = ENDORSE_FILE.replace("the copyright holder", "the Example University of Applied Arts").replace("its\n", "its\n")
+HOLDERS = {
+    "BSD-3-Clause": [
+        BSD_FILE.format(ORGANISATION),
+        BSD_FILE.format(ORGANISATION).replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS"),
+        BSD_FILE.format("3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n\n"),
+    ],
+    "": [BSD_FILE.format("3. Products of rivals may never be used to endorse the software or its users.\n\n")],
+    "MIT": [MIT_FILE.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "EXAMPLE\nWORKS INC")],
+    "Zlib": [ZLIB_FILE],
+    "0BSD": [ISC_FILE.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")],
+}
+
+
+def test_names_of_holders_and_foreign_clauses(spark):
+    rows = [(name, t.replace("\n", end)) for name, texts in HOLDERS.items() for t in texts for end in ("\n", "\r\n", "\n * ")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, ",".join(r.licenses)) for r in got] == [(n, n) for n, _ in rows]
+    assert all("?" in r.sentence_ids for r in got if not r.doc_id)
+
+
+def test_sql_agrees_on_wrapped_files(spark, tmp_path):
+    import duckdb
+
+    files = [MIT_FILE, ISC_FILE, BSD_FILE.format(""), BSD_FILE.format(ENDORSE_FILE), *[t for ts in HOLDERS.values() for t in ts], APACHE, GPL]
+    texts = [t.replace("\n", end) for t in files for end in ("\n", "\r\n", "\n// ", "\n\n")] + [textwrap.fill(t, w) for t in files for w in (30, 60)]
+    texts += ["Released under the MIT\nLicense\nLicensed under the ISC\nLicense|x", "a.\n\nb|warranty", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(ORACLES["op1_license_sentences"])
+    want = {r[0]: dict(zip(rel.columns, r)) for r in rel.fetchall()}
+    for r in QUERIES["op1_license_sentences"](spark, str(tmp_path)).collect():
+        assert r.asDict() == want[r.doc_id], texts[r.doc_id]
+    assert sum(bool(w["licenses"]) for w in want.values()) > 40
