@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from plumbline.llm.dom import Node, parse
 
 #: Pages that the trees are fitted on at most, pages composed for training, size of the ensemble.
 SAMPLE_PAGES, COMPOSED_PAGES, TREES, DEPTH = 80, 240, 12, 4
+SAMPLE_CHARS = 1 << 20
 #: Log-odds kept for an attribute token at most, cost of passing through a block that is neither.
 TOKEN_LIMIT, THROUGH = 4.0, 0.7
 
@@ -92,6 +94,7 @@ def node_features(nodes: list[Node], tokens: dict[str, float]) -> np.ndarray:
         p = nodes[i].parent
         for a in (chars, link_chars, elements, links, paragraphs, words, stops):
             a[p] += a[i]
+    alike = Counter((x.parent, x.tag) for x in nodes)  # siblings of one tag, the node itself among them
     out = np.zeros((n, len(TAG_GROUPS) + 20))
     g = len(TAG_GROUPS)
     low, high = np.zeros(n), np.zeros(n)
@@ -107,7 +110,7 @@ def node_features(nodes: list[Node], tokens: dict[str, float]) -> np.ndarray:
         if (k := _GROUP.get(node.tag)) is not None:
             out[i, k] = 1.0
         kin = nodes[up].children if up >= 0 else [i]
-        same = sum(nodes[c].tag == node.tag for c in kin) if len(kin) <= 64 else len(kin)
+        same = alike[up, node.tag]
         out[i, g : g + 6] = (worst, best, depth[i], len(kin), same / len(kin), len(node.children))
         out[i, g + 6] = (i - kin[0]) / max(kin[-1] - kin[0], 1)
     parent = np.maximum([x.parent for x in nodes], 0)
@@ -254,10 +257,13 @@ def compose_page(rng: random.Random, texts: list[str]) -> str:
 
 def fit(pages: DataFrame, html: str = "html", sample_pages: int = SAMPLE_PAGES, composed: int = COMPOSED_PAGES) -> Trees:
     """Trees fitted on nodes of at most ``sample_pages`` pages, chosen by hash and labelled by their article or main
-    element, and of ``composed`` pages built around texts of that sample."""
+    element, and of ``composed`` pages built around texts of that sample. Pages of over ``SAMPLE_CHARS`` characters
+    are not among them. Hashes are ranked alone; only the pages of the lowest ones reach the driver."""
     spark: SparkSession = pages.sparkSession
-    rows = pages.where(F.length(html).between(1, 1 << 20)).select(F.xxhash64(html).alias("h"), F.col(html).alias("t"))
-    held = [parse(r.t) for r in rows.orderBy("h").limit(sample_pages).collect()]
+    rows = pages.where(F.length(html).between(1, SAMPLE_CHARS)).select(F.xxhash64(html).alias("h"), F.col(html).alias("t"))
+    top = rows.select("h").distinct().orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    lowest = rows.where(F.col("h") <= F.lit(top)).dropDuplicates(["h"]) if top is not None else rows.limit(0)
+    held = [parse(r.t) for r in lowest.orderBy("h").limit(sample_pages).collect()]
     texts = [t for nodes in held for x in nodes if not x.hidden for _, t in x.runs] or ["some words, in a row."]
     rng = random.Random(7)
     held += [parse(compose_page(rng, texts)) for _ in range(composed)]

@@ -1,6 +1,7 @@
 import html as entities
 import random
 import re
+import time
 
 import pytest
 
@@ -88,3 +89,39 @@ def test_odd_rows(spark, trees):
     assert out[3].text == "one two three." and out[4].text == out[2].text
     assert extraction.extract(df.limit(0), trees).count() == 0
     assert extraction.fit(df.limit(0)).roots
+
+
+@pytest.mark.parametrize("page", [
+    '<a b="x ' * 130000, '<a b="x ' * 130000 + ">", "<a b=\"x' " * 100000 + '>"', "<div>" * 40000 + "</p>" * 40000, "<" * 900000, "<!" * 400000,
+    "<script>" + "</script " * 90000, "<center>" * 40000 + "<option></option>" * 30000, "<ul>" + "<li>x" * 60000,
+])
+def test_odd_pages_take_linear_time(page):
+    start = time.perf_counter()
+    parse(page)
+    assert time.perf_counter() - start < 5
+
+
+P = "Seven of the older houses by the harbour were sold last spring, and the new owners have begun to repair their roofs."
+Q = "The council, which had asked for plans in May, agreed to the work on one condition: the fronts have to stay as they are."
+R = "Most of the money comes from a fund for old towns; the rest is paid by the owners, who may take ten years for it."
+# Written by hand: a page and the blocks of its main text.
+HAND = [
+    (f"<body><header><h1>Town Post</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>Roofs</h1><p>{P}<p>{Q}<p>{R}</article><footer>Contact us</footer>", ["Roofs", P, Q, R]),
+    (f"<div id=top class=navbar><a href=a>One</a> <a href=b>Two</a></div><div class='post-content'><h2>Harbour</h2><p>{P}</p><p>{R}</p></div><div class=sidebar><h3>Popular</h3><ul><li><a href=c>Other story</a></li></ul></div>", ["Harbour", P, R]),
+    (f"<main><h1>Plans</h1><p>{Q}</p><blockquote><p>{P}</p></blockquote><ul><li>{R}</li></ul></main><aside class=ad>Buy now</aside><div id=footer>Terms and privacy</div>", ["Plans", Q, P, R]),
+    (f"<div class=wrapper><div class=menu><a href=1>Start</a><a href=2>Shop</a></div><div class=article-body><p>{P}</p><div class='share social'><a href=x>Share</a><a href=y>Like</a></div><p>{Q}</p></div><div class=comments><p>Nice one!</p><p>First.</p></div></div>", [P, Q]),
+    (f"<article><p>{P}</p><p>The sum is <math><mi>a</mi>+<mi>b</mi></math> in all, as the fund has told the council in its letter.</p><p>{R}</p></article><form><input name=q><button>Search</button></form>", [P, "The sum is", R]),
+    (f"<html><body><div class='cookie notice'>We use cookies. <a href=#>Accept</a></div><section class=main-content><h1>Money</h1><p>{R}</p><p>{Q}</p></section><div class='related links'><a href=1>More</a><a href=2>News</a></div>", ["Money", R, Q]),
+]
+
+
+def test_pages_written_by_hand(spark):
+    trees = extraction.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HAND)], "page_id int, html string")
+    got = {r.page_id: r.text.split("\n") for r in extraction.extract(pages, trees).collect()}
+    held = wanted = extra = 0
+    for i, (_, blocks) in enumerate(HAND):
+        held += sum(any(g.startswith(b) for g in got[i]) for b in blocks)
+        wanted += len(blocks)
+        extra += sum(not any(g.startswith(b) or g[0] in "ab+" or g.startswith("in all") for b in blocks) for g in got[i] if g)
+    assert held >= 0.9 * wanted and extra <= 2, (held, wanted, extra, got)
