@@ -188,8 +188,11 @@ def near_duplicates(
 #: Minima of permuted shingle hashes make ``BANDS`` keys of ``ROWS`` minima each. Texts of similarity 0.8 share
 #: a key with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, above 0.9998.
 BANDS, ROWS = 12, 3
-#: Leaders tried per key before what is still far from all of them is joined without one.
-LEADERS = 3
+#: Leaders that all members of a key are compared with first, and leaders of families tried per key before what is
+#: still far from all of them is joined without one.
+ROUNDS, LEADERS = 4, 3
+#: Pairs of two groups that are compared at once, in turn; one that is similar settles the others.
+WAVES = (1, 8, 64, None)
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -332,6 +335,23 @@ def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[Data
     return out
 
 
+def _two_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` that lie in two groups, with the smaller and the larger root ``ra`` and ``rb``."""
+    x = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    y = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where("x <> y")
+    return both.select("a", "b", F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"))
+
+
+def _contracted(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots(node, root)`` after the ends of ``edges(a, b)`` are joined."""
+    between = _two_roots(edges, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    moved = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    after = cut_lineage(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+    release(roots)
+    return after
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -346,9 +366,10 @@ def similar_groups(
     of bits is a bound, so this is MinHash banding and not pigeonring: candidates share a key of hash minima. They
     pass a bound on their numbers of shingles, and then an exact comparison of their shingles.
     ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
-    key are compared with its smallest node. Then members that are still apart are compared: all pairs of a key with
-    at most ``dense`` of them, and in larger ones the pairs that ``_apart`` finds by their differences from leaders.
-    So every pair of the similarity that shares a key is found, in a key of any size.
+    key are compared with a leader, ``ROUNDS`` times with another one, and what is linked is one group from then on.
+    Then members that are still apart are compared: all pairs of a key with at most ``dense`` of them, and in larger
+    ones the pairs that ``_apart`` finds by their differences from leaders, a few per pair of groups at a time, as one similar
+    pair joins two groups. So every pair of the similarity that shares a key lies in one group, in a key of any size.
 
     Null and wordless texts are one group. Rows with a null id take part; a group's id is null only if
     all its ids are. Repeated rows stay, an empty table gives an empty result."""
@@ -366,8 +387,7 @@ def similar_groups(
     rows = cut_lineage(plain.mapInArrow(run, T.StructType(kinds)))
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys")))
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("tag", "key"))
-    lead = F.min(F.struct("node", "n")).alias("lead")
-    shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1")
+    shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = cut_lineage(keyed.join(shared, ["tag", "key"]))
     wanted = plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
 
@@ -384,28 +404,48 @@ def similar_groups(
         a, b = F.col("x.node"), F.col("y.node")
         return pairs.where(ok & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    me = F.struct("node", "n")
-    first = cut_lineage(_similar(passed(live.select(me.alias("x"), F.col("lead").alias("y"))), sets, similarity))
-    roots = connected_components(first)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = live.select("tag", "key", "size", me.alias("x"), "node").join(of("node"), "node", "left").select(
-        "tag", "key", "size", "x", F.coalesce("node_root", "node").alias("root")
-    )
+    member = F.struct("node", "n", "root")
+    roots = cut_lineage(live.select("node", F.col("node").alias("root")).distinct())
+    for turn in range(ROUNDS):
+        placed = live.join(roots, "node")
+        first = F.min_by(member, F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead")
+        leads = placed.groupBy("tag", "key").agg(first, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        asked = placed.join(leads, ["tag", "key"]).where("root <> lead.root")
+        new = cut_lineage(_similar(passed(asked.select(member.alias("x"), F.col("lead").alias("y"))), sets, similarity))
+        if new.isEmpty():
+            break
+        roots = _contracted(roots, new)
+    placed = live.join(roots, "node").select("tag", "key", "size", member.alias("x"), "root")
     apart = placed.groupBy("tag", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     split = cut_lineage(placed.join(apart.where("lo <> hi"), ["tag", "key"]))
     few = split.where(F.col("size") <= dense)
     other = few.select("tag", "key", F.col("x").alias("y"), F.col("root").alias("y_root"))
     pairs = few.join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
     linked, many = _apart(split.where(F.col("size") > dense).select("tag", "key", "x.node", "root"), sets, similarity)
-    second = _similar(passed(pairs).union(many).distinct(), sets, similarity).union(linked)
-    edges = cut_lineage(first.union(second))
-    roots = connected_components(edges)
+    roots = _contracted(roots, linked)
+    todo = cut_lineage(passed(pairs).union(many).distinct())
+    release(split, linked, many)
+    for most in WAVES:
+        open_ = _two_roots(todo, roots)
+        if most is not None:
+            turn = F.row_number().over(W.partitionBy("ra", "rb").orderBy(F.xxhash64("a", "b"), "a", "b"))
+            open_ = open_.withColumn("_turn", turn).where(F.col("_turn") <= most)
+        now = cut_lineage(open_.select("a", "b"))
+        if now.isEmpty():
+            break
+        new = cut_lineage(_similar(now, sets, similarity))
+        if most is not None:
+            left = cut_lineage(todo.join(now, ["a", "b"], "left_anti"))
+            release(todo)
+            todo = left
+        roots = _contracted(roots, new)
+        release(now, new)
     whole = nodes.select("node", "id").join(roots, "node", "left").select(
         F.col("node"), F.coalesce("root", "node").alias("root"), "id"
     )
     lows = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     named = whole.join(lows, "root").select("node", "component_id")
-    release(live, sets, split, first, linked, many, edges)
+    release(live, sets, todo)
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "node", "component_id")
 
 
