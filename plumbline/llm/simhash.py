@@ -209,25 +209,13 @@ def _sketch(text: str | None, shingle: int) -> tuple[int, list[int]]:
     return len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def _set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u8")
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for s, t in zip(batch.column("s"), batch.column("t")):
-                x, y = _set(s.as_py()), _set(t.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("s")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary").distinct()
+    common = F.size(F.array_intersect("s", "t"))
+    alike = common * (1 + similarity) >= (F.size("s") + F.size("t")) * similarity - 1e-9
+    return both.where(alike).select("a", "b").distinct()
 
 
 def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -235,31 +223,22 @@ def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataF
     leader), ``near`` (distance of at most a half) and the shingles in which node and leader differ, ``els``, which
     are left empty beyond a distance that no partner of a near node has. A null leader has no shingles."""
     spread = 1 - similarity
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers, els = [], []
-            for own, lead in zip(batch.column("hs"), batch.column("ls")):
-                x, y = _set(own.as_py()), _set(lead.as_py() or b"")
-                apart = np.setxor1d(x, y, assume_unique=True)
-                union = (len(x) + len(y) + len(apart)) // 2
-                far = len(apart) / max(union, 1)
-                whole = not len(y) or far <= 0.5 + spread + 1e-9
-                numbers.append((len(x), len(y), len(apart), far <= spread + 1e-12 and len(y) > 0, far <= 0.5))
-                els.append(apart.view("<i8") if whole else apart[:0].view("<i8"))
-            made = [pa.array([v[i] for v in numbers], t) for i, t in enumerate([pa.int64()] * 3 + [pa.bool_()] * 2)]
-            kept = [batch.column(c) for c in ("leader", "node", "root")]
-            yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(els, pa.list_(pa.int64()))], schema.names)
-
-    schema = T.StructType(
-        [T.StructField(c, T.BinaryType()) for c in ("leader", "node", "root")]
-        + [T.StructField(c, T.LongType()) for c in ("n", "nl", "d")]
-        + [T.StructField(c, T.BooleanType()) for c in ("linked", "near")]
-        + [T.StructField("els", T.ArrayType(T.LongType()))]
-    )
+    none = F.array().cast("array<long>")
     lead = sets.select(F.col("node").alias("leader"), F.col("hs").alias("ls"))
     joined = family.join(sets.select("node", "hs"), "node").join(lead, "leader", "left")
-    return cut_lineage(joined.select("leader", "node", "root", "hs", "ls").mapInArrow(run, schema))
+    sides = joined.withColumn("ls", F.coalesce("ls", none))
+    apart = F.concat(F.array_except("hs", "ls"), F.array_except("ls", "hs"))
+    sized = sides.select("leader", "node", "root", F.size("hs").alias("n"), F.size("ls").alias("nl"), apart.alias("all"))
+    d = F.size("all")
+    far = 2 * d / F.greatest(F.col("n") + F.col("nl") + d, F.lit(1))  # the distance: differing over all shingles
+    led = F.col("nl") > 0
+    whole = ~led | (far <= 0.5 + spread + 1e-9)
+    return cut_lineage(
+        sized.select(
+            "leader", "node", "root", "n", "nl", d.alias("d"), (led & (far <= spread + 1e-12)).alias("linked"),
+            (far <= 0.5).alias("near"), F.when(whole, F.col("all")).otherwise(none).alias("els"),
+        )
+    )
 
 
 def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
@@ -392,11 +371,13 @@ def similar_groups(
     wanted = plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [np.unique(_hashes(t, shingle, 42)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], ["node", "hs"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                made = [np.unique(_hashes(t, shingle, 42)).view("<i8") for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.list_(pa.int64()))], ["node", "hs"])
 
-    sets = cut_lineage(wanted.mapInArrow(shingles, "node binary, hs binary"))
+    sets = cut_lineage(wanted.mapInArrow(shingles, "node binary, hs array<long>"))
 
     def passed(pairs: DataFrame) -> DataFrame:
         """Of pairs of structs ``x`` and ``y`` the nodes of those that may be similar."""

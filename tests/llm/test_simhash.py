@@ -184,9 +184,9 @@ def test_families_inside_one_key_meet_by_their_differences(spark):
     nodes += [{rng.getrandbits(64) for _ in range(30)} for _ in range(20)]
     for i, x in enumerate(nodes):
         sets[i] = x
-    raw = lambda x: np.array(sorted(x), dtype="<u8").tobytes()
+    raw = lambda x: np.array(sorted(x), dtype="<u8").view("<i8").tolist()
     name = lambda i: bytearray(f"n{i:04d}".encode())
-    table = spark.createDataFrame([(name(i), raw(x)) for i, x in sets.items()], "node binary, hs binary")
+    table = spark.createDataFrame([(name(i), raw(x)) for i, x in sets.items()], "node binary, hs array<long>")
     members = spark.createDataFrame([(t, 7, name(i), name(i)) for i in sets for t in (0, 1)], "tag int, key long, node binary, root binary")
     linked, candidates = simhash._apart(members, table, 0.8)
     number = lambda b: int(bytes(b)[1:])
@@ -212,8 +212,8 @@ def test_a_large_family_draws_few_candidates(spark, size):
     """All share a page of 120 shingles and have 45 of their own (0.57 alike): no pair is drawn."""
     rng = np.random.default_rng(1)
     page = rng.integers(1, 1 << 63, 120, dtype=np.uint64)
-    rows = [(f"n{i:05d}".encode(), np.unique(np.concatenate([np.delete(page, rng.integers(0, 120, 10)), rng.integers(1, 1 << 63, 40, dtype=np.uint64)])).tobytes()) for i in range(size)]
-    table = spark.createDataFrame([(bytearray(n), bytearray(r)) for n, r in rows], "node binary, hs binary")
+    rows = [(f"n{i:05d}".encode(), np.unique(np.concatenate([np.delete(page, rng.integers(0, 120, 10)), rng.integers(1, 1 << 63, 40, dtype=np.uint64)])).view("<i8").tolist()) for i in range(size)]
+    table = spark.createDataFrame([(bytearray(n), r) for n, r in rows], "node binary, hs array<long>")
     members = table.selectExpr("0 as tag", "1L as key", "node", "node as root")
     linked, candidates = simhash._apart(members, table, 0.8)
     assert linked.count() == 0 and candidates.count() < size
