@@ -17,6 +17,8 @@ SESSION_CONF = {
 }
 #: Spark deletes an execution's shuffle files when it ends.
 FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that a written frame hands to Python at once; rows may hold whole documents.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -57,12 +59,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     computed once, and neither plan constraints nor size estimates pile up from round to round."""
     path = f"{shared_dir(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLE, "false")
-    conf.set(FREE_SHUFFLE, "true")  # the written rows replace the shuffle files behind them
+    wanted = {FREE_SHUFFLE: "true", BATCH_BYTES[0]: BATCH_BYTES[1]}  # the written rows replace the shuffle files behind them
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(FREE_SHUFFLE, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
