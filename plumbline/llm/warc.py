@@ -27,6 +27,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8192, 32 << 10
 #: A payload of fewer bytes is always written whole.
 LEAST_REVISIT = 100
+#: Compressed bytes from which an archive is closed.
+ARCHIVE_BYTES = 16 << 20
 _PIECE = 16 << 10
 _RECORDS = (
     "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long,"
@@ -129,71 +131,98 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one per Zstandard frame; a dictionary stands in the leading skippable frame."""
+def _frame(data: bytes, at: int, open_: zstandard.ZstdDecompressor) -> tuple[int, bytes | None, zstandard.ZstdDecompressor]:
+    """Where the frame at ``at`` ends, its record (none in a skippable frame) and the decompressor for what follows."""
+    if len(data) - at < 8:
+        raise DamagedArchive(f"{len(data) - at} bytes after the last frame")
+    magic, size = struct.unpack_from("<II", data, at)
+    if magic in SKIPPABLE:
+        if at + 8 + size > len(data):
+            raise DamagedArchive("a skippable frame is cut off")
+        if magic == DICTIONARY_MAGIC and at == 0:
+            raw = data[8 : 8 + size]
+            if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary may itself be compressed
+                raw = zstandard.ZstdDecompressor().decompress(raw)
+            open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        return at + 8 + size, None, open_
+    if magic != FRAME_MAGIC:
+        raise DamagedArchive(f"no frame at byte {at}")
+    frame, parts = open_.decompressobj(), []
+    try:
+        while not frame.eof:
+            piece = data[at : at + _PIECE]
+            if not piece:
+                raise DamagedArchive("a frame is cut off")
+            parts.append(frame.decompress(piece))
+            at += len(piece) - len(frame.unused_data)
+    except zstandard.ZstdError as e:
+        raise DamagedArchive(str(e)) from e
+    return at, b"".join(parts), open_
+
+
+def frames(data: bytes, damage: list[str] | None = None) -> Iterator[bytes]:
+    """The records of an archive, one per Zstandard frame; a dictionary stands in the leading skippable frame.
+
+    Damage is raised, or noted in ``damage`` if given; reading then goes on behind the next empty frame."""
     open_, at = zstandard.ZstdDecompressor(), 0
     while at < len(data):
-        if len(data) - at < 8:
-            raise DamagedArchive(f"{len(data) - at} bytes after the last frame")
-        magic, size = struct.unpack_from("<II", data, at)
-        if magic in SKIPPABLE:
-            if at + 8 + size > len(data):
-                raise DamagedArchive("a skippable frame is cut off")
-            if magic == DICTIONARY_MAGIC and at == 0:
-                raw = data[8 : 8 + size]
-                if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary may itself be compressed
-                    raw = zstandard.ZstdDecompressor().decompress(raw)
-                open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-            at += 8 + size
-            continue
-        if magic != FRAME_MAGIC:
-            raise DamagedArchive(f"no frame at byte {at}")
-        frame, parts = open_.decompressobj(), []
         try:
-            while not frame.eof:
-                piece = data[at : at + _PIECE]
-                if not piece:
-                    raise DamagedArchive("a frame is cut off")
-                parts.append(frame.decompress(piece))
-                at += len(piece) - len(frame.unused_data)
-        except zstandard.ZstdError as e:
-            raise DamagedArchive(str(e)) from e
-        yield b"".join(parts)
+            at, raw, open_ = _frame(data, at, open_)
+        except DamagedArchive as e:
+            if damage is None:
+                raise
+            damage.append(str(e))
+            gap = data.find(EMPTY_FRAME.encode(), at + 1)
+            if gap < 0:
+                return
+            at = gap + len(EMPTY_FRAME)
+            continue
+        if raw is not None:
+            yield raw
 
 
 def write_archives(
-    records: DataFrame, path: str, dictionary: bytes = b"", date: str = "2024-01-01T00:00:00Z", level: int = 3
+    records: DataFrame, path: str, dictionary: bytes = b"", date: str = "2024-01-01T00:00:00Z", level: int = 3,
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
-    """Write ``records(record_id, uri, payload, refers_to)`` as archives in the folder ``path``, one per partition.
+    """Write ``records(record_id, uri, payload, refers_to)`` as archives in the folder ``path``.
 
-    A record with ``refers_to`` is a revisit. Spark's text writer puts the frames into the files, so a lost task leaves
-    no half file; each file is ``dictionary frame, frame, empty frame, frame, ...``."""
+    An archive is closed once it holds ``archive_bytes``, so only a single larger record makes a larger one. A record
+    with ``refers_to`` is a revisit. Spark's text writer puts each archive into a file, so a lost task leaves no half
+    file; each file is ``dictionary frame, frame, empty frame, frame, ...``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=True, write_content_size=True)
-        begun = not dictionary
+        lead = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary] if dictionary else []
+        held, size = list(lead), 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([EMPTY_FRAME.encode().join(held)], pa.binary())], ["archive"])
+
         for b in batches:
-            out = []
-            if not begun and b.num_rows:
-                out.append(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-                begun = True
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 kind = "response" if r["refers_to"] is None else "revisit"
                 raw = record_bytes(kind, r["record_id"], r["uri"], r["payload"] or b"", date, r["refers_to"])
-                out.append(press.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                held.append(press.compress(raw))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield closed()
+                    held, size = list(lead), 0
+        if size:
+            yield closed()
 
     rows = records.select("record_id", "uri", "payload", "refers_to")
-    made = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", EMPTY_FRAME).text(path)
+    made = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Every record below ``path``: its id, type, target, payload with length and digest, and what a revisit refers to.
 
     Headers, lengths and digests are checked. Damage ends the job, or with ``strict=False`` gives a row whose
-    ``error`` says what is wrong; the records behind a damaged frame of that archive are then not read."""
+    ``error`` says what is wrong; reading goes on behind the next empty frame, so only damaged records are lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _RECORDS.split(", ")]
@@ -203,17 +232,22 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         for b in batches:
             for where, data in zip(b.column("path").to_pylist(), b.column("content")):
                 rows, size = [], 0
+                damage = None if strict else []
                 try:
-                    for raw in frames(data.as_py()):
-                        rows.append(parse_record(raw))
+                    for raw in frames(data.as_py(), damage):
+                        try:
+                            rows.append(parse_record(raw))
+                        except DamagedArchive as e:
+                            if strict:
+                                raise
+                            damage.append(str(e))
                         size += len(raw)
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, shape)
                             rows, size = [], 0
                 except DamagedArchive as e:
-                    if strict:
-                        raise DamagedArchive(f"{where}: {e}") from e
-                    rows.append(dict.fromkeys(names) | {"error": f"{where}: {e}"})
+                    raise DamagedArchive(f"{where}: {e}") from e
+                rows += [dict.fromkeys(names) | {"error": f"{where}: {e}"} for e in damage or ()]
                 yield pa.RecordBatch.from_pylist(rows, shape)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _RECORDS)
@@ -246,8 +280,10 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url: str
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive ``pages`` in the shared checkpoint folder and read the archives back."""
+    """Archive ``pages`` in the shared checkpoint folder and read the archives back; ``release`` deletes them."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/plumbline-warc-{uuid.uuid4().hex}"
     archive_pages(pages, path)
-    return read_archives(spark, path)
+    out = read_archives(spark, path)
+    out._plumbline_path = path
+    return out

@@ -81,6 +81,32 @@ def test_reader_names_damaged_archives(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_archives_are_closed_at_their_size(spark, tmp_path):
+    rows = [(f"urn:{i}", "u", sha256(bytes([i % 256, i // 256])).digest() * 40, None) for i in range(300)]
+    shape = "record_id string, uri string, payload binary, refers_to string"
+    words = warc.train_dictionary(spark.read.parquet(f"{SF}/pages.parquet"))
+    df = spark.createDataFrame(rows, shape).coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a", words, archive_bytes=4000)
+    files = list((tmp_path / "a").glob("part-*"))
+    assert len(files) > 5 and max(p.stat().st_size for p in files) < len(words) + 3 * 4000
+    got = warc.read_archives(spark, f"file://{tmp_path}/a").select("record_id", "payload").collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in got) == sorted((r[0], r[2]) for r in rows)
+
+
+def test_reading_goes_on_behind_damage(spark, tmp_path):
+    rows = [(f"urn:{i}", "u", sha256(bytes([i])).digest() * 40, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "record_id string, uri string, payload binary, refers_to string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    (file,) = (tmp_path / "a").glob("part-*")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "b.warc.zst").write_bytes(data)
+    found = warc.read_archives(spark, f"file://{tmp_path}/b.warc.zst", strict=False).collect()
+    assert len([r for r in found if r.error is None]) == 99 and len([r for r in found if r.error]) == 1
+    with pytest.raises(Exception, match="b.warc.zst"):
+        warc.read_archives(spark, f"file://{tmp_path}/b.warc.zst").collect()
+
+
 def test_compressed_dictionary():
     words = zstandard.train_dictionary(4096, [b"sample %d of many words" % i * 20 for i in range(200)])
     frame = zstandard.ZstdCompressor().compress(words.as_bytes())
