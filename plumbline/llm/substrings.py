@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -12,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.names import free_name
 from plumbline.session import cut_lineage
 
 #: Words of a minimiser: long enough that no common word or word pair draws a bucket to itself.
@@ -26,11 +28,11 @@ BUCKET_BYTES = 2 << 20
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
-_HEAD = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("start", "<i4"), ("n", "<i4"), ("known", "u1")])
+_HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i4"), ("n", "<i4"), ("known", "u1")])
 _SPANS = T.StructType(
     [
         T.StructField("_doc", T.LongType()),
-        T.StructField("_hash", T.IntegerType()),
+        T.StructField("_hash", T.LongType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("n", T.IntegerType()),
     ]
@@ -79,7 +81,8 @@ def _thawed(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
 def _packed(texts: list[str], docs: np.ndarray, hashes: np.ndarray, window: int, buckets: int):
     """Yield ``(bucket, blob)`` with the super-k-mers of these texts, which come in order of ``docs``.
 
-    A string already seen in a smaller document is known to repeat: only its place travels."""
+    A string already seen in a smaller document is known to repeat: only its place travels, and as that is settled,
+    not to the bucket of its minimiser but to one of ``buckets`` further ones, spread by document."""
     split = [t.encode().split() for t in texts]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     words = [w for s in split for w in s]
@@ -121,6 +124,8 @@ def _packed(texts: list[str], docs: np.ndarray, hashes: np.ndarray, window: int,
         strings.append(s)
     head["known"] = known
     bucket = (_mixed(minima[starts]) % np.uint64(buckets)).astype(np.int64)
+    if known.any():  # the smallest of these documents names one bucket for all that is settled here
+        bucket[known == 1] = buckets + zlib.crc32(head["doc"][:1].tobytes()) % buckets
     by = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     press = zstandard.ZstdCompressor(level=3)
@@ -185,10 +190,8 @@ def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
     return np.concatenate([done, out])
 
 
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(
-        "_hash", F.hash(F.coalesce(F.col(text), F.lit("")))
-    )
+def _keys(id_col: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
 
 
 def repeated_spans(
@@ -202,9 +205,11 @@ def repeated_spans(
 
     ``_doc`` is the id (rows without one count as the largest) and ``_hash`` the hash of the text, so rows that
     share an id are told apart. Consecutive windows of one minimiser travel as one string, compressed with the
-    other strings of their task and bucket; strings that repeat within a task are combined there, so a passage that
-    very many documents share reaches its bucket once per task batch. The number of buckets follows the text."""
-    keyed = _keyed(docs, id_col, text).select("_doc", "_hash", F.col(text).alias("_text"))
+    other strings of their task and bucket; strings that repeat within ``BATCH_BYTES`` of a task are settled there, so a
+    passage that very many documents share reaches its bucket once per such batch, and what is settled is spread over
+    buckets of its own. The number of buckets follows the text."""
+    doc, mark = _keys(id_col, text)
+    keyed = docs.select(doc.alias("_doc"), mark.alias("_hash"), F.col(text).alias("_text"))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
 
@@ -214,7 +219,8 @@ def repeated_spans(
             hashed = b.column(1).to_numpy(zero_copy_only=False)
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
             by = np.argsort(doc, kind="stable")
-            group = (np.cumsum(size[by]) - size[by]) // BATCH_BYTES
+            parts = max(1, round(int(size.sum()) / BATCH_BYTES))
+            group = (np.cumsum(size[by]) - size[by]) * parts // max(1, int(size.sum()))
             for held in np.split(by, np.flatnonzero(np.diff(group)) + 1):
                 texts = [t or "" for t in b.column(2).take(pa.array(held)).to_pylist()]
                 rows = list(_packed(texts, doc[held], hashed[held], window, buckets))
@@ -275,7 +281,10 @@ def remove_repeats(
         .groupBy("_doc", "_hash")
         .agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_spans"))
     )
-    joined = _keyed(docs, id_col, text).join(spans, ["_doc", "_hash"], "left")
+    held = [free_name(n, docs.columns) for n in ("_doc", "_hash", "_spans", "_text", "_starts", "_lengths")]
+    doc, mark, spans_of, body, starts_of, lengths_of = held
+    spans = spans.select(F.col("_doc").alias(doc), F.col("_hash").alias(mark), F.col("_spans").alias(spans_of))
+    joined = docs.withColumns(dict(zip((doc, mark), _keys(id_col, text)))).join(spans, [doc, mark], "left")
     schema = T.StructType(
         [
             *rest,
@@ -289,9 +298,9 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, removed, digests = [], [], [], []
-            starts = b.column("_starts").to_pylist()
-            lengths = b.column("_lengths").to_pylist()
-            for t, s, n in zip(b.column("_text").to_pylist(), starts, lengths):
+            starts = b.column(starts_of).to_pylist()
+            lengths = b.column(lengths_of).to_pylist()
+            for t, s, n in zip(b.column(body).to_pylist(), starts, lengths):
                 raw, words, gone = _kept(t or "", zip(s or (), n or ()), window)
                 lost = int(gone.sum())
                 kept = words if not lost else [w for w, g in zip(words, gone.tolist()) if not g]
@@ -305,7 +314,7 @@ def remove_repeats(
 
     return joined.select(
         *names,
-        F.col(text).alias("_text"),
-        F.col("_spans.start").alias("_starts"),
-        F.col("_spans.n").alias("_lengths"),
+        F.col(text).alias(body),
+        F.col(spans_of)["start"].alias(starts_of),
+        F.col(spans_of)["n"].alias(lengths_of),
     ).mapInArrow(cut, schema)
