@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.names import free_name
 from plumbline.session import cut_lineage
 
 #: Words of an item that must occur in a row, and words of the shingles that stand for them in the join.
@@ -160,9 +161,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no window of an item; all columns stay.
 
     Rows are told by id and text, so an id with two texts loses only the contaminated one."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    rows = keyed.select(F.struct(F.col(id_col).alias("_id"), F.col("_h")).alias("row"), F.col(text).alias("_text"))
+    h, bad_id, bad_h = (free_name(n, docs.columns) for n in ("_h", "_id", "_hb"))
+    keyed = docs.withColumn(h, F.xxhash64(F.col(text)))
+    rows = keyed.select(F.struct(F.col(id_col).alias("_id"), F.col(h).alias("_h")).alias("row"), F.col(text).alias("_text"))
     bad = benchmark_hits(rows, items, "_text").where("n_hit > 0")
-    bad = bad.select(F.col("row._id").alias("_id"), F.col("row._h").alias("_hb")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hb"))
+    bad = bad.select(F.col("row._id").alias(bad_id), F.col("row._h").alias(bad_h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(h) == F.col(bad_h))
     return keyed.join(bad, same, "left_anti").select(*docs.columns)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.dom import Node, parse
+from plumbline.llm.names import free_name
 
 #: Pages that the trees are fitted on at most, pages composed for training, size of the ensemble.
 SAMPLE_PAGES, COMPOSED_PAGES, TREES, DEPTH = 80, 240, 12, 4
@@ -305,13 +306,14 @@ def extract(pages: DataFrame, trees: Trees, html: str = "html", name: str = "tex
     parted by a line break. Scripts, styles and form controls are never text. Null, empty and textless pages give an
     empty text. Rows are independent; repeated rows are all kept. An empty table gives an empty result."""
     rest = [f for f in pages.schema.fields if f.name not in (html, name)]
+    body = free_name("_html", pages.columns)
     schema = T.StructType([*rest, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                held = [parse(t) for t in part.column("_html").to_pylist()]
+                held = [parse(t) for t in part.column(body).to_pylist()]
                 p = trees.probability(np.concatenate([node_features(n, trees.tokens) for n in held]))
                 texts, first = [], 0
                 for nodes in held:
@@ -319,4 +321,4 @@ def extract(pages: DataFrame, trees: Trees, html: str = "html", name: str = "tex
                     first += len(nodes)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), pa.array(texts, pa.string())], schema.names)
 
-    return pages.select(*[f.name for f in rest], F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*[f.name for f in rest], F.col(html).alias(body)).mapInArrow(run, schema)

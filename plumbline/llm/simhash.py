@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbline.llm.components import connected_components
+from plumbline.llm.names import free_name
 from plumbline.session import cut_lineage, release
 
 BITS = 64
@@ -53,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fingerprint") -> DataFrame:
     """``docs`` without its text but with the fingerprint, in one Arrow pass without a shuffle."""
     rest = [f for f in docs.schema.fields if f.name not in (text, name)]
+    body = free_name("_text", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = pa.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], pa.int64())
+            f = pa.array([fingerprint(t, shingle) for t in b.column(body).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(r.name) for r in rest), f], [*(r.name for r in rest), name])
 
     schema = T.StructType([*rest, T.StructField(name, T.LongType())])
-    return docs.select(*[r.name for r in rest], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[r.name for r in rest], F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.names import free_name
 from plumbline.session import cut_lineage, release
 
 #: Labelled rows that a model is fitted on at most, features it keeps at most.
@@ -209,6 +210,7 @@ def severity(
     added = ["expected_severity", "grade", "toxic"]
     rest = [f for f in docs.schema.fields if f.name not in added] if keep_text else [docs.schema[id_col]]
     names = [f.name for f in rest]
+    body = free_name("_text", docs.columns)
     schema = T.StructType(
         [*rest, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())]
         + [T.StructField(added[2], T.BooleanType())]
@@ -216,13 +218,13 @@ def severity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [model.at_least(t) for t in b.column("_text").to_pylist()]
+            p = [model.at_least(t) for t in b.column(body).to_pylist()]
             grade = [int((x >= DECISION).sum()) for x in p]
             new = [pa.array([float(x.sum()) for x in p], pa.float64()), pa.array(grade, pa.int32())]
             new.append(pa.array([g > 0 for g in grade], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], schema.names)
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
