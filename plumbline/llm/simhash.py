@@ -6,6 +6,7 @@ common shingles, without fingerprints: its candidates are MinHash bands."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,8 @@ BANDS, ROWS = 12, 3
 ROUNDS, LEADERS = 4, 3
 #: Pairs of two groups that are compared at once, in turn; one that is similar settles the others.
 WAVES = (1, 8, 64, None)
+#: Longs of a set's parity signature.
+WORDS = 4
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -211,6 +214,25 @@ def _sketch(text: str | None, shingle: int) -> tuple[int, list[int]]:
     return len(h), [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
+def _parity(hashes: str) -> Column:
+    """Signature of a set: each hash flips one bit of ``WORDS`` longs, so two sets differ in at least as many hashes
+    as their signatures differ in bits."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def word(i: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", one, F.pmod(x, F.lit(64)).cast("int"))
+        mine = lambda x: F.pmod(F.shiftright(x, 6), F.lit(WORDS)) == i
+        return F.aggregate(hashes, zero, lambda acc, x: acc.bitwiseXOR(F.when(mine(x), bit(x)).otherwise(zero)))
+
+    return F.array(*[word(i) for i in range(WORDS)])
+
+
+def _may_be_similar(x: str, y: str, similarity: float) -> Column:
+    """False only where the signatures ``sig`` of two sets of ``n`` hashes show a similarity below ``similarity``."""
+    bits = sum((F.bit_count(F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])) for i in range(WORDS)), F.lit(0))
+    return bits <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("s")), "a")
@@ -230,14 +252,14 @@ def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataF
     joined = family.join(sets.select("node", "hs"), "node").join(lead, "leader", "left")
     sides = joined.withColumn("ls", F.coalesce("ls", none))
     apart = F.concat(F.array_except("hs", "ls"), F.array_except("ls", "hs"))
-    sized = sides.select("leader", "node", "root", F.size("hs").alias("n"), F.size("ls").alias("nl"), apart.alias("all"))
+    sized = sides.select("leader", "node", "root", _parity("hs").alias("sig"), F.size("hs").alias("n"), F.size("ls").alias("nl"), apart.alias("all"))
     d = F.size("all")
     far = 2 * d / F.greatest(F.col("n") + F.col("nl") + d, F.lit(1))  # the distance: differing over all shingles
     led = F.col("nl") > 0
     whole = ~led | (far <= 0.5 + spread + 1e-9)
     return cut_lineage(
         sized.select(
-            "leader", "node", "root", "n", "nl", d.alias("d"), (led & (far <= spread + 1e-12)).alias("linked"),
+            "leader", "node", "root", "sig", "n", "nl", d.alias("d"), (led & (far <= spread + 1e-12)).alias("linked"),
             (far <= 0.5).alias("near"), F.when(whole, F.col("all")).otherwise(none).alias("els"),
         )
     )
@@ -253,7 +275,7 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
     rarest first by their counts in the family, meets hardly any strangers. With no leader the differences are
     the whole sets, and this is the plain prefix filter."""
     part = (1 - similarity) / (1 + similarity)  # similar sets differ in at most this share of their sizes' sum
-    long = diff.where(F.size("els") > 0).select("leader", "node", "root", "n", "nl", "d", "linked", F.explode("els").alias("h"))
+    long = diff.where(F.size("els") > 0).select("leader", "node", "root", "sig", "n", "nl", "d", "linked", F.explode("els").alias("h"))
     counts = long.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     shared = long.join(counts.where("lo <> hi").select(F.col("leader").alias("_l"), F.col("h").alias("_h"), "c"),
                        F.col("leader").eqNullSafe(F.col("_l")) & (F.col("h") == F.col("_h"))).drop("_l", "_h")
@@ -267,7 +289,7 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
     touch = (d - (n + nl) * part) / 2  # of an unlinked node with a linked partner, at least
     early = F.col("pos") < d - F.ceil(apart - 1e-6) + 1
     late = ~F.col("linked") & (nl > 0) & (F.col("pos") < d - F.greatest(F.ceil(touch - 1e-6), F.lit(1)) + 1)
-    keys = cut_lineage(placed.select("leader", "node", "root", "n", "d", "linked", "h", "pos", early.alias("early"), late.alias("late")).where("early or late"))
+    keys = cut_lineage(placed.select("leader", "node", "root", "sig", "n", "d", "linked", "h", "pos", early.alias("early"), late.alias("late")).where("early or late"))
     x, y = keys.alias("x"), keys.alias("y")
     needed = (F.col("x.d") + F.col("y.d") - (F.col("x.n") + F.col("y.n")) * part) / 2 - 1e-6
     ok = F.col("x.leader").eqNullSafe(F.col("y.leader")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
@@ -275,6 +297,7 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
         F.col("x.late") & F.col("y.linked") & F.col("y.early")
     )
     ok &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    ok &= _may_be_similar("x", "y", similarity)
     ok &= F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos")) >= needed
     a, b = F.col("x.node"), F.col("y.node")
     pairs = cut_lineage(x.join(y, ok).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
@@ -284,36 +307,39 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
 
 def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """For ``members(tag, key, node, root)`` the similar pairs with a leader, and candidates among which all other
-    similar pairs of two roots are that share a key.
+    similar pairs of two roots are that share a key; what the former join is one root for the latter.
 
     Each key takes a leader; nodes at a distance of at most a half from it meet in its family, where nodes a little
     farther take part too, since two similar nodes' distances differ by no more than their own. Nodes beyond a half go
     on to the key's next leader, and after ``LEADERS`` of them into one join without a leader."""
-    links, found, left, used = None, None, members, []
+    links, left, diffs = None, members, []
     for turn in range(LEADERS + 1):
         first = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node"))
         lead = F.when(F.lit(turn < LEADERS), first).alias("leader")
         keys = left.groupBy("tag", "key").agg(lead, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         keys = keys.select("tag", "key", "leader")
         placed = cut_lineage(left.join(keys, ["tag", "key"]))
-        used.append(placed)
+        if turn:
+            release(left)
         if placed.isEmpty():
+            release(placed)
             break
         diff = _differences(placed.select("leader", "node", "root").distinct(), sets, similarity)
-        used.append(diff)
-        pairs = _family_pairs(diff, similarity)
+        diffs.append(diff)
         close = diff.where("linked and node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         links = close if links is None else links.union(close)
-        found = pairs if found is None else found.union(pairs)
-        used.append(pairs)
         far = diff.where("not near").select("leader", "node")
-        left = placed.join(far, ["leader", "node"], "left_semi").select("tag", "key", "node", "root")
+        left = cut_lineage(placed.join(far, ["leader", "node"], "left_semi").select("tag", "key", "node", "root"))
+        release(placed)
     if links is None:
         none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
         return none, none
-    out = cut_lineage(links.distinct()), cut_lineage(found.distinct())
-    release(*used)
-    return out
+    links = cut_lineage(links.distinct())
+    roots = _contracted(members.select("node", "root").distinct(), links)
+    found = [_family_pairs(diff.drop("root").join(roots, "node"), similarity) for diff in diffs]
+    out = cut_lineage(reduce(DataFrame.union, found).distinct())
+    release(roots, *diffs, *found)
+    return links, out
 
 
 def _two_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -346,8 +372,9 @@ def similar_groups(
     At this similarity fingerprints differ in some ten of 64 bits, where no bits are a selective key and no number
     of bits is a bound, so this is MinHash banding and not pigeonring: candidates share a key of hash minima. They
     pass a bound on their numbers of shingles, and then an exact comparison of their shingles.
-    ``node`` is the digest of the text: equal texts are one node before any pairing. First the members of a
-    key are compared with a leader, ``ROUNDS`` times with another one, and what is linked is one group from then on.
+    ``node`` is the digest of the text: equal texts are one node before any pairing. First each
+    node is compared with the leader of its largest key, then ``ROUNDS`` times with a leader of each other group that
+    it shares a key with, and what is linked is one group from then on.
     Then members that are still apart are compared: all pairs of a key with at most ``dense`` of them, and in larger
     ones the pairs that ``_apart`` finds by their differences from leaders, a few per pair of groups at a time, as one similar
     pair joins two groups. So every pair of the similarity that shares a key lies in one group, in a key of any size.
@@ -389,12 +416,16 @@ def similar_groups(
 
     member = F.struct("node", "n", "root")
     roots = cut_lineage(live.select("node", F.col("node").alias("root")).distinct())
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         placed = live.join(roots, "node")
         first = F.min_by(member, F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead")
         leads = placed.groupBy("tag", "key").agg(first, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         asked = placed.join(leads, ["tag", "key"]).where("root <> lead.root")
-        new = cut_lineage(_similar(passed(asked.select(member.alias("x"), F.col("lead").alias("y"))), sets, similarity))
+        # One link joins a node to a group: it asks the leader of its largest key first, then one leader of each other group.
+        other = [F.col("lead.root").alias("_group")] if turn else []
+        largest = F.struct((-F.col("size")).alias("s"), "tag", "key")
+        asked = asked.groupBy("node", *other).agg(F.min_by(F.struct(member.alias("x"), F.col("lead").alias("y")), largest).alias("p"))
+        new = cut_lineage(_similar(passed(asked.select("p.x", "p.y")), sets, similarity))
         if new.isEmpty():
             break
         roots = _contracted(roots, new)
@@ -409,20 +440,19 @@ def similar_groups(
     todo = cut_lineage(passed(pairs).union(many).distinct())
     release(split, linked, many)
     for most in WAVES:
-        open_ = _two_roots(todo, roots)
-        if most is not None:
-            turn = F.row_number().over(W.partitionBy("ra", "rb").orderBy(F.xxhash64("a", "b"), "a", "b"))
-            open_ = open_.withColumn("_turn", turn).where(F.col("_turn") <= most)
-        now = cut_lineage(open_.select("a", "b"))
+        turn = F.row_number().over(W.partitionBy("ra", "rb").orderBy(F.xxhash64("a", "b"), "a", "b"))
+        open_ = cut_lineage(_two_roots(todo, roots).select("a", "b", turn.alias("turn")))
+        release(todo)
+        now = open_ if most is None else open_.where(F.col("turn") <= most)
+        todo = open_
         if now.isEmpty():
             break
-        new = cut_lineage(_similar(now, sets, similarity))
-        if most is not None:
-            left = cut_lineage(todo.join(now, ["a", "b"], "left_anti"))
-            release(todo)
-            todo = left
+        new = cut_lineage(_similar(now.select("a", "b"), sets, similarity))
+        if most is not None:  # pairs that meet in one group by now are not looked at again
+            todo = cut_lineage(open_.where(F.col("turn") > most).select("a", "b"))
+            release(open_)
         roots = _contracted(roots, new)
-        release(now, new)
+        release(new)
     whole = nodes.select("node", "id").join(roots, "node", "left").select(
         F.col("node"), F.coalesce("root", "node").alias("root"), "id"
     )
