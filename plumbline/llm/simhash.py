@@ -1,7 +1,7 @@
 """SimHash near-duplicates: pigeonring candidate filter, full Hamming check, components.
 
 ``near_duplicates`` links fingerprints at a stated number of bits; ``similar_groups`` links texts at a stated share of
-common shingles, without fingerprints: its candidates are MinHash bands."""
+common shingles: what ``near_duplicates`` finds is checked and joined first, MinHash bands give the other candidates."""
 
 from __future__ import annotations
 
@@ -193,9 +193,9 @@ def near_duplicates(
 BANDS, ROWS = 12, 3
 #: Leaders that all members of a key are compared with first, and leaders of families tried per key before what is
 #: still far from all of them is joined without one.
-ROUNDS, LEADERS = 4, 3
+ROUNDS, LEADERS = 2, 3
 #: Pairs of two groups that are compared at once, in turn; one that is similar settles the others.
-WAVES = (1, 8, 64, None)
+WAVES = (1, 16, None)
 #: Longs of a set's parity signature.
 WORDS = 4
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -234,12 +234,12 @@ def _may_be_similar(x: str, y: str, similarity: float) -> Column:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
+    """Of distinct ``pairs(a, b)`` those whose distinct shingles have a Jaccard similarity of ``similarity`` or more."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("s")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     alike = common * (1 + similarity) >= (F.size("s") + F.size("t")) * similarity - 1e-9
-    return both.where(alike).select("a", "b").distinct()
+    return both.where(alike).select("a", "b")
 
 
 def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -266,8 +266,8 @@ def _differences(family: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of two roots in a leader's family, among them all of ``similarity`` or more but those of
-    two linked nodes.
+    """Pairs ``(a, b)`` of two roots in a leader's family of one ``turn``, among them all of ``similarity`` or more but
+    those of two linked nodes.
 
     Two sets differ in d + e - 2c shingles if they differ from their leader in d and e, c of them in common. What
     makes strangers of a template alike is no part of these differences, and a node that is not linked to the
@@ -275,11 +275,11 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
     rarest first by their counts in the family, meets hardly any strangers. With no leader the differences are
     the whole sets, and this is the plain prefix filter."""
     part = (1 - similarity) / (1 + similarity)  # similar sets differ in at most this share of their sizes' sum
-    long = diff.where(F.size("els") > 0).select("leader", "node", "root", "sig", "n", "nl", "d", "linked", F.explode("els").alias("h"))
-    counts = long.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    shared = long.join(counts.where("lo <> hi").select(F.col("leader").alias("_l"), F.col("h").alias("_h"), "c"),
-                       F.col("leader").eqNullSafe(F.col("_l")) & (F.col("h") == F.col("_h"))).drop("_l", "_h")
-    mine = W.partitionBy("leader", "node")
+    long = diff.where(F.size("els") > 0).select("turn", "leader", "node", "root", "sig", "n", "nl", "d", "linked", F.explode("els").alias("h"))
+    counts = long.groupBy("turn", "leader", "h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = long.join(counts.where("lo <> hi").select(F.col("turn").alias("_t"), F.col("leader").alias("_l"), F.col("h").alias("_h"), "c"),
+                       F.col("leader").eqNullSafe(F.col("_l")) & (F.col("h") == F.col("_h")) & (F.col("turn") == F.col("_t"))).drop("_t", "_l", "_h")
+    mine = W.partitionBy("turn", "leader", "node")
     rank = F.row_number().over(mine.orderBy("c", "h")) - 1
     # Differences that no other root has come first.
     placed = shared.withColumn("pos", rank + F.col("d") - F.count(F.lit(1)).over(mine))
@@ -289,10 +289,11 @@ def _family_pairs(diff: DataFrame, similarity: float) -> DataFrame:
     touch = (d - (n + nl) * part) / 2  # of an unlinked node with a linked partner, at least
     early = F.col("pos") < d - F.ceil(apart - 1e-6) + 1
     late = ~F.col("linked") & (nl > 0) & (F.col("pos") < d - F.greatest(F.ceil(touch - 1e-6), F.lit(1)) + 1)
-    keys = cut_lineage(placed.select("leader", "node", "root", "sig", "n", "d", "linked", "h", "pos", early.alias("early"), late.alias("late")).where("early or late"))
+    keys = cut_lineage(placed.select("turn", "leader", "node", "root", "sig", "n", "d", "linked", "h", "pos", early.alias("early"), late.alias("late")).where("early or late"))
     x, y = keys.alias("x"), keys.alias("y")
     needed = (F.col("x.d") + F.col("y.d") - (F.col("x.n") + F.col("y.n")) * part) / 2 - 1e-6
-    ok = F.col("x.leader").eqNullSafe(F.col("y.leader")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
+    ok = F.col("x.leader").eqNullSafe(F.col("y.leader")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.turn") == F.col("y.turn"))
+    ok &= F.col("x.root") != F.col("y.root")
     ok &= (~F.col("x.linked") & ~F.col("y.linked") & F.col("x.early") & F.col("y.early") & (F.col("x.node") < F.col("y.node"))) | (
         F.col("x.late") & F.col("y.linked") & F.col("y.early")
     )
@@ -335,10 +336,10 @@ def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[Data
         none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
         return none, none
     links = cut_lineage(links.distinct())
-    roots = _contracted(members.select("node", "root").distinct(), links)
-    found = [_family_pairs(diff.drop("root").join(roots, "node"), similarity) for diff in diffs]
-    out = cut_lineage(reduce(DataFrame.union, found).distinct())
-    release(roots, *diffs, *found)
+    roots = _merged(members.select("node", "root").distinct(), links)
+    every = reduce(DataFrame.union, [diff.drop("root").withColumn("turn", F.lit(turn)) for turn, diff in enumerate(diffs)])
+    out = _family_pairs(every.join(roots, "node"), similarity)
+    release(roots, *diffs)
     return links, out
 
 
@@ -359,6 +360,20 @@ def _contracted(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return after
 
 
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots(node, root)`` with each root replaced by the smallest one within two of ``edges(a, b)``.
+
+    This joins a star whole and a longer chain in part, in a few shuffles: equal roots are connected, unequal ones may
+    be. It saves comparisons between rounds; groups are settled once at the end, by ``_contracted`` over all edges."""
+    one_way = cut_lineage(_two_roots(edges, roots).select("ra", "rb").distinct())
+    both = one_way.union(one_way.select("rb", "ra")).toDF("x", "y")
+    low = both.groupBy(F.col("x").alias("y")).agg(F.min(F.least("x", "y")).alias("m"))
+    moved = both.join(low, "y").groupBy(F.col("x").alias("root")).agg(F.min("m").alias("_to"))
+    after = cut_lineage(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+    release(roots, one_way)
+    return after
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -369,12 +384,13 @@ def similar_groups(
 ) -> DataFrame:
     """``(id, node, component_id)`` per row of ``docs``: groups of texts with a shingle similarity of 0.8 or more.
 
-    At this similarity fingerprints differ in some ten of 64 bits, where no bits are a selective key and no number
-    of bits is a bound, so this is MinHash banding and not pigeonring: candidates share a key of hash minima. They
-    pass a bound on their numbers of shingles, and then an exact comparison of their shingles.
-    ``node`` is the digest of the text: equal texts are one node before any pairing. First each
-    node is compared with the leader of its largest key, then ``ROUNDS`` times with a leader of each other group that
-    it shares a key with, and what is linked is one group from then on.
+    ``node`` is the digest of the text: equal texts are one node before any pairing. ``near_duplicates`` groups the
+    fingerprints within two bits by the pigeonring; each node of such a group whose shingles are similar to those of
+    the group's smallest is joined with it, the others are not. At this similarity fingerprints may differ in some ten
+    of 64 bits and more, where no bits are a selective key and no number of bits is a bound, so the other candidates
+    share a key of hash minima. They pass a bound on their numbers of shingles, and then the same exact comparison.
+    First each node is compared with the leader of its largest key, then ``ROUNDS`` times with a leader of each other
+    group that it shares a key with, and what is linked is one group from then on.
     Then members that are still apart are compared: all pairs of a key with at most ``dense`` of them, and in larger
     ones the pairs that ``_apart`` finds by their differences from leaders, a few per pair of groups at a time, as one similar
     pair joins two groups. So every pair of the similarity that shares a key lies in one group, in a key of any size.
@@ -397,7 +413,11 @@ def similar_groups(
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("tag", "key"))
     shared = keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = cut_lineage(keyed.join(shared, ["tag", "key"]))
-    wanted = plain.join(live.select("node").distinct(), "node").groupBy("node").agg(F.max("text").alias("text"))
+    close = near_duplicates(plain.select("node", "text"), "node").where("node <> component_id")
+    close = cut_lineage(close.select(F.col("component_id").alias("a"), F.col("node").alias("b")).distinct())
+    ends = live.select("node").union(close.select("a")).union(close.select("b"))
+    held = cut_lineage(ends.distinct())
+    wanted = plain.join(held, "node").groupBy("node").agg(F.max("text").alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -415,7 +435,10 @@ def similar_groups(
         return pairs.where(ok & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
     member = F.struct("node", "n", "root")
-    roots = cut_lineage(live.select("node", F.col("node").alias("root")).distinct())
+    links = [cut_lineage(_similar(close, sets, similarity))]
+    star = links[0].select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = cut_lineage(held.join(star, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    release(close, held)
     for turn in range(ROUNDS + 1):
         placed = live.join(roots, "node")
         first = F.min_by(member, F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead")
@@ -426,9 +449,10 @@ def similar_groups(
         largest = F.struct((-F.col("size")).alias("s"), "tag", "key")
         asked = asked.groupBy("node", *other).agg(F.min_by(F.struct(member.alias("x"), F.col("lead").alias("y")), largest).alias("p"))
         new = cut_lineage(_similar(passed(asked.select("p.x", "p.y")), sets, similarity))
+        links.append(new)
         if new.isEmpty():
             break
-        roots = _contracted(roots, new)
+        roots = _merged(roots, new)
     placed = live.join(roots, "node").select("tag", "key", "size", member.alias("x"), "root")
     apart = placed.groupBy("tag", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     split = cut_lineage(placed.join(apart.where("lo <> hi"), ["tag", "key"]))
@@ -436,9 +460,10 @@ def similar_groups(
     other = few.select("tag", "key", F.col("x").alias("y"), F.col("root").alias("y_root"))
     pairs = few.join(other, ["tag", "key"]).where("root < y_root").select("x", "y")
     linked, many = _apart(split.where(F.col("size") > dense).select("tag", "key", "x.node", "root"), sets, similarity)
-    roots = _contracted(roots, linked)
+    links.append(linked)
+    roots = _merged(roots, linked)
     todo = cut_lineage(passed(pairs).union(many).distinct())
-    release(split, linked, many)
+    release(split, many)
     for most in WAVES:
         turn = F.row_number().over(W.partitionBy("ra", "rb").orderBy(F.xxhash64("a", "b"), "a", "b"))
         open_ = cut_lineage(_two_roots(todo, roots).select("a", "b", turn.alias("turn")))
@@ -451,8 +476,10 @@ def similar_groups(
         if most is not None:  # pairs that meet in one group by now are not looked at again
             todo = cut_lineage(open_.where(F.col("turn") > most).select("a", "b"))
             release(open_)
-        roots = _contracted(roots, new)
-        release(new)
+            roots = _merged(roots, new)
+        links.append(new)
+    roots = _contracted(roots, reduce(DataFrame.union, links))
+    release(*links)
     whole = nodes.select("node", "id").join(roots, "node", "left").select(
         F.col("node"), F.coalesce("root", "node").alias("root"), "id"
     )

@@ -217,3 +217,50 @@ def test_a_large_family_draws_few_candidates(spark, size):
     members = table.selectExpr("0 as tag", "1L as key", "node", "node as root")
     linked, candidates = simhash._apart(members, table, 0.8)
     assert linked.count() == 0 and candidates.count() < size
+
+
+def test_groups_take_the_operators_links_through_the_exact_check(spark, monkeypatch):
+    """What ``near_duplicates`` groups is one group if its shingles are similar, with or without a common band."""
+    rng = random.Random(5)
+    while True:
+        text = " ".join(f"{rng.getrandbits(40):x}" for _ in range(8))
+        if not set(simhash._sketch(text, 5)[1]) & set(simhash._sketch(f"{text} z", 5)[1]):
+            break
+    df = spark.createDataFrame([(0, text), (1, f"{text} z"), (2, "one two three"), (3, "four five six")], "doc_id long, text string")
+    real = simhash.near_duplicates
+    asked = []
+
+    def grouped(docs, id_col="doc_id", *args, **kw):
+        out = real(docs, id_col, *args, **kw)
+        asked.append(id_col)
+        node = {r.text: r[id_col] for r in docs.collect()}
+        pairs = [(node[text], node[f"{text} z"]), (node["one two three"], node["four five six"])]
+        low = spark.createDataFrame([(m, min(p)) for p in pairs for m in p], "m binary, low binary")
+        return out.join(low, out[id_col] == low["m"]).select(id_col, "fingerprint", F.col("low").alias("component_id"))
+
+    monkeypatch.setattr(simhash, "near_duplicates", grouped)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 2, 3]
+    assert asked == ["node"]
+
+
+def test_groups_settle_components_once(spark, monkeypatch):
+    """Long chains are one group each; only the operator and the end run component rounds."""
+    rng = random.Random(3)
+    docs = []
+    for g in range(3):
+        base = [f"g{g}w{rng.getrandbits(30)}" for _ in range(200)]
+        for _ in range(80):
+            docs.append(" ".join(base))
+            base[rng.randrange(len(base))] = f"g{g}w{rng.getrandbits(30)}"
+    rng.shuffle(docs)
+    real, runs = simhash.connected_components, []
+
+    def counted(edges):
+        runs.append(1)
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    rows = list(enumerate(docs))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(alike(rows)))
+    assert len(runs) == 2
