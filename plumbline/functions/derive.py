@@ -203,6 +203,16 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def round_fast(c: Column, places: int) -> Column:
+    """``round(c, places)`` of doubles, with the same results: only values below zero, beyond 2^40 or close to the
+    middle between two results take the way through decimals, which costs more than a distance."""
+    scaled = c * F.lit(10.0**places)
+    low = F.floor(scaled)
+    clear = (scaled >= 0) & (scaled < float(1 << 40)) & (F.abs(scaled - low - 0.5) > 1e-3)
+    up = F.when(scaled - low > 0.5, low + 1).otherwise(low)
+    return F.when(clear, up.cast("double") / F.lit(10.0**places)).otherwise(F.round(c, places))
+
+
 def unit_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     p, q = F.radians(lat), F.radians(lon)
     return F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -71,6 +72,37 @@ def restore_columns(
     return base
 
 
+#: Rows of either side that meet in one block of a key's pairs, and pairs of a task.
+PAIR_ROWS, TASK_PAIRS = 2000, 4_000_000
+
+
+def dealt_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """All pairs of rows whose keys agree, dealt evenly over tasks.
+
+    A key's pairs are cut into blocks of about ``PAIR_ROWS`` rows of either side; a row goes to each block of its key that it
+    meets rows of the other side in. So few keys with many rows neither gather in few tasks nor wait for one."""
+
+    def counted(df: DataFrame, key: str, n: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(n))
+
+    sizes = counted(left, left_key, "_l").join(counted(right, right_key, "_r"), "_key")
+    cuts = sizes.select(
+        "_key", *[F.ceil(F.col(c) / PAIR_ROWS).cast("int").alias(c) for c in ("_l", "_r")], (F.col("_l") * F.col("_r")).alias("_n")
+    )
+    total = cuts.agg(F.sum("_n")).first()[0] or 0
+    parts = min(max(math.ceil(total / TASK_PAIRS), 1), 8192)
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        known = df.join(cuts.drop("_n").withColumnRenamed("_key", f"_{key}"), F.col(key) == F.col(f"_{key}"))
+        at = F.pmod(F.xxhash64(*df.columns), F.col(own)).cast("int")
+        copies = known.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return copies.withColumnsRenamed({own: f"{own}{key}", other: f"{other}{key}"}).repartition(parts, f"_{key}", f"_l{key}", f"_r{key}")
+
+    a, b = dealt(left, left_key, "_l", "_r"), dealt(right, right_key, "_r", "_l")
+    meet = [F.col(f"{c}{left_key}") == F.col(f"{c}{right_key}") for c in ("_", "_l", "_r")]
+    return a.hint("shuffle_hash").join(b, reduce(Column.__and__, meet)).select(*left.columns, *right.columns)
+
+
 def semi_by_key(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other.select(*keys), keys, "left_semi")
 

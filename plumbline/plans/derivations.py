@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import derive as fd
-from ..operators.joins import holiday_window
+from ..operators.joins import dealt_pairs, holiday_window
 from .registry import load, query
 
 # hhmm clocks written the same way in both engines; hour 24 is not a valid clock.
@@ -217,13 +217,15 @@ FROM (SELECT s_suppkey, c_custkey, s_acctbal / 120 AS lat1, s_suppkey % 180 AS l
   FROM supplier JOIN customer ON s_nationkey = c_nationkey)
 """)
 def _(spark, d):
-    pairs = load(spark, d, "supplier").join(
-        load(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey")
+    sites = load(spark, d, "supplier").select(
+        "s_suppkey", "s_nationkey", (F.col("s_acctbal") / 120).alias("lat1"), (F.col("s_suppkey") % 180).alias("lon1")
     )
-    km = fd.haversine_km(
-        F.col("s_acctbal") / 120, F.col("s_suppkey") % 180, F.col("c_acctbal") / 120, -(F.col("c_custkey") % 180)
+    homes = load(spark, d, "customer").select(
+        "c_custkey", "c_nationkey", (F.col("c_acctbal") / 120).alias("lat2"), (-(F.col("c_custkey") % 180)).alias("lon2")
     )
-    return pairs.select("s_suppkey", "c_custkey", F.round(km, 3).alias("km"))
+    pairs = dealt_pairs(sites, homes, "s_nationkey", "c_nationkey")
+    km = fd.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return pairs.select("s_suppkey", "c_custkey", fd.round_fast(km, 3).alias("km"))
 
 
 @query("unit_sphere", """
