@@ -276,8 +276,10 @@ SELECT vec_id, match_vec_id, round(sim, 6) AS similarity, CAST(rn AS INTEGER) AS
 FROM t WHERE rn <= 10 AND (direct OR sim >= 0.4)""")
 def _(spark, d):
     t = load(spark, d, "embeddings")
-    near = t.select("vec_id", "label")
-    links = near.join(near.withColumnRenamed("vec_id", "match_vec_id"), "label").filter(
+    # Ids less than 40 apart lie in the same or in neighbouring stretches of 40.
+    near = t.select("vec_id", "label", F.expr("vec_id div 40").alias("stretch"))
+    around = near.withColumn("stretch", F.explode(F.array(*[F.col("stretch") + i for i in (-1, 0, 1)])))
+    links = near.join(around.withColumnRenamed("vec_id", "match_vec_id"), ["label", "stretch"]).filter(
         F.abs(F.col("vec_id") - F.col("match_vec_id")) < 40
     )
     out = v.match_with_links(t, t, links, 10, "embedding", "vec_id", "vec_id", 0.4, exclude_self=True)
