@@ -203,7 +203,10 @@ def _modularity(both: DataFrame, labels: DataFrame) -> float:
     per = both.join(a, "a").join(b, "b").groupBy("ca").agg(
         F.sum("w").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside")
     )
-    row = per.agg(F.sum("k").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk")).first()
+    # Written, so that the shuffle files of the joins go at once.
+    total = cut_lineage(per.agg(F.sum("k").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk")))
+    row = total.first()
+    release(total)
     return row["i"] / row["m2"] - row["kk"] / row["m2"] ** 2 if row["m2"] else 0.0
 
 
@@ -222,19 +225,24 @@ def communities(
     for _ in range(levels):
         labels, q = _moves(both, sweeps)
         if q <= best_q + 1e-9:
+            release(labels)
             break
         best_q = q
         if final is None:
-            final = labels
+            final = cut_lineage(labels)
         else:
             up = labels.select(F.col("id").alias("community"), F.col("community").alias("_up"))
-            final = final.join(up, "community").select("id", F.col("_up").alias("community"))
-        final = cut_lineage(final)
+            after = cut_lineage(final.join(up, "community").select("id", F.col("_up").alias("community")))
+            release(final)
+            final = after
         a = labels.select(F.col("id").alias("a"), F.col("community").alias("ca"))
         b = labels.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-        both = cut_lineage(
+        after = cut_lineage(
             both.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
         )
+        release(both, labels)
+        both = after
+    release(both)
     return final, best_q
 
 
@@ -261,12 +269,17 @@ def _moves(both: DataFrame, sweeps: int) -> tuple[DataFrame, float]:
         moved = labels.join(target, "id").select(
             "id", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community")
         )
-        labels = cut_lineage(moved)
+        after = cut_lineage(moved)
+        if labels is not best:
+            release(labels)
+        labels = after
         q = _modularity(both, labels)
         if q > best_q + 1e-9:
+            release(best)
             best, best_q, idle = labels, q, 0
         else:
             idle += 1
             if idle >= 2:
                 break
+    release(strength, *([labels] if labels is not best else []))
     return best, best_q
