@@ -397,6 +397,10 @@ def incoming_activity(
 _GRAMS = {1: 1, 2: 1, 4: 2, 8: 4, 16: 8}
 
 
+#: Characters of texts up to which what comes of them may be broadcast.
+SENT_CHARS = 1 << 20
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -442,16 +446,28 @@ def contains_join(
 
     x_ids, x = side(a, a_id, a_text)
     y_ids, y = side(b, b_id, b_text)
-    one = _holding(x, y, meetings(x, y)).select(F.col("big").alias("hx"), F.col("small").alias("hy"))
-    two = _holding(y, x, meetings(y, x)).select(F.col("small").alias("hx"), F.col("big").alias("hy"))
+    n_x, n_y = _chars(a.select(F.col(a_text).alias("t"))), _chars(b.select(F.col(b_text).alias("t")))
+    one = _holding(x, y, meetings(x, y, n_y), n_x, n_y).select(F.col("big").alias("hx"), F.col("small").alias("hy"))
+    two = _holding(y, x, meetings(y, x, n_x), n_y, n_x).select(F.col("small").alias("hx"), F.col("big").alias("hy"))
     pairs = one.unionByName(two).distinct()
     left = x_ids.select(F.col("h").alias("hx"), F.col("id").alias(a_id))
     right = y_ids.select(F.col("h").alias("hy"), F.col("id").alias(b_id))
     return pairs.join(left, "hx").join(right, "hy").select(a_id, b_id).distinct()
 
 
-def meetings(big: DataFrame, small: DataFrame) -> DataFrame:
+def _chars(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+
+
+def _unsent(df: DataFrame, chars: int) -> DataFrame:
+    """What comes of many texts is never broadcast: its estimated size is that of the packed file, or of a few columns,
+    while grams by the million would be gathered in the driver."""
+    return df.hint("merge") if chars > SENT_CHARS else df
+
+
+def meetings(big: DataFrame, small: DataFrame, small_chars: int | None = None) -> DataFrame:
     """``(big, small)`` of texts that share the small one's rarest gram; both sides are distinct ``(h, t)``."""
+    small_chars = _chars(small) if small_chars is None else small_chars
     length = _gram_length(F.col("t"))
     lengths = sorted(r[0] for r in small.select(length).distinct().collect())  # at most five numbers
 
@@ -465,16 +481,20 @@ def meetings(big: DataFrame, small: DataFrame) -> DataFrame:
 
     wanted = small.select(F.col("h").alias("small"), F.explode(own("t", length)).alias("g"))
     held = big.select(F.col("h").alias("big"), F.explode(every("t")).alias("g"))
-    held = cut_lineage(held.join(wanted.select("g").distinct(), "g", "left_semi"))
+    held = cut_lineage(held.join(_unsent(wanted.select("g").distinct(), small_chars), "g", "left_semi"))
     spread = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     seen = wanted.join(spread, "g", "left")  # a gram that no text holds rules its own text out
     rarest = seen.groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("k"))
     keys = rarest.filter("k.n > 0").select("small", F.col("k.g").alias("g"))
-    return held.join(keys, "g").select("big", "small")
+    return held.join(_unsent(keys, small_chars), "g").select("big", "small")
 
 
-def _holding(big: DataFrame, small: DataFrame, meet: DataFrame) -> DataFrame:
-    texts = meet.join(big.select(F.col("h").alias("big"), F.col("t").alias("tb")), "big").join(
-        small.select(F.col("h").alias("small"), F.col("t").alias("ts")), "small"
+def _holding(
+    big: DataFrame, small: DataFrame, meet: DataFrame, big_chars: int | None = None, small_chars: int | None = None
+) -> DataFrame:
+    big_chars, small_chars = (_chars(df) if n is None else n for df, n in ((big, big_chars), (small, small_chars)))
+    held = _unsent(big.select(F.col("h").alias("big"), F.col("t").alias("tb")), big_chars)
+    texts = meet.join(held, "big").join(
+        _unsent(small.select(F.col("h").alias("small"), F.col("t").alias("ts")), small_chars), "small"
     )
     return texts.filter(F.contains("tb", "ts")).select("big", "small")

@@ -104,6 +104,22 @@ def test_penalised_search_keeps_k_items_per_query(spark, monkeypatch, few):
         assert [got[i, n + 1] for n in range(len(best))] == [(j, round(score[j], 9)) for j in best]
 
 
+def test_grams_of_many_texts_are_not_broadcast(spark, monkeypatch):
+    """The estimated size of the grams is that of a column of their texts, however many a text has."""
+    monkeypatch.setattr(joins, "SENT_CHARS", 1000)
+    rng = random.Random(2)
+    long = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta".split(), k=60)) for _ in range(40)]
+    short = [t[i % 50 : i % 50 + 40] for i, t in enumerate(long[:10])]
+    docs = spark.createDataFrame([*enumerate(long)], "a int, t string")
+    marks = spark.createDataFrame([*enumerate(short)], "b int, t string")
+    plans, cut = [], joins.cut_lineage
+    monkeypatch.setattr(joins, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    out = joins.contains_join(docs, marks, "a", "t", "b", "t")
+    assert {(r.a, r.b) for r in out.collect()} == {(i, j) for i, t in enumerate(long) for j, u in enumerate(short) if u in t}
+    semi = [p for p in plans if "LeftSemi" in p]
+    assert len(semi) == 2 and "SortMergeJoin" in semi[1] and "BroadcastHashJoin" not in semi[1]
+
+
 def test_communities_leave_only_their_labels(spark):
     rows = [(a, b, 1.0) for c in range(6) for a in range(c * 5, c * 5 + 5) for b in range(c * 5, a)] + [(c * 5, (c * 5 + 5) % 30, 0.1) for c in range(6)]
     before = left_behind(spark)
