@@ -131,3 +131,23 @@ def test_communities_leave_only_their_labels(spark):
 def test_modularity_without_edges(spark):
     edges = spark.createDataFrame([], "src int, dst int, weight double")
     assert graph.modularity(edges, spark.createDataFrame([], "id int, community int")) == 0.0
+
+
+def test_neighbours_of_repeated_ids_in_several_chunks(spark, monkeypatch):
+    """An id that two rows have counts twice on both sides; its bound once came from its own row."""
+    monkeypatch.setattr(vectors, "CHUNK", 3000)
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(120, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    rows += rows[:10]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    out = vectors.knn_similarity(df, 3, 0.1, "v", "id", pivots=4)
+    assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    z = m.astype("float32").astype("float64")
+    z = z - z.mean(axis=1, keepdims=True)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = {}
+    for i in range(120):
+        near = [(-(z[i] @ z[j]), j) for j, _ in rows if j != i and z[i] @ z[j] >= 0.1] * sum(1 for j, _ in rows if j == i)
+        want |= {(i, n): j for n, (_, j) in enumerate(sorted(near)[:3], 1)}
+    assert {(r.id, r["rank"]): r.match_id for r in out.collect()} == want
